@@ -26,6 +26,11 @@ def to_number(c: str | Column) -> Column:
     return null_if_nan(plain.try_cast("double"))
 
 
+def strip(c: str | Column) -> Column:
+    """Trim every kind of blank, not only spaces."""
+    return F.btrim(col(c), F.lit(" \t\n\r\f\x0b"))
+
+
 def strip_sign(c: str | Column) -> Column:
     return F.regexp_replace(col(c), r"\+", "")
 
@@ -35,11 +40,11 @@ def parse_event_date(c: str | Column, fmt: str = fixed.EVENT_DATE_FORMAT) -> Col
 
 
 def normalise_key(c: str | Column) -> Column:
-    return F.lower(F.trim(col(c)))
+    return F.lower(strip(c))
 
 
 def normalise_name(c: str | Column) -> Column:
-    c = F.lower(F.trim(col(c)))
+    c = F.lower(strip(c))
     c = F.replace(c, F.lit("st."), F.lit("state"))
     c = F.replace(c, F.lit("&"), F.lit("and"))
     return F.regexp_replace(c, r"\s+", " ")
@@ -133,12 +138,12 @@ def venue_adjusted(raw: str | Column, is_home: str | Column, is_neutral: str | C
 
 def split_venue(raw: str | Column) -> tuple[Column, Column]:
     """(opponent, location) of a schedule cell: '@X' is Away, 'vs X' is Home, anything else Neutral."""
-    s = F.trim(F.coalesce(col(raw), F.lit("")))
+    s = strip(F.coalesce(col(raw), F.lit("")))
     away = F.startswith(s, F.lit("@"))
     home = F.startswith(F.lower(s), F.lit("vs "))
     opponent = (
-        F.when(away, F.trim(F.regexp_replace(s, "^@+", "")))
-        .when(home, F.trim(F.regexp_replace(s, "^.{3}", "")))
+        F.when(away, strip(F.regexp_replace(s, "^@+", "")))
+        .when(home, strip(F.regexp_replace(s, "^.{3}", "")))
         .otherwise(s)
     )
     return opponent, F.when(away, "Away").when(home, "Home").otherwise("Neutral")
@@ -163,7 +168,7 @@ def unescape(c: str | Column) -> Column:
 def page_title(html: str | Column) -> Column:
     """Title text up to the first ' - '; 'Unknown Team' when there is none."""
     raw = F.regexp_extract(col(html), r"(?is)<title[^>]*>(.*?)</title>", 1)
-    title = F.trim(F.split(F.trim(unescape(raw)), " - ")[0])
+    title = strip(F.split(strip(unescape(raw)), " - ")[0])
     return F.when(title == "", "Unknown Team").otherwise(title)
 
 

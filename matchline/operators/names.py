@@ -131,7 +131,7 @@ def substring_index(schools: DataFrame) -> DataFrame:
 
 def containment_theta_join(opponents: DataFrame, schools: DataFrame, opponent: str = "opponent") -> DataFrame:
     """(opponent, team_id, score) where one team has the uniquely best containment score."""
-    probes = opponents.select(opponent).distinct().withColumn("fragment", F.lower(F.trim(opponent)))
+    probes = opponents.select(opponent).distinct().withColumn("fragment", X.normalise_key(opponent))
     hits = lookup_join(probes, substring_index(schools), ["fragment"])
     return hits.filter("score = 100 or n = 1").select(opponent, "team_id", "score")
 
@@ -164,7 +164,7 @@ def resolve_opponent_ids(rows: DataFrame, overrides: dict[str, str] | None = Non
     forced = name_table(spark, overrides, "name", "key").join(direct, "key").select(F.col("name").alias("key"), "team_id")
     direct = direct.withColumn("rank", F.lit(1)).unionByName(forced.withColumn("rank", F.lit(0)))
     direct = direct.groupBy("key").agg(F.min(F.struct("rank", "team_id")).alias("_b")).select("key", F.col("_b.team_id").alias("_direct"))
-    names = rows.select("opponent").filter(F.col("opponent").isNotNull()).distinct().withColumn("key", F.lower(F.trim("opponent")))
+    names = rows.select("opponent").filter(F.col("opponent").isNotNull()).distinct().withColumn("key", X.normalise_key("opponent"))
     out = lookup_join(names, direct, ["key"])
     fuzzy = containment_theta_join(out.filter(F.col("_direct").isNull()), teams).select("opponent", F.col("team_id").alias("_fuzzy"))
     out = out.join(fuzzy, "opponent", "left")

@@ -24,14 +24,16 @@ def keyed_rows(rows: DataFrame, opponent_ids: DataFrame) -> DataFrame:
     )
 
 
-def _venue_case(r1: Column, r2: Column) -> Column:
-    """Which row is side A: 1 or 2, NULL when the venues do not fit together."""
-    l1, l2 = r1["location"], r2["location"]
-    neutral = (l1 == "Neutral") & (l2 == "Neutral")
+def venue_first(loc1: Column, loc2: Column, name1: Column, name2: Column) -> Column:
+    """Which of two rows is side A: 1 or 2, NULL when the venues do not fit together.
+
+    The home row leads; on neutral ground the smaller normalised name does.
+    """
+    neutral = (loc1 == "Neutral") & (loc2 == "Neutral")
     return (
-        F.when((l1 == "Home") & (l2 == "Away"), 1)
-        .when((l1 == "Away") & (l2 == "Home"), 2)
-        .when(neutral & (r1["team_norm"] < r2["team_norm"]), 1)
+        F.when((loc1 == "Home") & (loc2 == "Away"), 1)
+        .when((loc1 == "Away") & (loc2 == "Home"), 2)
+        .when(neutral & (name1 < name2), 1)
         .when(neutral, 2)
     )
 
@@ -50,7 +52,7 @@ def judged_keys(keyed: DataFrame) -> DataFrame:
     )
     r1, r2 = F.col("_r1"), F.col("_r2")
     swapped = (r1["opponent_team_id"] == r2["team_id"]) & (r2["opponent_team_id"] == r1["team_id"])
-    pairs = pairs.withColumn("_first", _venue_case(r1, r2))
+    pairs = pairs.withColumn("_first", venue_first(r1["location"], r2["location"], r1["team_norm"], r2["team_norm"]))
     code = (
         F.when(F.col("_n") != 2, "row_count")
         .when(~swapped, "id_mismatch")

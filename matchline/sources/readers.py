@@ -29,21 +29,23 @@ def read_team_rows(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*typed, F.col("_metadata.file_name").alias("file"))
 
 
-def _from_file_name(pattern: str):
-    return F.regexp_extract(F.col("_metadata.file_name"), pattern, 1)
+def _from_path(pattern: str):
+    return F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
 
 
 def read_dated_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Rating snapshots; the date comes from the file name (…YYYY-MM-DD.csv)."""
+    """Rating snapshots; the date is the last YYYY-MM-DD in the file's path."""
     raw = _csv(spark, path)
-    dated = raw.select(*raw.columns, F.try_to_date(_from_file_name(r"(\d{4}-\d{2}-\d{2})\.csv$"), "yyyy-MM-dd").alias("snapshot_date"))
+    day = F.try_to_date(_from_path(r".*(\d{4}-\d{2}-\d{2}).*\.csv$"), "yyyy-MM-dd")
+    dated = raw.select(*raw.columns, day.alias("snapshot_date"))
     return cleaning.coerce_numeric(cleaning.drop_unnamed(dated), fixed.RATING_COLUMNS + fixed.RANK_COLUMNS)
 
 
 def read_season_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """Season-level ratings (…YYYY.csv): they know the season's end, so rows are flagged leaky."""
+    """Season-level ratings (file or folder ends in YYYY): they know the season's end, so rows are leaky."""
     raw = _csv(spark, path)
-    tagged = raw.select(*raw.columns, _from_file_name(r"(\d{4})\.csv$").cast("int").alias("season"), F.lit(True).alias("is_leaky"))
+    season = _from_path(r".*\D(\d{4})(?:\.csv|/[^/]*\.csv)$").try_cast("int")
+    tagged = raw.select(*raw.columns, season.alias("season"), F.lit(True).alias("is_leaky"))
     return cleaning.coerce_numeric(cleaning.drop_unnamed(tagged), fixed.RATING_COLUMNS + fixed.RANK_COLUMNS)
 
 
