@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchline.functions import exprs as X
+from matchline.sources.scratch import materialise
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "pages"]
 
@@ -136,6 +137,12 @@ class Data:
         )
 
 
+    @cached_property
+    def landed_rows(self) -> DataFrame:
+        """The two-sided rows as a landed table."""
+        return materialise(self.team_rows, "team-rows")
+
+
 def r6(sql: str, name: str) -> str:
     """Six-decimal column of an oracle; the added zero turns -0.0 into 0.0."""
     return f"round({sql}, 6) + CAST(0 AS DOUBLE) AS {name}"

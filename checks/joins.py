@@ -47,7 +47,7 @@ DOUBLES = ["points_a", "points_b", "spread_a", "total_line", "final_margin_a", "
 
 
 def paired(d):
-    rows = cleaning.clean_team_rows(d.team_rows)
+    rows = cleaning.clean_team_rows(d.landed_rows)
     return pairing.pair_two_sided_rows(rows, names.resolve_opponent_ids(rows))
 
 
@@ -318,7 +318,7 @@ def _(d):
 )
 def _(d):
     games, rejects = paired(d)
-    return rounded(profile.pairing_rate(d.team_rows, games, rejects), "pairing_rate")
+    return rounded(profile.pairing_rate(d.landed_rows, games, rejects), "pairing_rate")
 
 
 @REG.add("first_per_group", f"SELECT team_a, date, {r6('arg_min(spread_a, game_key) FILTER (WHERE spread_a IS NOT NULL)', 'spread_a')} FROM games GROUP BY team_a, date", G)

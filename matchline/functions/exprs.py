@@ -14,8 +14,7 @@ def col(c: str | Column) -> Column:
 
 def null_if_nan(c: str | Column) -> Column:
     """NaN becomes NULL: Spark orders NaN above every number, so it must not reach a comparison."""
-    c = col(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(col(c), F.lit(None).cast("double"))
 
 
 def to_number(c: str | Column) -> Column:
@@ -107,8 +106,7 @@ def match_key(d: str | Column, left: str | Column, right: str | Column) -> Colum
 
 def sign_label(c: Column) -> Column:
     """1 above zero, 0 below, 0.5 at zero, NULL when unknown."""
-    c = null_if_nan(c.cast("double"))
-    return F.when(c > 0, 1.0).when(c < 0, 0.0).when(c == 0, 0.5)
+    return (F.signum(null_if_nan(c.cast("double"))) + 1.0) / 2.0
 
 
 def label_cover(margin: str | Column, line: str | Column) -> Column:

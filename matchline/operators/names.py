@@ -107,70 +107,90 @@ def resolve_names_staged(
     return best.select(raw_name, F.col("_b.match").alias(name), label.alias("stage"))
 
 
-def substring_index(schools: DataFrame) -> DataFrame:
-    """(fragment, score, n, team_id): best-scoring team per fragment of its school name.
+def school_table(rows: DataFrame) -> DataFrame:
+    """(team_id, full, school, n_words): lower-case full name and name without the last word."""
+    t = rows.groupBy("team_id").agg(F.min("team_name").alias("team_name"))
+    return t.select(
+        "team_id",
+        F.lower("team_name").alias("full"),
+        F.lower(X.drop_last_word("team_name")).alias("school"),
+        F.size(X.words("team_name")).alias("n_words"),
+    )
 
-    100 the whole name, 90 leading words, 50 anywhere; n teams share the best score.
-    """
-    s = F.col("school")
+
+# How an index entry names its team: full name, school name, whole containment, leading words, fragment.
+_FULL, _SCHOOL, _WHOLE, _HEAD, _INNER = 1, 2, 3, 4, 5
+_SCORES = {_WHOLE: 100, _HEAD: 90, _INNER: 50}
+
+
+def _fragments(s: Column) -> Column:
+    """Every distinct substring of a name, and its leading words, as (key, rank)."""
     size = F.length(s)
-    starts = F.sequence(F.lit(1), size)
+    starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
     pieces = F.flatten(
         F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(s, i, n)))
     )
-    inner = F.transform(F.array_distinct(pieces), lambda p: F.struct(p.alias("fragment"), F.lit(50).alias("score")))
+    entry = lambda key, rank: F.struct(key.alias("key"), F.lit(rank).alias("rank"))
+    inner = F.transform(F.array_distinct(pieces), lambda p: entry(p, _INNER))
     heads = F.transform(
-        F.filter(starts, lambda i: F.substring(s, i + 1, F.lit(1)) == " "),
-        lambda i: F.struct(F.substring(s, F.lit(1), i).alias("fragment"), F.lit(90).alias("score")),
+        F.filter(starts, lambda i: F.substring(s, i + 1, F.lit(1)) == " "), lambda i: entry(F.substring(s, F.lit(1), i), _HEAD)
     )
-    whole = F.array(F.struct(s.alias("fragment"), F.lit(100).alias("score")))
-    out = schools.filter(size > 0).select("team_id", F.inline(F.concat(inner, heads, whole)))
-    out = out.groupBy("fragment", "score").agg(F.count("*").alias("n"), F.min("team_id").alias("team_id"))
-    return out.groupBy("fragment").agg(F.max(F.struct("score", "n", "team_id")).alias("_b")).select("fragment", "_b.*")
-
+    return F.concat(inner, heads, F.array(entry(s, _WHOLE)))
 
-def containment_theta_join(opponents: DataFrame, schools: DataFrame, opponent: str = "opponent") -> DataFrame:
-    """(opponent, team_id, score) where one team has the uniquely best containment score."""
-    probes = opponents.select(opponent).distinct().withColumn("fragment", X.normalise_key(opponent))
-    hits = lookup_join(probes, substring_index(schools), ["fragment"])
-    return hits.filter("score = 100 or n = 1").select(opponent, "team_id", "score")
 
+def _best_entry(entries: DataFrame) -> DataFrame:
+    """(key, rank, n, team_id): the strongest kind of entry per key and the team it stands for.
 
-def school_table(rows: DataFrame) -> DataFrame:
-    """(team_id, full, school, n_words): lower-case full name and name without the last word."""
-    t = rows.groupBy("team_id").agg(F.min("team_name").alias("team_name"))
-    return t.select(
-        "team_id",
-        F.lower("team_name").alias("full"),
-        F.lower(X.drop_last_word("team_name")).alias("school"),
-        F.size(X.words("team_name")).alias("n_words"),
+    A clash of full names goes to the highest id, every other one to the lowest.
+    """
+    out = entries.groupBy("key", "rank").agg(
+        F.count("*").alias("n"), F.min("team_id").alias("_lo"), F.max("team_id").alias("_hi")
     )
+    team = F.when(F.col("rank") == _FULL, F.col("_hi")).otherwise(F.col("_lo"))
+    out = out.select("key", "rank", "n", team.alias("team_id"))
+    return out.groupBy("key").agg(F.min(F.struct("rank", "n", "team_id")).alias("_b")).select("key", "_b.*")
+
+
+def containment_theta_join(opponents: DataFrame, schools: DataFrame, opponent: str = "opponent") -> DataFrame:
+    """(opponent, team_id, score) where one team has the uniquely best containment score.
+
+    100 the whole school name, 90 its leading words, 50 any part of it.
+    """
+    index = _best_entry(schools.select("team_id", F.inline(_fragments(F.col("school")))))
+    probes = opponents.select(opponent).distinct().withColumn("key", X.normalise_key(opponent))
+    hits = lookup_join(probes, index, ["key"]).filter((F.col("rank") == _WHOLE) | (F.col("n") == 1))
+    score = F.lit(None).cast("int")
+    for rank, value in _SCORES.items():
+        score = F.when(F.col("rank") == rank, value).otherwise(score)
+    return hits.select(opponent, "team_id", score.alias("score"))
 
 
 def resolve_opponent_ids(rows: DataFrame, overrides: dict[str, str] | None = None) -> DataFrame:
     """(opponent, opponent_team_id) for each distinct opponent text that resolves.
 
-    Overrides win, then full names (highest id on a clash), then school names (lowest id), then a
-    unique best containment.
+    Overrides win when their target is a known name, then full names (highest id on a clash), then
+    school names (lowest id), then a unique best containment. Two passes over the rows: one for
+    the teams, one for the opponent texts; all kinds of match share one index and one join.
     """
-    spark = rows.sparkSession
     overrides = fixed.OPPONENT_OVERRIDES if overrides is None else overrides
+    entry = lambda key, rank: F.struct(F.col(key).alias("key"), F.lit(rank).alias("rank"))
+    names = F.when(F.col("n_words") >= 2, F.array(entry("full", _FULL), entry("school", _SCHOOL)))
     teams = school_table(rows)
-    named = teams.filter("n_words >= 2")
-    full = named.groupBy(F.col("full").alias("key")).agg(F.max("team_id").alias("team_id")).withColumn("rank", F.lit(1))
-    school = named.groupBy(F.col("school").alias("key")).agg(F.min("team_id").alias("team_id")).withColumn("rank", F.lit(2))
-    lookup = full.unionByName(school)
-    direct = lookup.groupBy("key").agg(F.min(F.struct("rank", "team_id")).alias("_b")).select("key", F.col("_b.team_id").alias("team_id"))
-    forced = name_table(spark, overrides, "name", "key").join(direct, "key").select(F.col("name").alias("key"), "team_id")
-    direct = direct.withColumn("rank", F.lit(1)).unionByName(forced.withColumn("rank", F.lit(0)))
-    direct = direct.groupBy("key").agg(F.min(F.struct("rank", "team_id")).alias("_b")).select("key", F.col("_b.team_id").alias("_direct"))
-    names = rows.select("opponent").filter(F.col("opponent").isNotNull()).distinct().withColumn("key", X.normalise_key("opponent"))
-    out = lookup_join(names, direct, ["key"])
-    fuzzy = containment_theta_join(out.filter(F.col("_direct").isNull()), teams).select("opponent", F.col("team_id").alias("_fuzzy"))
-    out = out.join(fuzzy, "opponent", "left")
-    return out.select("opponent", F.coalesce("_direct", "_fuzzy").alias("opponent_team_id")).filter(
-        F.col("opponent_team_id").isNotNull()
-    )
+    entries = F.concat(_fragments(F.col("school")), F.coalesce(names, F.array().cast("array<struct<key:string,rank:int>>")))
+    index = _best_entry(teams.select("team_id", F.inline(entries)))
+    texts = rows.select("opponent").filter(F.col("opponent").isNotNull()).distinct()
+    key = X.normalise_key("opponent")
+    if overrides:
+        table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
+        forced = F.try_element_at(table, key)
+    else:
+        forced = F.lit(None).cast("string")
+    tries = F.array(F.struct(F.lit(0).alias("_try"), forced.alias("key")), F.struct(F.lit(1).alias("_try"), key.alias("key")))
+    hits = lookup_join(texts.select("opponent", F.inline(tries)), index, ["key"])
+    sure = F.col("rank") <= F.when(F.col("_try") == 0, _SCHOOL).otherwise(_WHOLE)
+    lucky = (F.col("_try") == 1) & (F.col("n") == 1)
+    best = hits.filter(sure | lucky).groupBy("opponent").agg(F.min(F.struct("_try", "team_id")).alias("_b"))
+    return best.select("opponent", F.col("_b.team_id").alias("opponent_team_id"))
 
 
 def _word_set(c: str) -> Column:
