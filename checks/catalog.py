@@ -1,6 +1,6 @@
 """All registered queries. Importing a module registers its queries."""
 
-from . import cleaning, evaluation, history, joins, pages  # noqa: F401
+from . import cleaning, evaluation, history, joins, pages, sources  # noqa: F401
 from .fixtures import REG
 
 __all__ = ["REG"]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from ..sources.scratch import ensure_checkpoint_dir
 from . import cleaning
 
 
@@ -61,7 +62,8 @@ def ridge_fit(train: DataFrame, features: Sequence[str], label: str = "final_mar
 
 
 def gbt_fit(train: DataFrame, features: Sequence[str], label: str = "final_margin_a", params: dict | None = None) -> PipelineModel:
-    """Gradient-boosted trees on raw features."""
+    """Gradient-boosted trees on raw features; every tenth tree checkpoints the running residuals."""
+    ensure_checkpoint_dir(train.sparkSession)
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="pred_gbm", **{**fixed.GBT_PARAMS, **(params or {})})
     return Pipeline(stages=[_assembler(features), gbt]).fit(train)
 

@@ -27,7 +27,7 @@ def _union(frames: list[DataFrame]) -> DataFrame:
 def _prepare(features_df: DataFrame, features: Sequence[str], name: str) -> tuple[DataFrame, list[str]]:
     """Modelable rows with only the needed columns, written once: every fit and score reads that."""
     rows, available = cleaning.filter_modelable(features_df, features)
-    keep = [c for c in ("game_key", "season", "date", "spread_a", "final_margin_a", "cover_a") if c in rows.columns]
+    keep = [c for c in ("game_key", "season", "date", "spread_a", "final_margin_a", "cover_a") if c in rows.columns and c not in available]
     rows = rows.select(*keep, *[F.col(c).cast("double").alias(c) for c in available])
     return materialise(rows, name), available
 

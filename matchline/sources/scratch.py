@@ -31,3 +31,9 @@ def materialise(df, name: str):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ensure_checkpoint_dir(spark: SparkSession) -> None:
+    """Iterative fits cut their lineage by checkpoints; give them the shared folder if they have none."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
