@@ -111,7 +111,7 @@ def _(d):
 
 @REG.add(
     "column_shift_audit",
-    "SELECT snapshot_date, count(*) AS n_rows, CASE WHEN month(snapshot_date) = 5 THEN 1.0 ELSE 0.0 END AS margin_null_rate, CASE WHEN month(snapshot_date) = 5 THEN 1.0 ELSE 0.0 END AS offence_low_rate, month(snapshot_date) = 5 AS is_shifted FROM ratings GROUP BY snapshot_date",
+    "SELECT snapshot_date, count(*) AS n_rows, CAST(CASE WHEN month(snapshot_date) = 5 THEN 1 ELSE 0 END AS DOUBLE) AS margin_null_rate, CAST(CASE WHEN month(snapshot_date) = 5 THEN 1 ELSE 0 END AS DOUBLE) AS offence_low_rate, month(snapshot_date) = 5 AS is_shifted FROM ratings GROUP BY snapshot_date",
     ("ratings",),
 )
 def _(d):

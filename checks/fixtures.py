@@ -37,7 +37,7 @@ FROM {fx_games}""",
     "games": """
 SELECT game_key, game_date AS date, team_a, team_b, points_a, points_b, points_a - points_b AS final_margin_a,
        points_a + points_b AS game_total, spread_a, total_line, is_neutral, cover_a, pred_ridge, pred_gbm, pred_dnn,
-       year(game_date) AS season
+       CAST(year(game_date) AS INTEGER) AS season
 FROM {fx_scored}""",
     "fx_ratings": """
 SELECT o_custkey % 200 AS team, CAST(date_trunc('month', o_orderdate) AS DATE) AS snapshot_date,
@@ -69,7 +69,7 @@ SELECT game_key AS src_key, game_date, team_id, concat('School', team_id, ' Masc
             WHEN own - opp + spread < 0 THEN 'L' ELSE 'P' END AS ats
 FROM {fx_defects}""",
     "fx_dims": """
-SELECT year(snapshot_date) AS season, team, sum(adj_o) AS off_x, sum(adj_d) AS def_x, max(tempo) AS avg_height
+SELECT CAST(year(snapshot_date) AS INTEGER) AS season, team, sum(adj_o) AS off_x, sum(adj_d) AS def_x, max(tempo) AS avg_height
 FROM {fx_ratings} WHERE team % 11 <> 0 GROUP BY 1, 2""",
     "fx_advantage": """
 SELECT team, CAST(2 + team % 5 AS DOUBLE) / CAST(2 AS DOUBLE) AS hca, CAST(team * 13 % 1500 AS DOUBLE) AS elevation

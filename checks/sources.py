@@ -203,7 +203,7 @@ def _(d):
 
 @REG.add("gbt_fit")
 def _(d):
-    out = M.score_models(_named(d), {"gbm": M.gbt_fit(_train(d), X_INPUTS)})
+    out = M.score_models(_named(d), {"gbm": M.gbt_fit(_train(d), X_INPUTS, params={"maxIter": 50})})
     return rounded(out.select("game_key", "pred_gbm"), "pred_gbm")
 
 

@@ -53,6 +53,7 @@ def ridge_fit(train: DataFrame, features: Sequence[str], label: str = "final_mar
     The normal solver standardises features and label itself, so `alpha` on the summed loss is
     alpha * std(label) / n here.
     """
+    train = train.select(label, *features)
     r = train.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("s")).first()
     lr = LinearRegression(
         featuresCol="_features", labelCol=label, predictionCol="pred_ridge", solver="normal", elasticNetParam=0.0,
@@ -64,6 +65,7 @@ def ridge_fit(train: DataFrame, features: Sequence[str], label: str = "final_mar
 def gbt_fit(train: DataFrame, features: Sequence[str], label: str = "final_margin_a", params: dict | None = None) -> PipelineModel:
     """Gradient-boosted trees on raw features; every tenth tree checkpoints the running residuals."""
     ensure_checkpoint_dir(train.sparkSession)
+    train = train.select(label, *features)
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="pred_gbm", **{**fixed.GBT_PARAMS, **(params or {})})
     return Pipeline(stages=[_assembler(features), gbt]).fit(train)
 
@@ -76,10 +78,12 @@ def fit_models(
 
 
 def score_models(df: DataFrame, models: dict[str, PipelineModel]) -> DataFrame:
-    """Add pred_<model> for each model; unknown features count as 0."""
+    """Add or replace pred_<model> for each model; unknown features count as 0."""
     out = df
     for name, model in models.items():
         features = model.stages[0].getInputCols()
+        if f"pred_{name}" not in features:
+            out = out.drop(f"pred_{name}")
         filled = out.withColumns({f"_in_{f}": F.col(f) for f in features if f in out.columns})
         filled = cleaning.scoring_defaults(filled, features, {})
         scored = model.transform(filled).drop("_features")
