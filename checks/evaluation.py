@@ -344,12 +344,23 @@ def _isotonic(d):
     return C.isotonic_calibrate(rows, C.fit_isotonic(d["games"], "pred_gbm"))
 
 
-@REG.add("isotonic_calibrate")
+# Monotone fit by its max-min formula, then linear interpolation between the points.
+ISO = (
+    f"{bets('pred_gbm')}, pts AS (SELECT ae AS x, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS y, count(*) AS w FROM b WHERE ok GROUP BY ae), "
+    "acc AS (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(w) OVER (ORDER BY x) AS sw, sum(w * y) OVER (ORDER BY x) AS sy, w, w * y AS wy FROM pts), "
+    "pool AS (SELECT l.i AS a, r.i AS i, min((r.sy - l.sy + l.wy) / (r.sw - l.sw + l.w)) OVER (PARTITION BY l.i ORDER BY r.i DESC) AS m FROM acc l JOIN acc r ON l.i <= r.i), "
+    "fit AS (SELECT acc.x, f.y FROM acc JOIN (SELECT i, max(m) AS y FROM pool GROUP BY i) f USING (i)), "
+    "near AS (SELECT b.game_key, b.edge, b.ae, lo.x AS x0, lo.y AS y0, hi.x AS x1, hi.y AS y1 FROM b ASOF LEFT JOIN fit lo ON b.ae >= lo.x ASOF LEFT JOIN fit hi ON b.ae <= hi.x), "
+    "iso AS (SELECT game_key, edge, CASE WHEN edge IS NULL THEN NULL ELSE least(greatest(CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL THEN y0 WHEN x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (ae - x0) / (x1 - x0) END, 0.4), 0.7) END AS p FROM near)"
+)
+
+
+@REG.add("isotonic_calibrate", f"WITH {ISO} SELECT game_key, {r6('edge', 'edge')}, {r6('p', 'cover_prob')} FROM iso", ("games",))
 def _(d):
     return rounded(_isotonic(d), "edge", "cover_prob")
 
 
-@REG.add("probability_filter")
+@REG.add("probability_filter", f"WITH {ISO} SELECT game_key, {r6('edge', 'edge')}, {r6('p', 'cover_prob')} FROM iso WHERE p >= 0.5", ("games",))
 def _(d):
     return rounded(C.probability_filter(_isotonic(d), 0.5), "edge", "cover_prob")
 

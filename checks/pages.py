@@ -64,7 +64,7 @@ def log_pages(d):
     table = F.concat(F.lit(f"<table>\n<tr>{head}</tr>"), row, F.lit("</table></html>"))
     k = F.col("src_key") % 50
     body = F.when(k == 7, "<p>no games</p>").when(k == 9, F.replace(table, F.lit("<th>Score</th>"), F.lit("<th>Final</th>"))).otherwise(table)
-    return d["fx_team_rows"].select("team_id", F.lit("2024-25").alias("season"), F.concat(title, body).alias("html"), "src_key")
+    return d["fx_team_rows"].repartition("src_key").select("team_id", F.lit("2024-25").alias("season"), F.concat(title, body).alias("html"), "src_key")
 
 
 @REG.add(

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import fixed
 
-_TABLE = r"(?is)<table[^>]*>(.*?)</table>"
-_ROW = r"(?is)<tr[^>]*>(.*?)</tr>"
-_CELL = r"(?is)<t[hd][^>]*>(.*?)</t[hd]>"
+# Opening tags cut the page; whatever closes a row or cell goes with the other tags.
+_TABLE = r"(?i)</?table(?:\s[^>]*)?>"
+_ROW = r"(?i)<tr(?:\s[^>]*)?>"
+_CELL = r"(?i)<t[hd](?:\s[^>]*)?>"
+_BLANK = r"(?:<[^>]*>|\s)+"
+_ROW_MARK, _CELL_MARK = "\x1e", "\x1f"
 
 
 def extract_link_ids(pages: DataFrame, html: str = "html", pattern: str = fixed.LINK_ID_PATTERN) -> DataFrame:
@@ -36,42 +39,55 @@ def challenge_page_filter(pages: DataFrame, html: str = "html") -> tuple[DataFra
     return pages.filter(~flagged), pages.filter(flagged)
 
 
-def cell_text(c: Column) -> Column:
-    """Text of a cell: tags out, entities decoded, whitespace collapsed."""
-    text = X.unescape(F.regexp_replace(c, r"(?s)<[^>]*>", " "))
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+def _after_first(pieces: Column) -> Column:
+    # No array is longer than this; taking the size instead would evaluate `pieces` twice.
+    return F.slice(pieces, 2, 1 << 30)
 
 
 def table_rows(html: str | Column) -> Column:
-    """Cells of the first table as an array of rows."""
-    table = F.regexp_extract(X.col(html), _TABLE, 1)
-    rows = F.regexp_extract_all(table, F.lit(_ROW), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit(_CELL), F.lit(1)), cell_text))
+    """Cell texts of the first table as an array of rows.
+
+    The table is cleaned as one text: rows and cells become separator characters, all other tags
+    and blanks single spaces, entities characters. Only then is it cut, so no work repeats per cell.
+    """
+    text = F.coalesce(F.get(F.split(X.col(html), _TABLE, 3), F.lit(1)), F.lit(""))
+    for mark in (_ROW_MARK, _CELL_MARK):
+        text = F.replace(text, F.lit(mark), F.lit(" "))
+    text = F.regexp_replace(F.regexp_replace(text, _ROW, _ROW_MARK), _CELL, _CELL_MARK)
+    text = X.unescape(F.regexp_replace(text, _BLANK, " "))
+    rows = _after_first(F.split(text, _ROW_MARK))
+    return F.transform(rows, lambda r: F.transform(_after_first(F.split(r, _CELL_MARK)), lambda c: F.trim(c)))
+
+
+def once(c: Column) -> Column:
+    """A generator of one value: later expressions read its result instead of repeating it."""
+    return F.explode(F.array(c))
 
 
 def page_log_to_rows(
     pages: DataFrame, team_id: str = "team_id", season: str = "season", html: str = "html"
 ) -> tuple[DataFrame, DataFrame]:
     """(two-sided rows, rejected pages) of game-log pages with a header row in their first table."""
-    parsed = pages.withColumn("_rows", table_rows(html))
-    header = F.transform(F.coalesce(F.get("_rows", F.lit(0)), F.array()), lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_")))
-    parsed = parsed.withColumn("_head", header)
+    ids = [F.col(team_id).alias("team_id"), F.col(season).alias("season")]
+    parsed = pages.select(*ids, X.page_title(html).alias("team_name"), once(table_rows(html)).alias("_rows"))
+    first = F.coalesce(F.get("_rows", F.lit(0)), F.array())
+    names = F.transform(first, lambda c: F.replace(F.lower(c), F.lit(" "), F.lit("_")))
+    parsed = parsed.select("*", once(names).alias("_head"))
     wanted = F.array(*[F.lit(c) for c in fixed.PAGE_LOG_COLUMNS])
-    missing = F.array_except(wanted, F.col("_head"))
-    reason = F.when(F.size("_rows") == 0, "no table").when(
-        F.size(missing) > 0, F.concat(F.lit("missing columns: "), F.array_join(missing, ","))
-    )
-    parsed = parsed.withColumn("reject_reason", reason)
-    rejects = parsed.filter(F.col("reject_reason").isNotNull()).select(team_id, season, "reject_reason")
-    body = parsed.filter(F.col("reject_reason").isNull()).select(
-        F.col(team_id).alias("team_id"),
-        X.page_title(html).alias("team_name"),
-        F.col(season).alias("season"),
-        "_head",
-        F.explode(F.slice("_rows", F.lit(2), F.greatest(F.size("_rows") - 1, F.lit(0)))).alias("_cells"),
+    places = F.transform(wanted, lambda c: F.array_position("_head", c).cast("int"))
+    parsed = parsed.select("team_id", "season", "team_name", "_rows", once(places).alias("_at"))
+    absent = F.filter(F.transform(wanted, lambda c, i: F.when(F.get("_at", i) == 0, c)), lambda c: c.isNotNull())
+    broken = F.array_contains("_at", 0)
+    reason = F.when(F.size("_rows") == 0, "no table").otherwise(F.concat(F.lit("missing columns: "), F.array_join(absent, ",")))
+    rejects = parsed.filter(broken).select(F.col("team_id").alias(team_id), F.col("season").alias(season), reason.alias("reject_reason"))
+    cells = parsed.filter(~broken).select(
+        "team_id", "team_name", "season", "_at",
+        F.explode(_after_first(F.col("_rows"))).alias("_cells"),
     )
-    cell = lambda c: F.get("_cells", (F.array_position("_head", c) - 1).cast("int"))
-    body = body.withColumns({f"_{c}": F.when(cell(c) != "", cell(c)) for c in fixed.PAGE_LOG_COLUMNS})
+    texts = F.transform("_at", lambda p: F.get("_cells", p - 1))
+    cells = cells.select("team_id", "team_name", "season", once(texts).alias("_c"))
+    at = {c: F.get("_c", F.lit(i)) for i, c in enumerate(fixed.PAGE_LOG_COLUMNS)}
+    body = cells.select("team_id", "team_name", "season", *[F.nullif(v, F.lit("")).alias(f"_{c}") for c, v in at.items()])
     opponent, location = X.split_venue("_opponent")
     winner, loser = X.score_pair("_score")
     rows = body.select(
