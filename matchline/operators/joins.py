@@ -8,36 +8,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
+# Columnar files hold a row in a fraction of what a broadcast table needs for it.
+FILE_GROWTH = 4
 SALTS = 16
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
     """Spark's own size estimate of the frame, None when the session cannot tell."""
     try:
-        return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+        plan = df._jdf.queryExecution().optimizedPlan()
     except AttributeError:
         return None
+    return int(str(plan.stats().sizeInBytes()))
 
 
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, growth: int = FILE_GROWTH) -> bool:
+    """Is the frame surely below `limit` once built?
+
+    The estimate follows the bytes of the scanned files; `growth` bounds how far the frame may
+    exceed them, which the estimate does not know when rows are generated.
+    """
     size = estimated_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size * growth <= limit
 
 
 def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Shuffle join that spreads one hot key over `salts` tasks.
 
-    The salt is a hash of the row, so a retried task picks the same one.
+    The salt is a hash of the row, so a retried task picks the same one. The hint keeps Spark
+    from broadcasting a side on an estimate that the caller did not trust.
     """
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     left = left.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right, [*on, "_salt"], "left").drop("_salt")
+    return left.join(right.hint("merge"), [*on, "_salt"], "left").drop("_salt")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Left join to a lookup: broadcast when its estimated size is below `limit`, salted shuffle beyond."""
-    if fits_broadcast(right, limit):
+def lookup_join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_BYTES, growth: int = FILE_GROWTH
+) -> DataFrame:
+    """Left join to a lookup: broadcast when its size is surely below `limit`, salted shuffle beyond."""
+    if fits_broadcast(right, limit, growth):
         return left.join(F.broadcast(right), list(on), "left")
     return salted_left_join(left, right, on)
 

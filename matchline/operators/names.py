@@ -18,6 +18,10 @@ from ..functions import fixed
 from .joins import lookup_join
 
 MAX_SUBSET_WORDS = 10
+# How many index rows a name may yield, for the size check of the lookup.
+PREFIX_GROWTH = 200
+SUBSTRING_GROWTH = 5000
+SUBSET_GROWTH = 4 * 2**MAX_SUBSET_WORDS
 
 
 def name_table(spark, pairs: dict[str, str], raw: str = "raw_name", canonical: str = "canonical_name") -> DataFrame:
@@ -42,7 +46,7 @@ def prefix_index(names: DataFrame, name: str) -> DataFrame:
 def prefix_theta_join(raw: DataFrame, canonical: DataFrame, raw_name: str = "raw_name", name: str = "canonical_name") -> DataFrame:
     """Raw names whose first word starts exactly one canonical name."""
     probes = raw.select(raw_name).distinct().withColumn("prefix", F.get(X.words(F.lower(raw_name)), F.lit(0)))
-    hits = lookup_join(probes, prefix_index(canonical, name), ["prefix"])
+    hits = lookup_join(probes, prefix_index(canonical, name), ["prefix"], growth=PREFIX_GROWTH)
     return hits.filter("n = 1").select(raw_name, F.col("match").alias(name))
 
 
@@ -97,7 +101,7 @@ def resolve_names_staged(
         raw_name,
         F.inline(F.array(probe(1, r), probe(2, r), probe(3, school), probe(4, school), probe(5, school), probe(6, first))),
     )
-    hits = lookup_join(probes, index, ["stage_no", "key"])
+    hits = lookup_join(probes, index, ["stage_no", "key"], growth=PREFIX_GROWTH)
     best = hits.groupBy(raw_name).agg(
         F.min(F.when(F.col("match").isNotNull(), F.struct("stage_no", "match"))).alias("_b")
     )
@@ -158,7 +162,7 @@ def containment_theta_join(opponents: DataFrame, schools: DataFrame, opponent: s
     """
     index = _best_entry(schools.select("team_id", F.inline(_fragments(F.col("school")))))
     probes = opponents.select(opponent).distinct().withColumn("key", X.normalise_key(opponent))
-    hits = lookup_join(probes, index, ["key"]).filter((F.col("rank") == _WHOLE) | (F.col("n") == 1))
+    hits = lookup_join(probes, index, ["key"], growth=SUBSTRING_GROWTH).filter((F.col("rank") == _WHOLE) | (F.col("n") == 1))
     score = F.lit(None).cast("int")
     for rank, value in _SCORES.items():
         score = F.when(F.col("rank") == rank, value).otherwise(score)
@@ -186,7 +190,7 @@ def resolve_opponent_ids(rows: DataFrame, overrides: dict[str, str] | None = Non
     else:
         forced = F.lit(None).cast("string")
     tries = F.array(F.struct(F.lit(0).alias("_try"), forced.alias("key")), F.struct(F.lit(1).alias("_try"), key.alias("key")))
-    hits = lookup_join(texts.select("opponent", F.inline(tries)), index, ["key"])
+    hits = lookup_join(texts.select("opponent", F.inline(tries)), index, ["key"], growth=SUBSTRING_GROWTH)
     sure = F.col("rank") <= F.when(F.col("_try") == 0, _SCHOOL).otherwise(_WHOLE)
     lucky = (F.col("_try") == 1) & (F.col("n") == 1)
     best = hits.filter(sure | lucky).groupBy("opponent").agg(F.min(F.struct("_try", "team_id")).alias("_b"))
@@ -220,7 +224,7 @@ def token_overlap_join(raw: DataFrame, canonical: DataFrame, raw_name: str = "ra
         right.filter(short).select("match", F.inline(_subsets(F.col("_ws")))).groupBy("key", "overlap").agg(F.min("match").alias("match"))
     )
     probes = left.filter(short).select(raw_name, F.inline(_subsets(F.col("_ws"))))
-    found = lookup_join(probes, index, ["key", "overlap"]).filter(F.col("match").isNotNull()).select(raw_name, "match", "overlap")
+    found = lookup_join(probes, index, ["key", "overlap"], growth=SUBSET_GROWTH).filter(F.col("match").isNotNull()).select(raw_name, "match", "overlap")
 
     def by_word(a: DataFrame, b: DataFrame) -> DataFrame:
         a = a.select(raw_name, F.explode("_ws").alias("_w"))

@@ -28,10 +28,20 @@ def test_no_python_rows_no_products(spark, folder, name):
 
 @pytest.mark.parametrize("name", [n for n in NAMES if n not in ("asof_snapshot_join", "feature_table", "expanding_folds")])
 def test_no_window_over_one_partition(spark, folder, name):
-    for line in plan_of(catalog.REG.queries[name](spark, folder)).splitlines():
-        if re.search(r"\bWindow \[", line):
-            assert "[], [" not in line.replace("], [", "], [", 1) or "SinglePartition" not in line
-    assert "Exchange SinglePartition" not in plan_of(catalog.REG.queries["ew_mean"](spark, folder))
+    """The exceptions order distinct calendar days only."""
+    text = plan_of(catalog.REG.queries[name](spark, folder))
+    assert not re.search(r"Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", text)
+
+
+def test_pairing_aggregates_before_the_shuffle(spark, folder):
+    text = plan_of(catalog.REG.queries["pair_two_sided_rows"](spark, folder))
+    assert "partial_min(struct" in text and "collect_list" not in text
+
+
+def test_untrusted_lookups_are_shuffled(spark):
+    left, right = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
+    assert "SortMergeJoin" in plan_of(joins.lookup_join(left, right, ["k"], growth=10**9))
+    assert "BroadcastHashJoin" in plan_of(joins.lookup_join(left, right, ["k"]))
 
 
 def test_scan_reads_only_needed_columns(spark, folder):
