@@ -86,3 +86,12 @@ def test_stream_equals_batch(spark, tmp_path):
     assert set(got) == {"1", "2"}
     assert got["1"]["home_kp"] == "Duke" and got["1"]["away_kp"] == "Iowa State"
     assert got["1"]["pred_margin"] == pytest.approx(15 * 68 / 100 + 3.5) and got["1"]["pick"] == "Duke -3.5"
+
+
+def test_history_is_computed_once_for_both_sides(spark, folder):
+    from matchline.operators import history
+
+    df = history.history_features(Data(spark, folder)["games"])
+    df._jdf.queryExecution().executedPlan().execute().count()
+    final = plan_of(df).split("== Initial Plan ==")[0]
+    assert final.count("ReusedExchange") == 1
