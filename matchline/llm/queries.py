@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchline.plans.session import configure
 from matchline.sources.scratch import scratch_path
 
-from . import packing, sharding, token_files, token_ids
+from . import decontamination, packing, sharding, token_files, token_ids
 
 QUERIES = {}
 SQL = {}
@@ -42,3 +42,39 @@ def op8_token_files(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_files.write(table(spark, folder, "documents"), path, token_ids.tokenizer_path())
     return token_files.read(spark, path)
+
+
+@query
+def op10_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, table(spark, folder, "benchmark"))
+    items = F.col("contamination.items")
+    return found.select(
+        "doc_id", "contamination.n_words", "contamination.n_hit", F.size(items).cast("long").alias("n_items"),
+        F.sha2(F.array_join(F.array_sort(F.transform(items, lambda i: i.cast("string"))), ","), 256).alias("items_sha256"),
+        decontamination.is_contaminated().alias("contaminated"),
+    )
+
+
+SQL["op10_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT item_id, w, least(13, len(w)) AS m, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)),
+dw AS (
+  SELECT doc_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS win
+  FROM (SELECT doc_id, w, m, unnest(generate_series(1, len(w) - m + 1)) AS i FROM d, (SELECT DISTINCT m FROM bw) WHERE len(w) >= m)),
+h AS (SELECT doc_id, item_id, i, m FROM dw JOIN bw USING (m, win)),
+p AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + m - 1)) AS pos FROM h) GROUP BY 1),
+k AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
+"""
