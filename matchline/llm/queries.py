@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchline.plans.session import configure
 from matchline.sources.scratch import scratch_path
 
-from . import decontamination, packing, sharding, token_files, token_ids
+from . import decontamination, language, ngram_join, packing, quality, sharding, token_files, token_ids
 
 QUERIES = {}
 SQL = {}
@@ -78,3 +78,45 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN p USING (doc_id) LEFT JOIN k USING (doc_id)
 """
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    groups = ngram_join.similar_groups(table(spark, folder, "documents"), size=4, num=85, den=100)
+    return groups.select("doc_id", "n_shingles", "component_id")
+
+
+SQL["op6_ngram_jaccard"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, m, array_to_string(w[i:i + m - 1], ' ') AS g
+  FROM (SELECT doc_id, w, least(4, len(w)) AS m, unnest(generate_series(1, len(w) - least(4, len(w)) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n_shingles FROM s GROUP BY 1),
+l AS MATERIALIZED (
+  SELECT a, b FROM (
+    SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.g = y.g AND x.m = y.m AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+  JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * k >= 85 * (p.n_shingles + q.n_shingles - k)),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT r.a AS doc_id, coalesce(any_value(n_shingles), 0) AS n_shingles, min(r.b) AS component_id
+FROM r LEFT JOIN n ON n.doc_id = r.a GROUP BY 1
+"""
+
+
+@query
+def op4_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    profiles = language.learn(docs.where(~language.held_out("doc_id")))
+    found = language.predict(docs.select("doc_id", "text"), profiles)
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
+@query
+def op3_quality(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    forest = quality.learn(docs, table(spark, folder, "labels"))
+    found = quality.predict(docs, forest)
+    score = F.col("quality_score")
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), score.alias("score"), F.when(score >= 0.7, 1).otherwise(0).alias("predicted"))
