@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchline.plans.session import configure
 from matchline.sources.scratch import scratch_path
 
-from . import chat, decontamination, html_text, language, ngram_join, packing, quality, sharding, token_files, token_ids
+from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, quality, sharding, token_files, token_ids
 
 QUERIES = {}
 SQL = {}
@@ -182,3 +182,17 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        CAST(sum(prefix) FILTER (role = 'assistant' OR is_last) AS BIGINT) AS formatted_chars
 FROM p GROUP BY conv_id
 """
+
+
+@query
+def op7_syncmers(spark: SparkSession, folder: str) -> DataFrame:
+    rows = fingerprints.with_next(table(spark, folder, "documents"))
+    rows = rows.withColumn("n_chars", F.char_length("text"))
+    part = F.floor(F.col("n_chars") / 4).cast("int")
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), F.col("n_chars") - part), F.substring("next_text", F.lit(1), part)))
+    rows = fingerprints.with_anchors(rows, "edited", "edited_anchors")
+    return rows.select(
+        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        fingerprints.as_text("anchors").alias("fingerprint"), fingerprints.as_text("edited_anchors").alias("edited_fingerprint"),
+        fingerprints.likeness("anchors", "edited_anchors").alias("near_edited"), fingerprints.likeness("anchors", "next_anchors").alias("near_next"),
+    )
