@@ -2,11 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-from matchline.llm import packing, token_ids
+from matchline.llm import decontamination, language, ngram_join, packing, quality, token_ids
 from matchline.plans.session import configure
-from matchline.sources.scratch import scratch_path
+from matchline.sources.scratch import materialise, scratch_path
+
+KEEP_QUALITY = 0.7
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language; NULL texts and texts without a letter go. Profiles come from the stage's own rows that are not held out."""
+    profiles = language.learn(docs.where(~language.held_out("doc_id")))
+    return language.predict(docs, profiles).where(F.col("lang_pred") != language.UNKNOWN).select(*docs.columns)
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of KEEP_QUALITY or more, by a model of the labelled rows that are not held out."""
+    forest = quality.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.predict(docs, forest).where(F.col("quality_score") >= KEEP_QUALITY).select(*docs.columns)
+
+
+def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more, taken transitively) the document with the least id stays.
+
+    A repeated id stays once, with its least row. Rows without an id stay.
+    """
+    groups = materialise(ngram_join.similar_groups(docs, size=5, num=80, den=100), "groups").where("doc_id IS NOT NULL")
+    going = groups.where("component_id <> doc_id").select("doc_id").distinct()
+    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    kept = docs.join(going, "doc_id", "left_anti")
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns]))
+    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1")
+    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+
+
+def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not contaminated: hit words are less than a twentieth of theirs."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return decontamination.contamination(docs, benchmark).where(~decontamination.is_contaminated()).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +49,13 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, token_ids.tokenizer_path())
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("language ID", known_language),
+    ("quality classifier", good_quality),
+    ("n-gram Jaccard join", one_of_a_kind),
+    ("benchmark decontamination", clean_of_benchmark),
+    ("packing", packed),
+]
 
 #: The classifiers and the tokenizer cannot be written as SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
