@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -48,10 +49,10 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 class Node:
     """A block element, or with tag `#text` a run of text between block borders. `shape` is equal for trees that match in full."""
 
-    __slots__ = ("tag", "children", "text", "skip", "article", "links", "shape", "size", "number")
+    __slots__ = ("tag", "children", "text", "skip", "article", "anchors", "links", "shape", "size", "depth", "number")
 
     def __init__(self, tag: str, skip: bool = False, article: bool = False):
-        self.tag, self.skip, self.article, self.children, self.text, self.links = tag, skip, article, [], "", 0
+        self.tag, self.skip, self.article, self.children, self.text, self.anchors, self.links = tag, skip, article, [], "", 0, 0
 
 
 def _marks(tag: str, attributes: str, inside_article: bool) -> bool:
@@ -72,19 +73,19 @@ def _marks(tag: str, attributes: str, inside_article: bool) -> bool:
 def parse(html: str | None) -> Node:
     """The block tree of a page: inline elements dissolve into the text, missing end tags are supplied."""
     root = Node("#root")
-    stack, run, in_link, linked = [root], [], False, 0
+    stack, run, in_link, anchors, linked = [root], [], False, 0, 0
     html = html or ""
 
     def end_run() -> None:
-        nonlocal linked
+        nonlocal anchors, linked
         if run:
             text = " ".join(unescape("".join(run)).split())
             if text:
                 leaf = Node("#text")
-                leaf.text, leaf.links = text, linked
+                leaf.text, leaf.anchors, leaf.links = text, anchors, linked
                 stack[-1].children.append(leaf)
             run.clear()
-        linked = 0
+        anchors = linked = 0
 
     last = 0
     for m in _TOKEN.finditer(html):
@@ -99,6 +100,7 @@ def parse(html: str | None) -> Node:
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "a":
             in_link = not closing
+            anchors += in_link
         if tag not in BLOCKS:
             if tag in ("br", "wbr"):
                 run.append(" " if tag == "br" else "")
@@ -139,18 +141,21 @@ def _finish(root: Node) -> None:
         todo.extend(reversed(node.children))
     for node in reversed(order):
         node.size = 1 + sum(c.size for c in node.children)
+        node.depth = 1 + max((c.depth for c in node.children), default=0)
         node.shape = hash((node.tag, *(c.shape for c in node.children)))
 
 
-def align(page: Node, reference: Node) -> dict[int, Node]:
-    """Page text nodes (by number) and the reference nodes that simple tree matching pairs them with.
+class _Matching:
+    """Weights of simple tree matching between the subtrees of two pages: a pair counts one plus the best matching of its children in order.
 
-    Children keep their order; a pair counts one plus the best matching of its children. Equal shapes at both ends of two child lists are
-    paired first, which loses nothing, so only what differs needs the table.
+    Equal shapes at both ends of two child lists are paired first, which loses nothing, so only what differs needs the table.
     """
-    scores: dict[tuple[int, int], int] = {}
 
-    def middle(a: Node, b: Node) -> tuple[int, int, int]:
+    def __init__(self, page: Node, reference: Node) -> None:
+        self.scores: dict[tuple[int, int], int] = {}
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), 1000 + 4 * min(page.depth, reference.depth)))
+
+    def middle(self, a: Node, b: Node) -> tuple[int, int, int]:
         """Children paired at the front, and the ends of what lies between."""
         front, x, y = 0, len(a.children), len(b.children)
         while front < min(x, y) and a.children[front].shape == b.children[front].shape:
@@ -159,38 +164,47 @@ def align(page: Node, reference: Node) -> dict[int, Node]:
             x, y = x - 1, y - 1
         return front, x, y
 
-    def table(a: Node, b: Node) -> list[list[int]]:
-        front, x, y = middle(a, b)
+    def table(self, a: Node, b: Node) -> list[list[int]]:
+        front, x, y = self.middle(a, b)
         rows = [[0] * (y - front + 1)]
         for i in range(front, x):
             row, above = [0], rows[-1]
             for j in range(front, y):
-                row.append(max(above[j - front + 1], row[-1], above[j - front] + score(a.children[i], b.children[j])))
+                row.append(max(above[j - front + 1], row[-1], above[j - front] + self.score(a.children[i], b.children[j])))
             rows.append(row)
         return rows
 
-    def score(a: Node, b: Node) -> int:
+    def score(self, a: Node, b: Node) -> int:
         if a.tag != b.tag:
             return 0
         if a.shape == b.shape:
             return a.size
         key = (a.number, b.number)
-        if key not in scores:
-            front, x, y = middle(a, b)
+        if key not in self.scores:
+            front, x, y = self.middle(a, b)
             ends = sum(c.size for c in a.children[:front]) + sum(c.size for c in a.children[x:])
-            scores[key] = 1 + ends + (table(a, b)[-1][-1] if x > front and y > front else 0)
-        return scores[key]
+            self.scores[key] = 1 + ends + (self.table(a, b)[-1][-1] if x > front and y > front else 0)
+        return self.scores[key]
+
 
+def match_size(page: Node, reference: Node) -> int:
+    """Nodes that the best matching pairs."""
+    return _Matching(page, reference).score(page, reference)
+
+
+def align(page: Node, reference: Node) -> dict[int, Node]:
+    """Page text nodes (by number) and the reference nodes that simple tree matching pairs them with."""
+    matching = _Matching(page, reference)
     pairs, todo = {}, [(page, reference)]
     while todo:
         a, b = todo.pop()
         if a.tag == "#text":
             pairs[a.number] = b
-        front, x, y = middle(a, b)
+        front, x, y = matching.middle(a, b)
         todo += zip(a.children[:front], b.children[:front], strict=True)
         todo += zip(a.children[x:], b.children[y:], strict=True)
         if x > front and y > front:
-            rows = table(a, b)
+            rows = matching.table(a, b)
             i, j = x - front, y - front
             while i and j:
                 here = rows[i][j]
@@ -234,7 +248,7 @@ def _is_link_list(node: Node) -> bool:
         at = todo.pop()
         total += len(at.text)
         linked += min(at.links, len(at.text))
-        count += at.links > 0
+        count += at.anchors
         todo.extend(at.children)
     return count >= 3 and linked >= 0.9 * total
 
