@@ -80,7 +80,8 @@ SELECT team_id, team_name, opponent FROM (
   UNION ALL SELECT min(p_partkey), concat(p_name, ' ', p_type), concat(' ', upper(p_name), ' ', p_type) FROM {part} GROUP BY p_name, p_type
   UNION ALL SELECT min(p_partkey), concat(p_name, ' ', p_type), substr(p_name, 2) FROM {part} GROUP BY p_name, p_type
   UNION ALL SELECT min(p_partkey), concat(p_name, ' ', p_type), p_type FROM {part} GROUP BY p_name, p_type
-  UNION ALL SELECT min(p_partkey), concat(p_brand, ' of ', p_name, ' ', p_type), lower(p_brand) FROM {part} GROUP BY p_brand, p_name, p_type
+  UNION ALL SELECT 1000000 + min(p_partkey), concat(p_brand, ' of ', p_name, ' ', p_type), lower(p_brand) FROM {part} GROUP BY p_brand, p_name, p_type
+  UNION ALL SELECT 2000000 + p_partkey, concat('Club', p_partkey, ' x'), concat('club', p_partkey) FROM {part} WHERE p_partkey % 3 = 0
 ) t""",
 }
 

@@ -183,13 +183,13 @@ def _(d):
 
 @REG.add("unmapped_anti_join", f"WITH {MAP} SELECT DISTINCT opponent, '{fixed.UNMAPPED_NOTE}' AS notes FROM fx_team_rows WHERE opponent NOT IN (SELECT raw_name FROM m)", TR)
 def _(d):
-    return joins.unmapped(d["fx_team_rows"], team_map(d), "opponent", "raw_name").withColumn("notes", F.lit(fixed.UNMAPPED_NOTE))
+    return joins.unmapped(d["fx_team_rows"], team_map(d), "opponent", "raw_name", "canonical").withColumn("notes", F.lit(fixed.UNMAPPED_NOTE))
 
 
 @REG.add("matched_semi_join", f"WITH {MAP} SELECT src_key, team_id, location, opponent FROM fx_team_rows WHERE opponent IN (SELECT raw_name FROM m)", TR)
 def _(d):
     rows = d["fx_team_rows"].select("src_key", "team_id", "location", "opponent")
-    return joins.matched(rows, team_map(d), "opponent", "raw_name")
+    return joins.matched(rows, team_map(d), "opponent", "raw_name", "canonical")
 
 
 @REG.add(
@@ -303,7 +303,8 @@ def _(d):
     f"WITH {PAIRED}, q AS (SELECT {season_sql('game_date')} AS season, count(*) AS n FROM rejects GROUP BY 1), "
     "a AS (SELECT season, count(*) AS total_games, count(spread_a) AS games_with_spread, count(*) - count(spread_a) AS games_without_spread, count(*) FILTER (WHERE cover_a = 1) AS cover_a_wins, "
     "count(*) FILTER (WHERE cover_a = 0) AS cover_a_losses, count(*) FILTER (WHERE cover_a = 0.5) AS pushes, avg(cover_a) FILTER (WHERE cover_a IN (0, 1)) AS cr FROM paired GROUP BY season) "
-    f"SELECT a.season, total_games, games_with_spread, games_without_spread, cover_a_wins, cover_a_losses, pushes, {r6('cr', 'cover_rate')}, coalesce(q.n, 0) AS quarantine_rows FROM a LEFT JOIN q ON q.season = a.season",
+    "SELECT coalesce(a.season, q.season) AS season, " + "".join(f"coalesce({c}, 0) AS {c}, " for c in ("total_games", "games_with_spread", "games_without_spread", "cover_a_wins", "cover_a_losses", "pushes"))
+    + f"{r6('cr', 'cover_rate')}, coalesce(q.n, 0) AS quarantine_rows FROM a FULL JOIN q ON q.season IS NOT DISTINCT FROM a.season",
     TR,
 )
 def _(d):

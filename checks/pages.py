@@ -219,7 +219,7 @@ def _(d):
 # The whole daily job: documents, names, latest ratings, venue advantage, picks.
 SCORE = (
     "p AS (SELECT l_orderkey, l_quantity FROM lineitem WHERE l_linenumber % 2 = 0 QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) = 1), "
-    "last AS (SELECT max(snapshot_date) AS m FROM ratings), cur AS (SELECT TeamName, AdjEM, AdjTempo FROM ratings, last WHERE snapshot_date = m), "
+    "cur AS (SELECT TeamName, AdjEM, AdjTempo FROM ratings QUALIFY row_number() OVER (PARTITION BY TeamName ORDER BY snapshot_date DESC) = 1), "
     "s AS (SELECT g.game_key, concat('Team', g.team_a) AS home_team, concat('Team', g.team_b) AS away_team, p.l_quantity AS spread_home, "
     "CASE WHEN a.TeamName IS NOT NULL AND b.TeamName IS NOT NULL THEN (a.AdjEM - b.AdjEM) * ((a.AdjTempo + b.AdjTempo) / 2) / 100 + coalesce(v.hca, 3.5) END AS pred_margin "
     "FROM games g JOIN (SELECT DISTINCT l_orderkey FROM lineitem) d ON d.l_orderkey = g.game_key LEFT JOIN p ON p.l_orderkey = g.game_key LEFT JOIN cur a ON a.TeamName = g.team_a LEFT JOIN cur b ON b.TeamName = g.team_b LEFT JOIN fx_advantage v ON v.team = g.team_a), "
@@ -237,7 +237,7 @@ def _(d):
     name = lambda c: F.concat(F.lit("Team"), F.col(c).cast("string"))
     docs = odds.flatten_odds_json(odds_documents(d)).select(F.col("l_orderkey").alias("game_key"), "spread_home", "spread_away")
     games = d["games"].select("game_key", name("team_a").alias("home_team"), name("team_b").alias("away_team")).join(docs, "game_key")
-    ratings = picks.read_latest_date(d["ratings"], "snapshot_date").withColumn("TeamName", name("TeamName"))
+    ratings = d["ratings"].withColumn("TeamName", name("TeamName"))
     canonical = d["games"].select(F.explode(F.array(name("team_a"), name("team_b"))).alias("canonical_name")).distinct()
     mapping = d.spark.createDataFrame([], "raw_name string, canonical_name string")
     hca = {"hca": d["fx_advantage"].withColumn("TeamName", name("team")).drop("team")}

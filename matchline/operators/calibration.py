@@ -242,8 +242,8 @@ class Calibration:
     isotonic: IsotonicRegressionModel | None = None
 
     def to_row(self, spark: SparkSession) -> DataFrame:
-        row = (json.dumps(self.weights), self.temperature, self.threshold, list(self.buckets))
-        return spark.createDataFrame([row], "weights string, temperature double, threshold double, buckets array<string>")
+        row = (json.dumps(self.weights), self.temperature, self.threshold, list(self.buckets), self.isotonic is not None)
+        return spark.createDataFrame([row], "weights string, temperature double, threshold double, buckets array<string>, monotone boolean")
 
     def save(self, spark: SparkSession, path: str) -> None:
         self.to_row(spark).write.mode("overwrite").parquet(f"{path}/state")
@@ -253,9 +253,8 @@ class Calibration:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> "Calibration":
         r = spark.read.parquet(f"{path}/state").first()
-        return cls(
-            json.loads(r["weights"]), r["temperature"], r["threshold"], list(r["buckets"]), IsotonicRegressionModel.load(f"{path}/isotonic")
-        )
+        fit = IsotonicRegressionModel.load(f"{path}/isotonic") if r["monotone"] else None
+        return cls(json.loads(r["weights"]), r["temperature"], r["threshold"], list(r["buckets"]), fit)
 
 
 def calibration_fit(

@@ -59,11 +59,11 @@ def venue_elevation(own: str | Column, other: str | Column, is_home: str = "is_h
 
 
 def dim_join_advantage(
-    games: DataFrame, dim: DataFrame, entity: str = "TeamName", sides: dict[str, str] | None = None
+    games: DataFrame, dim: DataFrame, entity: str = "TeamName", sides: dict[str, str] | None = None, order: Sequence[str] = ()
 ) -> DataFrame:
-    """team_hca and team_elevation from a per-entity table, duplicates dropped first."""
+    """team_hca and team_elevation from a per-entity table; of duplicates the first in `order` (a load time, a file), then the lowest stays."""
     have = X.present(dim, ["hca", "elevation"])
-    one = first_row_per_key(dim.select(entity, *have), [entity], have)
+    one = first_row_per_key(dim.select(entity, *order, *have), [entity], [*order, *have]).drop(*order)
     out = join_both_sides(games, one, [], entity, {c: f"_{c}" for c in have}, sides)
     cols = {"team_hca": venue_advantage("_hca_a", "_hca_b")}
     cols["team_elevation"] = venue_elevation("_elevation_a", "_elevation_b") if "elevation" in have else F.lit(0.0)

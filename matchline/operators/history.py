@@ -101,8 +101,9 @@ def _ew_states(days: DataFrame, measures: Sequence[str], half_life: float, min_p
     """Exponentially weighted mean before each day from the per-day sums.
 
     2^(i/h) overflows on long histories, so positions restart in blocks of 100 half-lives. A
-    block carries the closing state of the last non-empty one, scaled down by 2^-100 per block;
-    that state carries its own predecessor, and anything older is below 2^-100 of the total.
+    block carries the closing state of the last block with values of its own, scaled down by 2^-100 per
+    block; that state carries its own predecessor, and anything older is below 2^-100 of the total.
+    While a block has no value of its own the mean is the carried one, which no scaling changes.
     """
     h = float(half_life)
     block_rows = int(BLOCK_HALF_LIVES * h)
@@ -127,26 +128,29 @@ def _ew_states(days: DataFrame, measures: Sequence[str], half_life: float, min_p
         den = F.col(f"_pw_{m}") + F.coalesce(F.col(f"{s}.w") * fade, F.lit(0.0))
         return num.alias(f"_n{v}_{m}"), den.alias(f"_d{v}_{m}")
 
-    def closing(num: str, den: str) -> Column:
+    def closing(m: str, num: str, den: str) -> Column:
         pack = F.struct(F.col("_blk").alias("blk"), F.col(num).alias("s"), F.col(den).alias("w"))
-        done = F.col("_end") & (F.col(den) > 0)
+        done = F.col("_end") & (F.col(f"_pw_{m}") > 0)
         return F.last(F.when(done, pack), ignorenulls=True).over(_before(w))
 
-    out = out.withColumns({f"_c1_{m}": closing(f"_ps_{m}", f"_pw_{m}") for m in measures})
+    out = out.withColumns({f"_c1_{m}": closing(m, f"_ps_{m}", f"_pw_{m}") for m in measures})
     out = out.select("*", *[c for m in measures for c in carried(m, f"_c1_{m}", "1")])
-    out = out.withColumns({f"_c2_{m}": closing(f"_n1_{m}", f"_d1_{m}") for m in measures})
+    out = out.withColumns({f"_c2_{m}": closing(m, f"_n1_{m}", f"_d1_{m}") for m in measures})
     out = out.select("*", *[c for m in measures for c in carried(m, f"_c2_{m}", "2")])
     prev = {}
     for m in measures:
         prev[f"_s0_{m}"] = F.lag(F.col(f"_n2_{m}") / F.col("_up")).over(w)
         prev[f"_w0_{m}"] = F.lag(F.col(f"_d2_{m}") / F.col("_up")).over(w)
+        own = F.col(f"_pw_{m}") > 0
+        mean = F.when(own, F.try_divide(f"_n2_{m}", f"_d2_{m}")).otherwise(F.try_divide(F.col(f"_c2_{m}.s"), F.col(f"_c2_{m}.w")))
+        prev[f"_m0_{m}"] = F.lag(mean).over(w)
         prev[f"_k0_{m}"] = F.coalesce(F.sum(f"_k_{m}").over(_before(w)), F.lit(0))
     out = out.withColumns(prev)
     values = {}
     for m in measures:
         s0, w0 = F.coalesce(f"_s0_{m}", F.lit(0.0)), F.coalesce(f"_w0_{m}", F.lit(0.0))
         have = F.col(f"_k0_{m}")
-        value = F.when(have >= min_periods, F.try_divide(F.col(f"_s0_{m}"), F.col(f"_w0_{m}")))
+        value = F.when(have >= min_periods, F.col(f"_m0_{m}"))
         for need in range(1, min_periods + 1):
             e = F.col(f"_e{need}_{m}")
             value = value.when(have == min_periods - need, F.try_divide(s0 + e[f"_ps_{m}"], w0 + e[f"_pw_{m}"]))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -54,13 +54,27 @@ def lookup_join(
 
 
 def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the lowest in `order`; a whole-row minimum keeps it a partial aggregation."""
+    """One row per key, the lowest in `order`, then in the other columns; a value comes before NULL.
+
+    A whole-row minimum keeps it a partial aggregation.
+    """
     rest = [c for c in df.columns if c not in keys]
     lead = [c for c in order if c in rest]
-    packed = F.struct(*lead, *[c for c in rest if c not in lead])
+    ranked = [*lead, *[c for c in rest if c not in lead]]
+    packed = F.struct(*[x for c in ranked for x in (F.col(c).isNull().alias(f"_null_{c}"), F.col(c))])
     return df.groupBy(*keys).agg(F.min(packed).alias("_r")).select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
 
 
+def newest_row_per_key(df: DataFrame, keys: Sequence[str], newest: Column) -> DataFrame:
+    """One row per key, the one with the greatest `newest`; at equality the lowest, a value before NULL."""
+    rest = [c for c in df.columns if c not in keys]
+    dated = df.withColumn("_at", newest)
+    latest = dated.groupBy(*keys).agg(F.max("_at").alias("_last"))
+    same = F.struct(*keys)
+    kept = dated.join(latest.withColumnsRenamed({k: f"_{k}" for k in keys}), (same == F.struct(*[f"_{k}" for k in keys])) & F.col("_at").eqNullSafe(F.col("_last")))
+    return first_row_per_key(kept.select(*keys, *rest), keys, [])
+
+
 def join_both_sides(
     games: DataFrame,
     dim: DataFrame,
@@ -90,19 +104,20 @@ def join_both_sides(
 
 
 def map_lookup(df: DataFrame, source: str, mapping: DataFrame, raw: str, canonical: str, target: str) -> DataFrame:
-    """Add `target`: the canonical value of `source` under a two-column mapping, NULL when unmapped."""
-    right = first_row_per_key(mapping.select(F.col(raw).alias(source), F.col(canonical).alias(target)), [source], [target])
+    """Add `target`: the canonical value of `source` under a two-column mapping, NULL when unmapped. Rows without a target map nothing."""
+    right = first_row_per_key(mapping.filter(F.col(canonical).isNotNull()).select(F.col(raw).alias(source), F.col(canonical).alias(target)), [source], [target])
     return lookup_join(df, right, [source])
 
 
-def unmapped(names: DataFrame, mapping: DataFrame, name: str, raw: str) -> DataFrame:
-    """Distinct names without a mapping."""
+def unmapped(names: DataFrame, mapping: DataFrame, name: str, raw: str, canonical: str = "canonical_name") -> DataFrame:
+    """Distinct names without a mapping; a row without a target is none."""
+    mapping = mapping.filter(F.col(canonical).isNotNull())
     return names.select(name).distinct().join(mapping.select(F.col(raw).alias(name)).distinct(), [name], "left_anti")
 
 
-def matched(rows: DataFrame, mapping: DataFrame, name: str, raw: str) -> DataFrame:
-    """Rows whose name has a mapping."""
-    hit = mapping.select(F.col(raw).alias(name)).distinct().withColumn("_hit", F.lit(True))
+def matched(rows: DataFrame, mapping: DataFrame, name: str, raw: str, canonical: str = "canonical_name") -> DataFrame:
+    """Rows whose name has a mapping with a target."""
+    hit = mapping.filter(F.col(canonical).isNotNull()).select(F.col(raw).alias(name)).distinct().withColumn("_hit", F.lit(True))
     return lookup_join(rows, hit, [name]).filter("_hit").drop("_hit")
 
 

@@ -45,12 +45,12 @@ def _after_first(pieces: Column) -> Column:
 
 
 def table_rows(html: str | Column) -> Column:
-    """Cell texts of the first table as an array of rows.
+    """Cell texts of the first table as an array of rows; NULL when its end is missing.
 
-    The table is cleaned as one text: rows and cells become separator characters, all other tags
-    and blanks single spaces, entities characters. Only then is it cut, so no work repeats per cell.
+    The table ends at the tag that balances its first one; tables inside it are text of their cell. It is cleaned as one text: rows and
+    cells become separator characters, all other tags and blanks single spaces, entities characters. Only then is it cut.
     """
-    text = F.coalesce(F.get(F.split(X.col(html), _TABLE, 3), F.lit(1)), F.lit(""))
+    text = outer_table(html)
     for mark in (_ROW_MARK, _CELL_MARK):
         text = F.replace(text, F.lit(mark), F.lit(" "))
     text = F.regexp_replace(F.regexp_replace(text, _ROW, _ROW_MARK), _CELL, _CELL_MARK)
@@ -59,6 +59,23 @@ def table_rows(html: str | Column) -> Column:
     return F.transform(rows, lambda r: F.transform(_after_first(F.split(r, _CELL_MARK)), lambda c: F.trim(c)))
 
 
+def outer_table(html: str | Column) -> Column:
+    """The inside of the first table, without the row and cell tags of inner tables; empty without a table, NULL when it does not end."""
+    page = X.col(html)
+    pieces, tags = F.split(page, _TABLE), F.regexp_extract_all(page, F.lit(_TABLE), F.lit(0))
+    step = lambda t: F.when(F.startswith(t, F.lit("</")), F.lit(-1)).otherwise(F.lit(1))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(False).alias("done"), F.lit("").alias("text"))
+
+    def read(s: Column, x: Column) -> Column:
+        depth = F.when(s["done"], s["depth"]).otherwise(F.greatest(s["depth"] + step(x["tag"]), F.lit(0)))
+        done = s["done"] | ((s["depth"] > 0) & (depth == 0))
+        piece = F.when(done | (depth == 0), F.lit("")).when(depth == 1, x["piece"]).otherwise(F.regexp_replace(F.regexp_replace(x["piece"], _ROW, " "), _CELL, " "))
+        return F.struct(depth.alias("depth"), done.alias("done"), F.concat(s["text"], piece).alias("text"))
+
+    after = F.transform(tags, lambda t, i: F.struct(t.alias("tag"), F.get(pieces, i + 1).alias("piece")))
+    return F.aggregate(after, start, read, lambda s: F.when(s["done"] | (s["text"] == ""), s["text"]))
+
+
 def once(c: Column) -> Column:
     """A generator of one value: later expressions read its result instead of repeating it."""
     return F.explode(F.array(c))
@@ -78,7 +95,7 @@ def page_log_to_rows(
     parsed = parsed.select("team_id", "season", "team_name", "_rows", once(places).alias("_at"))
     absent = F.filter(F.transform(wanted, lambda c, i: F.when(F.get("_at", i) == 0, c)), lambda c: c.isNotNull())
     broken = F.array_contains("_at", 0)
-    reason = F.when(F.size("_rows") == 0, "no table").otherwise(F.concat(F.lit("missing columns: "), F.array_join(absent, ",")))
+    reason = F.when(F.col("_rows").isNull(), "table without end").when(F.size("_rows") == 0, "no table").otherwise(F.concat(F.lit("missing columns: "), F.array_join(absent, ",")))
     rejects = parsed.filter(broken).select(F.col("team_id").alias(team_id), F.col("season").alias(season), reason.alias("reject_reason"))
     cells = parsed.filter(~broken).select(
         "team_id", "team_name", "season", "_at",
@@ -101,7 +118,8 @@ def page_log_to_rows(
 def ratings_page_to_rows(pages: DataFrame, snapshot: str = "snapshot_date", html: str = "html") -> tuple[DataFrame, DataFrame]:
     """(rating rows, rejected pages): rows of at least ten cells, the first ten named, five kept."""
     good, challenged = challenge_page_filter(pages, html)
-    cells = good.select(F.col(snapshot), F.explode(table_rows(html)).alias("_cells")).filter(F.size("_cells") >= 10)
+    parsed = good.select(F.col(snapshot), once(table_rows(html)).alias("_rows"))
+    cells = parsed.select(snapshot, F.explode("_rows").alias("_cells")).filter(F.size("_cells") >= 10)
     at = {c: F.get("_cells", F.lit(i)) for i, c in enumerate(fixed.RATINGS_PAGE_COLUMNS)}
     name = at["TeamName"]
     rows = cells.select(
@@ -112,4 +130,5 @@ def ratings_page_to_rows(pages: DataFrame, snapshot: str = "snapshot_date", html
     rows = rows.filter(
         F.col("TeamName").isNotNull() & ~F.col("TeamName").isin("Team", "TeamName") & ~F.contains("TeamName", F.lit("Ratings on"))
     )
-    return rows, challenged.select(snapshot, F.lit("challenge page").alias("reject_reason"))
+    cut = parsed.filter(F.col("_rows").isNull()).select(snapshot, F.lit("table without end").alias("reject_reason"))
+    return rows, challenged.select(snapshot, F.lit("challenge page").alias("reject_reason")).unionByName(cut)

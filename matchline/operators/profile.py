@@ -58,7 +58,11 @@ def label_validation(games: DataFrame) -> DataFrame:
 
 
 def season_audit(games: DataFrame, quarantine: DataFrame | None = None) -> DataFrame:
-    """Audit row per season; quarantined rows are counted by the season of their date."""
+    """Audit row per season; quarantined rows are counted by the season of their date.
+
+    Seasons with quarantined rows only have a row too, and so have rows without a date, under the season NULL: twice the matches and the
+    quarantined rows add up to the rows that came in.
+    """
     line, cover = F.col("spread_a").isNotNull(), F.col("cover_a")
     wins, losses = count_where(line & (cover == 1.0)), count_where(line & (cover == 0.0))
     out = games.groupBy("season").agg(
@@ -73,7 +77,10 @@ def season_audit(games: DataFrame, quarantine: DataFrame | None = None) -> DataF
     if quarantine is None:
         return out.withColumn("quarantine_rows", F.lit(0).cast("bigint"))
     q = quarantine.groupBy(X.season_label("date_parsed").alias("season")).agg(F.count("*").alias("quarantine_rows"))
-    return out.join(q, "season", "left").withColumn("quarantine_rows", F.coalesce("quarantine_rows", F.lit(0).cast("bigint")))
+    counts = [c for c, t in out.dtypes if t == "bigint"]
+    joined = out.join(q.withColumnRenamed("season", "_season"), F.col("season").eqNullSafe(F.col("_season")), "full")
+    joined = joined.withColumn("season", F.coalesce("season", "_season")).drop("_season")
+    return joined.withColumns({c: F.coalesce(c, F.lit(0).cast("bigint")) for c in [*counts, "quarantine_rows"]})
 
 
 def pairing_rate(n_input: DataFrame, games: DataFrame, quarantine: DataFrame) -> DataFrame:

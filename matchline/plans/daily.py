@@ -22,25 +22,37 @@ def resolve_sides(games: DataFrame, canonical: DataFrame, mapping: DataFrame) ->
     return games
 
 
-def day_features(games: DataFrame, ratings: DataFrame, dimensions: dict[str, DataFrame], entity: str = "TeamName") -> DataFrame:
-    """Features of unplayed matches from the latest ratings and dimensions, all at the home side's place."""
+def _newest(df: DataFrame, entity: str, values: list[str], at: str | None) -> DataFrame:
+    """One row per entity, from its newest `at` (a date or a season); None for a table that is current as a whole."""
+    if at is None:
+        return joins.first_row_per_key(df.select(entity, *values), [entity], values)
+    if at not in df.columns:
+        raise ValueError(f"no column {at} to find the newest row by")
+    when = X.season_number(at) if at == "season" else F.col(at)
+    return joins.newest_row_per_key(df.select(entity, at, *values), [entity], when).drop(at)
+
+
+def day_features(
+    games: DataFrame, ratings: DataFrame, dimensions: dict[str, DataFrame], entity: str = "TeamName", *, rating_date: str | None, season: str | None = None
+) -> DataFrame:
+    """Features of unplayed matches from the latest ratings and dimensions, all at the home side's place.
+
+    `rating_date` is the column that tells the newest rating of an entity, `season` the one of the four factors and heights; None says that a
+    table holds the current rows only.
+    """
     sides = {"a": "home_kp", "b": "away_kp"}
     values = {c: RATING_VALUES[c] for c in X.present(ratings, fixed.RATING_COLUMNS)}
-    current = joins.first_row_per_key(ratings.select(entity, *values), [entity], list(values))
+    current = _newest(ratings, entity, list(values), rating_date)
     current = current.withColumn("_known", F.lit(True))
     df = joins.join_both_sides(games, current, [], entity, {**values, "_known": "_known"}, sides)
     neutral = F.coalesce(F.col("is_neutral").cast("boolean"), F.lit(False)) if "is_neutral" in df.columns else F.lit(False)
     df = df.withColumns({"is_home_a": (~neutral).cast("int"), "is_neutral": neutral.cast("int")})
     df = asof.rating_differentials(df)
     if "four_factors" in dimensions:
-        dim = joins.first_row_per_key(
-            dimensions["four_factors"].select(entity, *X.present(dimensions["four_factors"], fixed.FOUR_FACTOR_COLUMNS)), [entity], []
-        )
+        dim = _newest(dimensions["four_factors"], entity, X.present(dimensions["four_factors"], fixed.FOUR_FACTOR_COLUMNS), season)
         df = joins.join_both_sides(df, dim, [], entity, {c: f"ff_{c}" for c in dim.columns if c != entity}, sides)
     if "height_exp" in dimensions:
-        dim = joins.first_row_per_key(
-            dimensions["height_exp"].select(entity, *X.present(dimensions["height_exp"], fixed.HEIGHT_COLUMNS)), [entity], []
-        )
+        dim = _newest(dimensions["height_exp"], entity, X.present(dimensions["height_exp"], fixed.HEIGHT_COLUMNS), season)
         df = joins.join_both_sides(df, dim, [], entity, {c: f"ht_{c}" for c in dim.columns if c != entity}, sides)
     if "hca" in dimensions:
         df = dims.dim_join_advantage(df, dimensions["hca"], entity, sides)
@@ -66,15 +78,17 @@ def score_day(
     threshold: float = fixed.DEFAULT_THRESHOLD,
     bookmakers: str | None = "bookmakers",
     entity: str = "TeamName",
+    rating_date: str | None = "snapshot_date",
+    season: str | None = "season",
 ) -> DataFrame:
-    """Prediction rows of the day.
+    """Prediction rows of the day, from each entity's newest rating and dimension rows.
 
     With fitted models the ensemble predicts (skipping missing members); without, the rating
     difference does. A calibration decides which rows are actionable, else the threshold.
     """
     df = odds.flatten_odds(games, bookmakers).drop(bookmakers) if bookmakers else games
     df = resolve_sides(df, canonical, mapping)
-    df = day_features(df, ratings, dimensions or {}, entity)
+    df = day_features(df, ratings, dimensions or {}, entity, rating_date=rating_date, season=season)
     known = F.col("home_kp").isNotNull() & F.col("away_kp").isNotNull()
     if fitted:
         defaults = {k: v for k, v in fixed.SCORING_DEFAULTS.items() if k not in df.columns}

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
@@ -15,18 +16,33 @@ from ..operators import cleaning
 _NUMERIC = {"winner_score", "loser_score", "spread", "total"}
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    return spark.read.option("header", True).option("escape", '"').csv(path)
+def _csv(spark: SparkSession, path: str | Sequence[str], **from_file: Column) -> DataFrame:
+    """CSV files with a header line; columns go by name, whatever their order in a file, and are NULL where a file lacks them.
+
+    Spark binds the columns of all files of a read by the position in one header, so files are read in one group per distinct header line. A
+    group whose header differs from its schema raises. `from_file` adds columns made from a file's metadata.
+    """
+    def read(paths: str | Sequence[str]) -> DataFrame:
+        df = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(paths)
+        return df.select(*df.columns, *[c.alias(n) for n, c in from_file.items()])
+
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("start"))
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by(F.trim("value"), "place").alias("header"))
+    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
+    if len(groups) < 2:
+        return read(path)
+    # The path column holds URIs; a comma or blank in a name is written with a percent sign there.
+    return union_by_name(*[read([unquote(f) for f in g.files]) for g in groups])
 
 
 def read_team_rows(spark: SparkSession, path: str) -> DataFrame:
     """Two-sided rows of all matching CSV files, declared columns only, with their file name."""
-    raw = _csv(spark, path)
+    raw = _csv(spark, path, file=F.col("_metadata.file_name"))
     typed = [
         X.to_number(c).alias(c) if c in _NUMERIC else X.to_number(c).cast("bigint").alias(c) if c == "team_id" else F.col(c)
         for c in fixed.TEAM_ROW_COLUMNS
     ]
-    return raw.select(*typed, F.col("_metadata.file_name").alias("file"))
+    return raw.select(*typed, "file")
 
 
 def _from_path(pattern: str):
@@ -35,17 +51,14 @@ def _from_path(pattern: str):
 
 def read_dated_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Rating snapshots; the date is the last YYYY-MM-DD in the file's path."""
-    raw = _csv(spark, path)
-    day = F.try_to_date(_from_path(r".*(\d{4}-\d{2}-\d{2}).*\.csv$"), "yyyy-MM-dd")
-    dated = raw.select(*raw.columns, day.alias("snapshot_date"))
+    dated = _csv(spark, path, snapshot_date=F.try_to_date(_from_path(r".*(\d{4}-\d{2}-\d{2}).*\.csv$"), "yyyy-MM-dd"))
     return cleaning.coerce_numeric(cleaning.drop_unnamed(dated), fixed.RATING_COLUMNS + fixed.RANK_COLUMNS)
 
 
 def read_season_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """Season-level ratings (file or folder ends in YYYY): they know the season's end, so rows are leaky."""
-    raw = _csv(spark, path)
     season = _from_path(r".*\D(\d{4})(?:\.csv|/[^/]*\.csv)$").try_cast("int")
-    tagged = raw.select(*raw.columns, season.alias("season"), F.lit(True).alias("is_leaky"))
+    tagged = _csv(spark, path, season=season).withColumn("is_leaky", F.lit(True))
     return cleaning.coerce_numeric(cleaning.drop_unnamed(tagged), fixed.RATING_COLUMNS + fixed.RANK_COLUMNS)
 
 

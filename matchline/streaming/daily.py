@@ -13,9 +13,14 @@ ODDS_SCHEMA = f"id string, commence_time timestamp, home_team string, away_team
 
 
 def odds_stream(spark: SparkSession, folder: str, delay: str = "1 day") -> DataFrame:
-    """Odds documents as they land, one per match id within the watermark."""
-    rows = spark.readStream.schema(ODDS_SCHEMA).json(folder)
-    return rows.withWatermark("commence_time", delay).dropDuplicatesWithinWatermark(["id"])
+    """Odds documents as they land, one per match id that arrives within `delay`.
+
+    The event time is the arrival (the file's modification time): a document for a far match says nothing about nearer ones, so the match
+    time must not move the watermark. A file that arrives with an older time than the watermark would be refused, so files are written
+    before they are moved into the folder, not copied with an old time.
+    """
+    rows = spark.readStream.schema(ODDS_SCHEMA).json(folder).withColumn("arrived", F.col("_metadata.file_modification_time"))
+    return rows.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["id"])
 
 
 def start_daily_picks(

@@ -78,7 +78,7 @@ def test_stream_equals_batch(spark, tmp_path):
     ratings = spark.createDataFrame([("Duke", 20.0, 110.0, 90.0, 70.0), ("Iowa State", 5.0, 105.0, 100.0, 66.0)], "TeamName string, AdjEM double, AdjOE double, AdjDE double, AdjTempo double")
     canonical = ratings.select(F.col("TeamName").alias("canonical_name"))
     mapping = spark.createDataFrame([], "raw_name string, canonical_name string")
-    score = lambda df: daily.score_day(df, canonical, mapping, ratings).select("id", *daily.PREDICTION_COLUMNS)
+    score = lambda df: daily.score_day(df, canonical, mapping, ratings, rating_date=None).select("id", *daily.PREDICTION_COLUMNS)
     q = stream.start_daily_picks(stream.odds_stream(spark, str(folder)), score, str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert q.exception() is None
