@@ -7,10 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import materialise
+
 BROADCAST_BYTES = 64 * 1024 * 1024
 # Columnar files hold a row in a fraction of what a broadcast table needs for it.
 FILE_GROWTH = 4
-SALTS = 16
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
@@ -32,25 +33,33 @@ def fits_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES, growth: int = FI
     return size is not None and size * growth <= limit
 
 
-def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
-    """Shuffle join that spreads one hot key over `salts` tasks.
+def salted_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], salts: int | None = None) -> DataFrame:
+    """Shuffle join that spreads one hot key over `salts` tasks, for sessions without adaptive execution.
 
-    The salt is a hash of the row, so a retried task picks the same one. The hint keeps Spark
-    from broadcasting a side on an estimate that the caller did not trust.
+    The salt is a hash of the row, so a retried task picks the same one. By default there are as
+    many salts as a shuffle has partitions, so the spread follows the cluster.
     """
+    salts = salts or int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     left = left.withColumn("_salt", F.pmod(row_hash, F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return left.join(right.hint("merge"), [*on, "_salt"], "left").drop("_salt")
+    return left.join(right, [*on, "_salt"], "left").drop("_salt")
 
 
 def lookup_join(
     left: DataFrame, right: DataFrame, on: Sequence[str], limit: int = BROADCAST_BYTES, growth: int = FILE_GROWTH
 ) -> DataFrame:
-    """Left join to a lookup: broadcast when its size is surely below `limit`, salted shuffle beyond."""
-    if fits_broadcast(right, limit, growth):
-        return left.join(F.broadcast(right), list(on), "left")
-    return salted_left_join(left, right, on)
+    """Left join to a lookup of unknown size: broadcast below `limit`, shuffle beyond.
+
+    The estimate of a frame that is derived from the facts grows with them and says little, so where it is too large the lookup is written
+    once and its files decide. Beyond the limit adaptive execution splits hot keys; without it they are salted.
+    """
+    if not fits_broadcast(right, limit, growth):
+        right = materialise(right, "lookup")
+        if not fits_broadcast(right, limit):
+            adaptive = left.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true" and left.sparkSession.conf.get("spark.sql.adaptive.skewJoin.enabled") == "true"
+            return left.join(right, list(on), "left") if adaptive else salted_left_join(left, right, on)
+    return left.join(F.broadcast(right), list(on), "left")
 
 
 def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:

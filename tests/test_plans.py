@@ -38,10 +38,23 @@ def test_pairing_aggregates_before_the_shuffle(spark, folder):
     assert "partial_min(struct" in text and "collect_list" not in text
 
 
-def test_untrusted_lookups_are_shuffled(spark):
-    left, right = spark.range(100).withColumnRenamed("id", "k"), spark.range(50).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
-    assert "SortMergeJoin" in plan_of(joins.lookup_join(left, right, ["k"], growth=10**9))
-    assert "BroadcastHashJoin" in plan_of(joins.lookup_join(left, right, ["k"]))
+def test_lookups_join_by_their_measured_size(spark, folder):
+    facts = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey", "l_quantity")
+    derived = facts.select("l_partkey").distinct().withColumn("v", F.col("l_partkey") * 2)
+    # The estimate alone would not do: the map is measured, found small and broadcast; a large one is shuffled.
+    assert "BroadcastHashJoin" in plan_of(joins.lookup_join(facts, derived, ["l_partkey"], growth=10**9))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        text = plan_of(joins.lookup_join(facts, derived, ["l_partkey"], limit=100))
+        assert "SortMergeJoin" in text and "_salt" not in text
+        assert "BroadcastHashJoin" in plan_of(joins.lookup_join(facts, derived, ["l_partkey"]))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_pairing_broadcasts_the_opponent_map(spark, folder):
+    """The map is distinct names of the facts: small whatever its estimate says."""
+    assert "BroadcastHashJoin" in plan_of(catalog.REG.queries["pair_two_sided_rows"](spark, folder))
 
 
 def test_scan_reads_only_needed_columns(spark, folder):
