@@ -1,13 +1,16 @@
 """N-gram Jaccard join: token-combination prefixes, exact check, connected components.
 
-Tokens are word shingles. A document's tokens are ordered from rare to frequent. The rarity of a shingle is the count of its rarest word
-(words counted in buckets over all documents), which bounds the number of its occurrences from above. Shingles below RARE are indexed one by one,
-the frequent ones in combinations of two of a class; a document of a level has 2^level / CLASS_TOKENS classes, so combinations stay
+Tokens are word shingles. A document's tokens are ordered from rare to frequent. Shingles and words are counted in hash buckets over all
+documents; the least of the counts of a shingle and of its words bounds its occurrences. Shingles below RARE are indexed one by one, the
+frequent ones in combinations of two of a class; a document of a level has 2^level / CLASS_TOKENS classes, so combinations stay
 proportional to its length.
 
 A document of n shingles that is similar to another misses at most e = n - ceil(n * similarity) of its shingles there. Its prefix is extended
 until (rare shingles) + sum over classes of (shingles - 1) exceeds e: then of the shingles both share, a rare one or two of a
 class lie in the prefix, and since both order alike they lie in the other's prefix too. No link can be missed, whatever the counts are.
+Towards sets that are not shorter even less can be missing, e' = n - ceil(2 * n * similarity / (1 + similarity)); the part of the prefix that
+exceeds e' is its core. Two sets meet only on a signature that is in the core of the shorter one, and only if enough tokens remain: behind the
+first common token (or, without a common rare one, behind the rare ones) both need as many tokens as the overlap asks for.
 """
 
 from __future__ import annotations
@@ -24,14 +27,19 @@ from matchline.sources.scratch import materialise
 from . import shingles, words
 from .components import components
 
-#: Buckets in which words are counted: one byte of each goes to every task.
-BUCKETS = 1 << 20
-CHUNK = 1 << 12
-#: Rarity classes are powers of two; shingles whose rarest word's bucket holds fewer words than 2^RARE are indexed alone.
-RARE = 8
+#: Buckets in which shingles and words are counted: one byte of each goes to every task.
+SHINGLE_BUCKETS, WORD_BUCKETS = 1 << 22, 1 << 20
+BUCKETS = SHINGLE_BUCKETS + WORD_BUCKETS
+CHUNK = 1 << 14
+#: A task's count of a bucket stops at 255. Counts only order the shingles; no result depends on them.
+MOST_OF_A_TASK = 255
+#: Rarity is 4 * log2(count); shingles of a lower one are indexed alone.
+RARE = 32
 CLASS_TOKENS = 64
 #: Bits of the filter that picks the texts to check; more only save work.
 FILTER_BITS = 1 << 23
+#: 64-bit numbers of a parity sketch. Two sketches differ in at most as many bits as their sets differ in tokens.
+SKETCH = 8
 _PAIR = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -39,15 +47,27 @@ def _most_missing(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den)
 
 
+def _most_missing_in_longer(n: int, num: int, den: int) -> int:
+    return n - -(-2 * n * num // (num + den))
+
+
 def _has_partners(n: int, num: int, den: int) -> bool:
     """Whether a set of n can be similar to a different set at all."""
     return n * den // num > n or _most_missing(n, num, den) > 0
 
 
+def _shingle_bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SHINGLE_BUCKETS - 1)).astype(np.int64)
+
+
+def _word_bucket(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64) + SHINGLE_BUCKETS
+
+
 def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """Per row: key, n_shingles, class (a number of the whole shingle set; NULL without words). Also the word counts in chunks of buckets."""
+    """Per row: key, n_shingles, class (a number of the whole shingle set; NULL without words). Also the counts in chunks of buckets."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, part_id = np.zeros(BUCKETS, np.int64), 0
+        counts, part_id = np.zeros(BUCKETS, np.uint32), 0
         names = ["key", "n_shingles", "class", "part", "chunk", "counts"]
         types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
         for batch in batches:
@@ -55,14 +75,17 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 part_id = batch.column("part")[0].as_py()
             for part in words.byte_slices(batch, "text"):
                 found = shingles.Shingled(part.column("text"), size)
-                counts += np.bincount((found.word & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
                 sets = [found.of(i) for i in range(part.num_rows)]
+                for bucket in (_shingle_bucket(np.concatenate(sets)), _word_bucket(found.word)):
+                    at, n = np.unique(bucket, return_counts=True)
+                    counts[at] += n.astype(np.uint32)
                 n = [len(s) for s in sets]
                 cls = [shingles.set_key(s) if len(s) else None for s in sets]
                 empty = [None] * part.num_rows
                 yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(v, t) for v, t in zip((n, cls, empty, empty, empty), types[1:], strict=True))], names=names)
+        counts = np.minimum(counts, MOST_OF_A_TASK).astype(np.uint8)
         chunks = [(c, counts[c * CHUNK : (c + 1) * CHUNK]) for c in range(BUCKETS // CHUNK)]
-        chunks = [(c, v.astype("<i8").tobytes()) for c, v in chunks if v.any()]
+        chunks = [(c, v.tobytes()) for c, v in chunks if v.any()]
         none = [None] * len(chunks)
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, [part_id] * len(chunks), [c for c, _ in chunks], [v for _, v in chunks]), types, strict=True)], names=names)
 
@@ -70,35 +93,38 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, n_shingles long, class long, part int, chunk int, counts binary")
 
 
-def word_levels(described: DataFrame) -> np.ndarray:
-    """The power of two of each bucket's word count, one byte each. Chunks are added in groups of at most 256 tasks, then over those."""
-    def add(batch: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(v.as_py(), "<i8") for v in batch.column("counts"))
-        return pa.table({"part": batch.column("part").slice(0, 1), "chunk": batch.column("chunk").slice(0, 1), "counts": pa.array([total.astype("<i8").tobytes()], pa.binary())})
+def rarities(described: DataFrame) -> np.ndarray:
+    """The rarity of each bucket, one byte each. Chunks are added in groups of at most 256 tasks, then over those."""
+    def add(kind: str):
+        def run(batch: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(v.as_py(), kind).astype("<i8") for v in batch.column("counts"))
+            return pa.table({"part": batch.column("part").slice(0, 1), "chunk": batch.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+        return run
 
     def level(batch: pa.Table) -> pa.Table:
-        total = np.frombuffer(add(batch).column("counts")[0].as_py(), "<i8")
-        return pa.table({"chunk": batch.column("chunk").slice(0, 1), "levels": pa.array([np.ceil(np.log2(total + 1)).astype(np.uint8).tobytes()], pa.binary())})
+        total = np.frombuffer(add("<i8")(batch).column("counts")[0].as_py(), "<i8")
+        return pa.table({"chunk": batch.column("chunk").slice(0, 1), "levels": pa.array([np.minimum(255, np.rint(4 * np.log2(total + 1))).astype(np.uint8).tobytes()], pa.binary())})
 
     chunks = described.where("chunk IS NOT NULL").select((F.col("part") / 256).cast("int").alias("part"), "chunk", "counts")
-    summed = chunks.groupBy("part", "chunk").applyInArrow(add, "part int, chunk int, counts binary")
+    summed = chunks.groupBy("part", "chunk").applyInArrow(add("u1"), "part int, chunk int, counts binary")
     out = np.zeros(BUCKETS, np.uint8)
     for row in summed.groupBy("chunk").applyInArrow(level, "chunk int, levels binary").collect():  # one byte a bucket
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.levels, np.uint8)
     return out
 
 
-def signatures(tokens: np.ndarray, rarity: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Prefix signatures of one document: distinct tokens with their rarity classes."""
+def signatures(tokens: np.ndarray, rarity: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix signatures of one document from its distinct tokens and their rarities, which of them are core, and the tokens left from there on."""
     n = len(tokens)
-    e = _most_missing(n, num, den)
+    limits = [_most_missing(n, num, den), _most_missing_in_longer(n, num, den)]
     order = np.lexsort((tokens, rarity))
     tokens, rarity = tokens[order], rarity[order]
     rare = int(np.searchsorted(rarity, RARE))
-    alone = shingles.mix(tokens[: min(rare, e + 1)] ^ _PAIR[0])
-    if rare > e:
-        return alone
-    out = [alone]
+    alone = min(rare, limits[0] + 1)
+    sigs, core, left = [shingles.mix(tokens[:alone] ^ _PAIR[0])], [np.arange(alone) <= limits[1]], [n - np.arange(alone)]
+    if rare > limits[0]:
+        return sigs[0], core[0], left[0]
     frequent = tokens[rare:]
     # Partners have between n * similarity and n / similarity tokens; both sides index at the level of the shorter.
     for level in {int(m).bit_length() for m in (-(-n * num // den), n, n * den // num)}:
@@ -107,12 +133,14 @@ def signatures(tokens: np.ndarray, rarity: np.ndarray, num: int, den: int) -> np
         # Tokens that add one to the sum: all but the first of their class.
         adds = np.ones(len(frequent), np.int64)
         adds[np.unique(cls, return_index=True)[1]] = 0
-        stop = int(np.searchsorted(np.cumsum(adds), e + 1 - rare)) + 1
+        stop, core_stop = (int(np.searchsorted(np.cumsum(adds), e + 1 - rare)) + 1 if rare <= e else 0 for e in limits)
         by_class = np.argsort(cls[:stop], kind="stable")
-        first, second = _pairs_inside(cls[:stop][by_class])
-        a, b = frequent[by_class[first]], frequent[by_class[second]]
-        out.append(shingles.mix(a * _PAIR[0] + b * _PAIR[1] + np.uint64(level)))
-    return np.concatenate(out)
+        first, second = (by_class[x] for x in _pairs_inside(cls[:stop][by_class]))
+        a, b = frequent[first], frequent[second]
+        sigs.append(shingles.mix(a * _PAIR[0] + b * _PAIR[1] + np.uint64(level)))
+        core.append(np.maximum(first, second) < core_stop)
+        left.append(np.full(len(a), n - rare))
+    return np.concatenate(sigs), np.concatenate(core), np.concatenate(left)
 
 
 def _pairs_inside(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,8 +150,14 @@ def _pairs_inside(cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(cls)), after), words.ragged(np.arange(len(cls)) + 1, after)
 
 
+def sketch(tokens: np.ndarray) -> list[int]:
+    """Bit i tells whether an odd number of tokens fall on i."""
+    odd = np.bincount((tokens % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+
+
 def index_rows(docs: DataFrame, text: str, size: int, num: int, den: int, levels: np.ndarray) -> DataFrame:
-    """(sig, class, n): the prefix signatures of each distinct set; a task writes a set's rows once however many copies it meets."""
+    """(sig, class, facts): the prefix signatures of each distinct set, n, rest and core packed into one number; a task writes a set's rows once however many copies it meets."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +165,9 @@ def index_rows(docs: DataFrame, text: str, size: int, num: int, den: int, levels
         for batch in batches:
             for part in words.byte_slices(batch, "text"):
                 found = shingles.Shingled(part.column("text"), size)
-                word = levels[(found.word & np.uint64(BUCKETS - 1)).astype(np.int64)]
-                rarity = np.minimum.reduce([word[k : k + len(found.all)] for k in range(size)]) if len(found.all) else word[:0]
-                sigs, classes, sizes = [np.zeros(0, np.uint64)], [], []
+                word = levels[_word_bucket(found.word)]
+                rarity = np.minimum.reduce([levels[_shingle_bucket(found.all)], *(word[k : k + len(found.all)] for k in range(size))])
+                sigs, cores, rests, classes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, bool)], [np.zeros(0, np.int64)], [], []
                 for i in range(part.num_rows):
                     span = found.span(i)
                     if span.stop == span.start:
@@ -144,23 +178,33 @@ def index_rows(docs: DataFrame, text: str, size: int, num: int, den: int, levels
                         continue
                     if len(seen) < 1_000_000:
                         seen.add(cls)
-                    sigs.append(signatures(tokens, rarity[span][first], num, den))
+                    for kept, new in zip((sigs, cores, rests), signatures(tokens, rarity[span][first], num, den), strict=True):
+                        kept.append(new)
                     classes.append(cls)
                     sizes.append(len(tokens))
                 many = [len(s) for s in sigs[1:]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(np.repeat(np.array(sizes, np.int32), many))], names=["sig", "class", "n"])
+                facts = np.repeat(np.array(sizes, np.int64), many) << 32 | np.concatenate(rests) << 1 | np.concatenate(cores)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.repeat(np.array(classes, np.int64), many)), pa.array(facts)], names=["sig", "class", "facts"])
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "sig long, class long, n int")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "sig long, class long, facts long")
 
 
 def shared_postings(index: DataFrame) -> DataFrame:
-    """The index rows whose signature at least two different sets have."""
-    dealt = index.repartition("sig").groupBy("sig", "class").agg(F.first("n").alias("n"))
-    return dealt.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("sig"))).where("m > 1").drop("m")
+    """The index rows whose signature at least two different sets have, one of them in its core; with the partners a set meets in all."""
+    unpacked = [F.shiftright("facts", 32).cast("int").alias("n"), (F.col("facts").bitwiseAND(F.lit(1)) == 1).alias("core"), F.shiftright("facts", 1).bitwiseAND(F.lit(2**31 - 1)).cast("int").alias("rest")]
+    dealt = index.repartition("sig").groupBy("sig", "class").agg(F.max("facts").alias("facts")).select("sig", "class", *unpacked)
+    of_sig = Window.partitionBy("sig")
+    return dealt.withColumns({"m": F.count(F.lit(1)).over(of_sig), "any": F.max("core").over(of_sig)}).where("m > 1 AND any").drop("any")
+
+
+def with_partners(postings: DataFrame) -> DataFrame:
+    """Add `partners`, the meetings of a set over all its postings: the original of a group of copies has the most."""
+    met = postings.groupBy("class").agg(F.sum(F.col("m") - 1).alias("partners"))
+    return postings.drop("m").join(met, "class")
 
 
 def candidate_texts(docs: DataFrame, text: str, key: str, described: DataFrame, postings: DataFrame, size: int) -> DataFrame:
-    """(class, text): one text for each set that shares a signature. A bit field of fixed size picks the texts, so the others are not shuffled."""
+    """(class, text, sketch): one text for each set that shares a signature. A bit field of fixed size picks the texts, so the others are not shuffled."""
     firsts = described.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
     wanted = postings.select("class").distinct().join(firsts, "class").select("key")
     bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
@@ -179,10 +223,11 @@ def candidate_texts(docs: DataFrame, text: str, key: str, described: DataFrame,
             for part in words.byte_slices(batch.filter(pa.array(keep.astype(bool))), "text"):
                 found = shingles.Shingled(part.column("text"), size)
                 sets = [found.of(i) for i in range(part.num_rows)]
-                yield pa.RecordBatch.from_arrays([pa.array([shingles.set_key(s) for s in sets], pa.int64()), part.column("text")], names=["class", "text"])
+                columns = [pa.array([shingles.set_key(s) for s in sets], pa.int64()), part.column("text"), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["class", "text", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).select(bit.alias("bit"), "text")
-    return rows.mapInArrow(run, "class long, text string").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class long, text string, sketch array<long>").dropDuplicates(["class"])
 
 
 def check(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -216,47 +261,68 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     return postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
+def _may_link(x: dict[str, str], y: dict[str, str], num: int, den: int):
+    """Near enough in length, not in one component yet, the signature in the core of the shorter set, and enough tokens left on both sides."""
+    nx, ny = F.col(x["n"]), F.col(y["n"])
+    core = F.when(nx < ny, F.col(x["core"])).when(nx > ny, F.col(y["core"])).otherwise(F.col(x["core"]) | F.col(y["core"]))
+    enough = F.least(F.col(x["rest"]), F.col(y["rest"])) * (num + den) >= (nx + ny) * num
+    return enough & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (F.col(x["component"]) != F.col(y["component"])) & core
+
+
 def _star_pairs(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """For each set the leader it shares most signatures with: a posting's leader is its least set in an order that changes with the turn."""
-    place = F.xxhash64("class", F.lit(turn))
-    lead = F.min(F.struct(place.alias("o"), F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))).over(Window.partitionBy("sig"))
-    near = (F.least("n", "lead.na") * den >= F.greatest("n", "lead.na") * num) & (F.col("component") != F.col("lead.ca"))
+    """For each set the leader it shares most signatures with. A posting's leader is the set with the most partners, in later turns the least in
+    an order that changes with the turn."""
+    place = -F.col("partners") if turn == 0 else F.xxhash64("class", F.lit(turn))
+    lead = F.min(F.struct(place.alias("place"), F.col("class").alias("a"), "n", "component", "core", "rest")).over(Window.partitionBy("sig"))
+    columns = ("n", "component", "core", "rest")
+    near = _may_link({c: c for c in columns}, {c: f"lead.{c}" for c in columns}, num, den)
     met = labelled.withColumn("lead", lead).where(near).groupBy("class", F.col("lead.a").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
     best = met.groupBy("class").agg(F.max(F.struct("shared", "a")).alias("best"))
     return best.select(F.least("class", "best.a").alias("a"), F.greatest("class", "best.a").alias("b")).distinct()
 
 
-def _cross_pairs(labelled: DataFrame, num: int, den: int) -> DataFrame:
-    """All pairs of a posting that are not in one component yet; sets of the posting's largest component meet only the others."""
+def _cross_pairs(labelled: DataFrame, texts: DataFrame, num: int, den: int, best: bool = False) -> DataFrame:
+    """All pairs of a posting that are not in one component yet and whose sketches allow a link; sets of the posting's largest component meet
+    only the others.
+
+    With `best`, each of the others meets one set only: the one whose sketch differs least.
+    """
+    labelled = labelled.join(texts.select("class", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]), "class")
     by = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
     most = by.groupBy("sig").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "component"))["component"].alias("largest")).where("kinds > 1").drop("kinds")
     open_ = labelled.join(most, "sig")
-    left = open_.where("component <> largest").select("sig", F.col("class").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = open_.select("sig", F.col("class").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"))
-    near = (F.col("cx") != F.col("cy")) & (F.least("nx", "ny") * den >= F.greatest("nx", "ny") * num)
-    return left.join(right, "sig").where(near).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, leader_turns: int = 2) -> DataFrame:
+    columns = ("class", "n", "component", "core", "rest", *[f"s{i}" for i in range(SKETCH)])
+    left = open_.where("component <> largest").select("sig", *[F.col(c).alias(f"x_{c}") for c in columns])
+    right = open_.select("sig", *[F.col(c).alias(f"y_{c}") for c in columns])
+    near = _may_link({c: f"x_{c}" for c in columns}, {c: f"y_{c}" for c in columns}, num, den)
+    differing = sum(F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(SKETCH))
+    met = left.join(right, "sig").where(near & (differing * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num)))
+    if best:
+        met = met.groupBy("x_class").agg(F.min(F.struct(differing.alias("differing"), "y_class"))["y_class"].alias("y_class"))
+    return met.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, leader_turns: int = 1, best_turns: int = 1) -> DataFrame:
     """One row per row of `docs`: key, n_shingles, class_id (least key with an equal set), component_id (least key reachable by links).
 
     Rows link when den * intersection >= num * union of their sets of `size`-word shingles (fewer words: the whole sequence as one shingle; A-Z
     lower-cased, words between ASCII white space). NULL, empty and wordless texts have n_shingles 0 and are linked with nothing. Equal
     sets are one class and are indexed once. Repeated keys are rows of their own; a NULL key counts after all others as a representative.
 
-    First each set is checked against leaders of its postings, then every pair of a posting that is still in two components: all links
-    between different sets count, yet large groups of near copies are not expanded into pairs. Only byte-sized word levels and a bit field,
+    First each set is checked against leaders of its postings and against the best partner it meets, then every pair of a posting that is still
+    in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only byte-sized rarities and a bit field,
     both of fixed size, pass through the driver.
     """
     described = materialise(describe(docs, key, text, size), "shingle-sets")
-    levels = word_levels(described)
-    postings = materialise(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
+    levels = rarities(described)
+    found_twice = materialise(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
+    postings = materialise(with_partners(found_twice), "postings")
     rows = described.where("chunk IS NULL").select("key", "n_shingles", "class")
     texts = materialise(candidate_texts(docs, text, key, rows, postings, size), "texts")
     found, links = None, None
-    for turn in range(leader_turns + 1):
+    for turn in range(leader_turns + best_turns + 1):
         labelled = _labelled(postings, found)
-        pairs = _star_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, num, den)
+        pairs = _star_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, texts, num, den, turn < leader_turns + best_turns)
         new = materialise(check(pairs, texts, size, num, den), "links")
         links = new if links is None else links.union(new)
         found = components(links)
