@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from matchline.functions import fixed
 from matchline.operators import calibration as C
 from matchline.operators import evaluation as E
+from matchline.plans import backtest as B
 
 from .fixtures import REG, r6, rounded
 
@@ -377,4 +378,9 @@ def _(d):
     return rounded(out.select("game_key", "pred_scaled", "edge", "cover_prob", "is_bet"), "pred_scaled", "edge", "cover_prob")
 
 
-FLAGSHIP = edge_buckets_query
+@REG.add("selective_backtest")
+def _(d):
+    games = d["games"]
+    middle = games.agg(F.percentile("season", 0.6).cast("int")).first()[0]
+    out = B.selective_backtest(games.filter(F.col("season") <= middle), games.filter(F.col("season") > middle))
+    return rounded(out, "hit_rate", "roi")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import cleaning, evaluation, history, models
+from ..operators import calibration, cleaning, evaluation, history, models
 from ..sources.scratch import materialise
 
 _PREDS = {"Ridge": "pred_ridge", "GBM": "pred_gbm", "Ensemble": "pred_ensemble"}
@@ -68,7 +68,12 @@ def cross_validation(features_df: DataFrame, features: Sequence[str], n_splits:
 def ablation_table(
     features_df: DataFrame, sets: dict[str, list[str]], train: Sequence, val: Sequence, test: Sequence, gbt_params: dict | None = None
 ) -> DataFrame:
-    """Feature set, its size, and the ensemble's test hit rate and return."""
+    """Feature set, its size, and the ensemble's test hit rate and return.
+
+    The input is written once with the columns of all sets; each set filters those rows.
+    """
+    wanted = dict.fromkeys(["game_key", "season", "date", "spread_a", "final_margin_a", "cover_a", *[c for s in sets.values() for c in s]])
+    features_df = materialise(features_df.select(*[c for c in wanted if c in features_df.columns]), "ablation")
     out = []
     for name, features in sets.items():
         res = holdout_evaluation(features_df, features, train, val, test, gbt_params)
@@ -82,6 +87,32 @@ def ablation_table(
     return _union(out)
 
 
+def selective_backtest(
+    val: DataFrame, test: DataFrame, models_used: Sequence[str] = ("ridge", "gbm", "dnn"), band: tuple[float, float] = (5.0, 7.0), key: str = "game_key"
+) -> DataFrame:
+    """Fit the selection on validation rows and measure it on test rows: strategy, n_bets, hit_rate, roi.
+
+    Strategies: every decided row, the stable threshold, the temperature-scaled prediction at that threshold, one edge band, and the calibrated
+    mask. Both frames hold one prediction column per model, the line and the cover label; the test rows are read once.
+    """
+    cal = calibration.calibration_fit(val, models_used, key)
+    rows = calibration.calibrated_bet_mask(test, cal)
+    raw = evaluation.edge_of(evaluation.combine_weighted(cal.weights, list(cal.weights)), "spread_a")
+    scaled, cover = F.col("edge"), F.col("cover_a")
+    least = F.lit(float(cal.threshold))
+    bets = {
+        "all": (raw, F.lit(True)),
+        "threshold": (raw, F.abs(raw) >= least),
+        "scaled": (scaled, F.abs(scaled) >= least),
+        "band": (raw, (F.abs(raw) >= band[0]) & (F.abs(raw) < band[1])),
+        "calibrated": (scaled, F.col("is_bet")),
+    }
+    long = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(name).alias("strategy"), F.when(chosen, evaluation.hit_of(e, cover)).alias("hit")) for i, (name, (e, chosen)) in enumerate(bets.items())])))
+    n, wins = evaluation.count_where(F.col("hit").isNotNull()), evaluation.count_where(F.coalesce("hit", F.lit(False)))
+    out = long.groupBy("place", "strategy").agg(n.alias("n_bets"), wins.alias("wins"))
+    return out.select("strategy", "n_bets", evaluation.rate_of(F.col("wins"), F.col("n_bets")).alias("hit_rate"), evaluation.roi_of(F.col("wins"), F.col("n_bets")).alias("roi"))
+
+
 def holdout_summary(result: dict) -> DataFrame:
     """One row: test metrics of the ensemble, the tuned threshold and the metrics at it."""
     test = result["metrics"].filter("split = 'test' and model = 'Ensemble'").select(

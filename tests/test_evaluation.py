@@ -116,3 +116,29 @@ def test_trees_beat_the_mean_and_survive_saving(spark, games, tmp_path):
     loaded, weights, threshold = M.load_models(str(tmp_path / "m"), spark)
     assert (weights, threshold) == ({"gbm": 1.0}, 4.5)
     assert M.feature_importance(loaded["gbm"], spark).first()["feature"] == "x"
+
+
+def test_selective_backtest_measures_the_mask(spark, games):
+    from matchline.plans import backtest as B
+
+    val, test = games.filter("season <= 1998"), games.filter("season > 1998")
+    out = {r["strategy"]: r for r in B.selective_backtest(val, test).collect()}
+    cal = C.calibration_fit(val)
+    rows = C.calibrated_bet_mask(test, cal).withColumn("raw", E.combine_weighted(cal.weights, list(cal.weights)) + F.col("spread_a")).toPandas()
+    decided = rows[rows.cover_a.isin([0.0, 1.0])]
+
+    def expected(edge, chosen):
+        bets = decided[chosen & edge.notna()]
+        hits = np.where(edge[bets.index] > 0, bets.cover_a == 1.0, bets.cover_a == 0.0)
+        return len(bets), int(hits.sum())
+
+    raw, scaled = decided.raw, decided.edge
+    cases = {
+        "all": (raw, raw.notna()), "threshold": (raw, raw.abs() >= cal.threshold), "scaled": (scaled, scaled.abs() >= cal.threshold),
+        "band": (raw, (raw.abs() >= 5) & (raw.abs() < 7)), "calibrated": (scaled, decided.is_bet),
+    }
+    assert set(out) == set(cases)
+    for name, (edge, chosen) in cases.items():
+        n, wins = expected(edge, chosen)
+        assert out[name]["n_bets"] == n, name
+        assert out[name]["hit_rate"] == pytest.approx(wins / n if n else 0.0) and out[name]["roi"] == pytest.approx((wins * 100 / 110 - (n - wins)) / n if n else 0.0)
