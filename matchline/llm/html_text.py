@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from matchline.sources.scratch import materialise
+
 from . import words
 
 #: A text node of the template: the same on this share of at least so many other pages aligned with it.
@@ -263,8 +265,9 @@ def _reference(html: str) -> tuple[Node, tuple[str, ...]]:
     return root, tuple(n.text for n in text_nodes(root))
 
 
-def _joined(pages: DataFrame, small: DataFrame, size: int) -> DataFrame:
+def _joined(pages: DataFrame, small: DataFrame) -> DataFrame:
     """Join by host; broadcast what is measured to be small, else shuffle and let adaptive execution split hot hosts."""
+    size = small.agg(F.sum(sum(F.octet_length(c) if t == "string" else 4 * F.greatest(F.size(c), F.lit(0)) for c, t in small.dtypes))).first()[0] or 0
     return pages.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, "_host", "left")
 
 
@@ -279,8 +282,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     """
     rows = pages.withColumn("_host", _host(F.col(url)))
     references = rows.where(F.length(html) > 0).groupBy("_host").agg(F.min_by(html, F.md5(html)).alias("_reference"))
-    size = references.agg(F.sum(F.octet_length("_reference") + F.octet_length("_host"))).first()[0] or 0
-    aligned = _joined(rows, references, size)
+    references = materialise(references, "references")
+    aligned = _joined(rows, references)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[tuple[str, int], list[int]] = {}
@@ -308,7 +311,8 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
     counts = aligned.select("_host", F.col(html).alias("html"), "_reference").mapInArrow(count, "_host string, node int, n long, same long")
     constant = counts.groupBy("_host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= F.col("n") * CONSTANT_SHARE))
     templates = constant.groupBy("_host").agg(F.collect_set("node").alias("_constant"))  # at most the nodes of one page
-    full = aligned.join(templates, "_host", "left").withColumn(out, F.lit(None).cast("string"))
+    wrappers = materialise(references.join(templates, "_host", "left"), "wrappers")
+    full = _joined(rows, wrappers).withColumn(out, F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
