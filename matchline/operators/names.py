@@ -1,9 +1,8 @@
 """Entity-name resolution.
 
-Every stage is an equality lookup. Prefix, containment and shared-word matching become one by
-indexing the prefixes, substrings or word sets of the target names, aggregated per index key
-before the join. No pair of names is ever emitted to be thrown away, and a hot word costs one
-index row.
+Every stage is an equality lookup. Prefix and containment matching become one by indexing the
+prefixes or substrings of the target names, aggregated per index key before the join. Shared words
+are matched through the rarest words of a name, so a hot word joins nothing.
 """
 
 from __future__ import annotations
@@ -17,11 +16,9 @@ from ..functions import exprs as X
 from ..functions import fixed
 from .joins import lookup_join
 
-MAX_SUBSET_WORDS = 10
 # How many index rows a name may yield, for the size check of the lookup.
 PREFIX_GROWTH = 200
 SUBSTRING_GROWTH = 5000
-SUBSET_GROWTH = 4 * 2**MAX_SUBSET_WORDS
 
 
 def name_table(spark, pairs: dict[str, str], raw: str = "raw_name", canonical: str = "canonical_name") -> DataFrame:
@@ -201,38 +198,33 @@ def _word_set(c: str) -> Column:
     return F.array_sort(F.array_distinct(X.words(F.lower(c))))
 
 
-def _subsets(ws: Column) -> Column:
-    """All non-empty sub-lists of a short word list, as joined text with their size."""
-    empty = F.array(F.array().cast("array<string>"))
-    grown = F.aggregate(ws, empty, lambda acc, w: F.concat(acc, F.transform(acc, lambda s: F.array_append(s, w))))
-    return F.transform(
-        F.filter(grown, lambda s: F.size(s) > 0), lambda s: F.struct(F.array_join(s, " ").alias("key"), F.size(s).alias("overlap"))
-    )
-
-
 def token_overlap_join(raw: DataFrame, canonical: DataFrame, raw_name: str = "raw_name", name: str = "canonical_name") -> DataFrame:
     """(raw_name, canonical_name, overlap): the canonical name sharing most words, first name on ties.
 
-    A k-word overlap means a common k-word subset. Subsets of each canonical name are indexed and
-    reduced to the first name per subset, then looked up. Names of more than ten words, whose
-    subsets would be too many, are compared through their single words.
+    A raw name's known words are ordered from rare to frequent. The names that hold its rarest word give a lower bound on the best overlap; a
+    name that shares `best` of its `n` words must hold one of the n - best + 1 rarest, so only these are joined and the overlap is counted on
+    the few names found. An overlap of one needs no pairs at all: the first name of each word is known. The hottest word of a name
+    is never joined, and all names take this path.
     """
     left = raw.select(raw_name).filter(F.col(raw_name).isNotNull()).distinct().withColumn("_ws", _word_set(raw_name))
-    right = canonical.select(F.col(name).alias("match")).filter(F.col("match").isNotNull()).distinct().withColumn("_ws", _word_set("match"))
-    short = F.size("_ws") <= MAX_SUBSET_WORDS
-    index = (
-        right.filter(short).select("match", F.inline(_subsets(F.col("_ws")))).groupBy("key", "overlap").agg(F.min("match").alias("match"))
-    )
-    probes = left.filter(short).select(raw_name, F.inline(_subsets(F.col("_ws"))))
-    found = lookup_join(probes, index, ["key", "overlap"], growth=SUBSET_GROWTH).filter(F.col("match").isNotNull()).select(raw_name, "match", "overlap")
-
-    def by_word(a: DataFrame, b: DataFrame) -> DataFrame:
-        a = a.select(raw_name, F.explode("_ws").alias("_w"))
-        b = b.select("match", F.explode("_ws").alias("_w"))
-        return a.join(b, "_w").groupBy(raw_name, "match").agg(F.count("*").cast("int").alias("overlap"))
-
-    found = found.unionByName(by_word(left.filter(~short), right)).unionByName(by_word(left.filter(short), right.filter(~short)))
-    best = found.groupBy(raw_name).agg(F.min(F.struct((-F.col("overlap")).alias("_neg"), "match")).alias("_b"))
+    right = canonical.select(F.col(name).alias("match")).filter(F.col("match").isNotNull()).distinct().withColumn("_cs", _word_set("match"))
+    postings = right.select("match", F.explode("_cs").alias("_w"))
+    known = postings.groupBy("_w").agg(F.count("*").alias("_n"), F.min("match").alias("_first"))
+    found = lookup_join(left.select(raw_name, F.explode("_ws").alias("_w")), known, ["_w"]).filter(F.col("_n").isNotNull())
+    by_name = found.groupBy(raw_name).agg(F.array_sort(F.collect_list(F.struct("_n", "_w"))).alias("_rare"), F.min("_first").alias("_first"))  # the words of one name
+
+    def overlaps(probes: DataFrame) -> DataFrame:
+        pairs = probes.join(postings, "_w").select(raw_name, "match").distinct()
+        shared = pairs.join(left, raw_name).join(right, "match")
+        return shared.select(raw_name, "match", F.size(F.array_intersect("_ws", "_cs")).alias("overlap"))
+
+    rarest = by_name.select(raw_name, F.get("_rare", F.lit(0))["_w"].alias("_w"))
+    least = overlaps(rarest).groupBy(raw_name).agg(F.max("overlap").alias("_least"))
+    wanted = F.size("_rare") - F.greatest(F.col("_least"), F.lit(2)) + 1
+    probes = by_name.join(least, raw_name).filter(wanted > 0).select(raw_name, F.explode(F.slice("_rare", F.lit(1), wanted)).alias("_r")).select(raw_name, "_r._w")
+    many = overlaps(probes).select(raw_name, F.struct((-F.col("overlap")).alias("_neg"), "match").alias("_b"))
+    one = by_name.select(raw_name, F.struct(F.lit(-1).alias("_neg"), F.col("_first").alias("match")).alias("_b"))
+    best = many.unionByName(one).groupBy(raw_name).agg(F.min("_b").alias("_b"))
     return best.select(raw_name, F.col("_b.match").alias(name), (-F.col("_b._neg")).alias("overlap"))
 
 

@@ -132,3 +132,23 @@ def test_late_batches_of_odds_are_kept(spark, tmp_path):
     assert seen == [["far"], ["far", "near", "next"], ["far", "first", "near", "next"]]
 
 
+
+
+def test_shared_words_of_names_of_any_length(spark):
+    import random
+
+    from matchline.operators import names
+
+    rng = random.Random(11)
+    words = ["state", "of", "the"] * 6 + [f"w{i}" for i in range(40)]
+    make = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    canonical = sorted({make(rng.choice([1, 1, 2, 3, 5, 12, 40])) for _ in range(120)})
+    raw = sorted({make(rng.choice([1, 2, 3, 9, 10, 11, 12, 40])).upper() for _ in range(150)} | {"nothing known", "", "State"})
+    want = {}
+    for r in raw:
+        best = max(((len(set(r.lower().split()) & set(c.split())), [-ord(x) for x in c] + [1], c) for c in canonical), default=None)
+        if best and best[0]:
+            tied = [c for c in canonical if len(set(r.lower().split()) & set(c.split())) == best[0]]
+            want[r] = (min(tied), best[0])
+    got = names.token_overlap_join(spark.createDataFrame([(r,) for r in raw] + [(None,)], "raw_name string"), spark.createDataFrame([(c,) for c in canonical], "canonical_name string"))
+    assert {r.raw_name: (r.canonical_name, r.overlap) for r in got.collect()} == want
