@@ -28,12 +28,12 @@ def components(links: DataFrame) -> DataFrame:
 
     Each step is written to the shared folder and works on link rows only; the number of steps grows with the logarithm of the longest chain.
     """
-    edges = materialise(links.select("a", "b").where("a <> b").distinct(), "links")
-    mark = None
+    edges = links.select("a", "b").where("a <> b").distinct()
     while True:
         edges = materialise(_small_star(_large_star(edges)), "links")
-        state = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == mark:
+        # Done when each node has one edge and no edge ends at a node that has one itself.
+        inner = edges.join(edges.select(F.col("b").alias("a")).distinct(), "a", "left_semi").agg(F.count(F.lit(1)).alias("inner"))
+        n, nodes = edges.agg(F.count(F.lit(1)), F.countDistinct("a")).first()
+        if n == nodes and not inner.first()[0]:
             break
-        mark = state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -15,7 +15,7 @@ from .language import held_out
 
 #: Labelled rows that a fit takes at most: those with the lowest digest of their key. This bounds the fit, not the scoring.
 FIT_ROWS = 20_000
-BINS, TREES, DEPTH, RATE, LEAST_WEIGHT, RIDGE = 64, 80, 4, 0.15, 5.0, 1.0
+BINS, TREES, DEPTH, RATE, LEAST_WEIGHT, RIDGE = 64, 80, 4, 0.15, 1.0, 1.0
 
 # Byte classes: 0 other, then letters, capitals, digits, blanks, line ends, bytes of non-ASCII letters, and single marks.
 _MARKS = b".,!?;:#$%&*|-_<>(){}[]/\\\"'@=+~^"
