@@ -59,17 +59,18 @@ def with_next(docs: DataFrame, key: str = "doc_id", text: str = "text", slice_by
     width = -(-(high - low + 1) // CELLS)
     cell = F.when(F.col("key").isNull(), 0).otherwise(F.floor((F.col("key").cast("decimal(20,0)") - low) / width)).cast("int")
     counted = rows.groupBy(cell.alias("cell")).agg(F.sum(F.octet_length("text") + 1).alias("n"), F.min(F.struct("key")).alias("k")).orderBy("cell").collect()
-    slice_of, firsts, before, filled = [0] * ((counted[-1].cell if counted else 0) + 1), [], 0, slice_bytes
+    slices, firsts, filled = [], [], slice_bytes
     for c in counted:
         if filled >= slice_bytes:
             firsts.append(c.k.key)
             filled = 0
         filled += c.n
-        slice_of[c.cell] = len(firsts) - 1
+        slices.append((c.cell, len(firsts) - 1))
     # The first key of a slice is looked for from the slice before it; that of slice 0 from the last.
     wanted = docs.sparkSession.createDataFrame([(k, (i or len(firsts)) - 1) for i, k in enumerate(firsts)], "first long, slice int")
     heads = rows.join(F.broadcast(wanted), F.col("key").eqNullSafe(F.col("first"))).groupBy("slice", "key").agg(F.min("text").alias("text"))
-    own = rows.select("key", "text", F.element_at(F.lit(slice_of), cell + 1).alias("slice"), F.lit(0).alias("head"))
+    own = rows.withColumn("cell", cell).join(F.broadcast(docs.sparkSession.createDataFrame(slices, "cell int, slice int")), "cell")  # at most CELLS short rows
+    own = own.select("key", "text", "slice", F.lit(0).alias("head"))
     dealt = own.unionByName(heads.select("key", "text", "slice", F.lit(1).alias("head"))).repartition("slice")
     order = Window.partitionBy("slice").orderBy("head", "key", "text")
     led = with_anchors(dealt, "text", "anchors").withColumns({"next_text": F.lead("text").over(order), "next_anchors": F.lead("anchors").over(order)})
