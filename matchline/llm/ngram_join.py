@@ -19,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchline.sources.scratch import materialise
@@ -40,6 +40,8 @@ CLASS_TOKENS = 64
 FILTER_BITS = 1 << 23
 #: 64-bit numbers of a parity sketch. Two sketches differ in at most as many bits as their sets differ in tokens.
 SKETCH = 8
+#: Leaders of a posting in one turn.
+LEADERS = 4
 _PAIR = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -269,48 +271,56 @@ def _may_link(x: dict[str, str], y: dict[str, str], num: int, den: int):
     return enough & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (F.col(x["component"]) != F.col(y["component"])) & core
 
 
-def _star_pairs(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """For each set the leader it shares most signatures with. A posting's leader is the set with the most partners, in later turns the least in
-    an order that changes with the turn."""
-    place = -F.col("partners") if turn == 0 else F.xxhash64("class", F.lit(turn))
-    lead = F.min(F.struct(place.alias("place"), F.col("class").alias("a"), "n", "component", "core", "rest")).over(Window.partitionBy("sig"))
-    columns = ("n", "component", "core", "rest")
-    near = _may_link({c: c for c in columns}, {c: f"lead.{c}" for c in columns}, num, den)
-    met = labelled.withColumn("lead", lead).where(near).groupBy("class", F.col("lead.a").alias("a")).agg(F.count(F.lit(1)).alias("shared"))
-    best = met.groupBy("class").agg(F.max(F.struct("shared", "a")).alias("best"))
-    return best.select(F.least("class", "best.a").alias("a"), F.greatest("class", "best.a").alias("b")).distinct()
+def _with_sketch(labelled: DataFrame, texts: DataFrame) -> DataFrame:
+    return labelled.join(texts.select("class", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]), "class")
 
 
-def _cross_pairs(labelled: DataFrame, texts: DataFrame, num: int, den: int, best: bool = False) -> DataFrame:
-    """All pairs of a posting that are not in one component yet and whose sketches allow a link; sets of the posting's largest component meet
-    only the others.
+_SIDE = ("class", "n", "component", "core", "rest", *[f"s{i}" for i in range(SKETCH)])
 
-    With `best`, each of the others meets one set only: the one whose sketch differs least.
-    """
-    labelled = labelled.join(texts.select("class", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]), "class")
+
+def _side(rows: DataFrame, name: str) -> DataFrame:
+    return rows.select("sig", *[F.col(c).alias(f"{name}_{c}") for c in _SIDE])
+
+
+def _differing() -> Column:
+    return sum(F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(SKETCH))
+
+
+def _met(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs of a posting that may link, and whose sketches do not differ in more bits than their sets may."""
+    near = _may_link({c: f"x_{c}" for c in _SIDE}, {c: f"y_{c}" for c in _SIDE}, num, den)
+    return _side(left, "x").join(_side(right, "y"), "sig").where(near & (_differing() * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num)))
+
+
+def _ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _leader_pairs(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """For each set the nearest by sketch of the leaders that it meets. The leaders of a posting are the LEADERS sets with the most partners, in later
+    turns the first in an order that changes with the turn; so a posting of m sets gives at most LEADERS * m pairs."""
+    place = -F.col("partners") if turn == 0 else F.xxhash64("class", F.lit(turn))
+    leaders = labelled.withColumn("_place", F.row_number().over(Window.partitionBy("sig").orderBy(place, "class"))).where(F.col("_place") <= LEADERS)
+    nearest = _met(labelled, leaders, num, den).groupBy("x_class").agg(F.min(F.struct(_differing().alias("differing"), "y_class"))["y_class"].alias("y_class"))
+    return nearest.select(*_ordered("x_class", "y_class")).distinct()
+
+
+def _cross_pairs(labelled: DataFrame, num: int, den: int) -> DataFrame:
+    """All pairs of a posting that are not in one component yet and may link; sets of the posting's largest component meet only the others."""
     by = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
     most = by.groupBy("sig").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "component"))["component"].alias("largest")).where("kinds > 1").drop("kinds")
     open_ = labelled.join(most, "sig")
-    columns = ("class", "n", "component", "core", "rest", *[f"s{i}" for i in range(SKETCH)])
-    left = open_.where("component <> largest").select("sig", *[F.col(c).alias(f"x_{c}") for c in columns])
-    right = open_.select("sig", *[F.col(c).alias(f"y_{c}") for c in columns])
-    near = _may_link({c: f"x_{c}" for c in columns}, {c: f"y_{c}" for c in columns}, num, den)
-    differing = sum(F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(SKETCH))
-    met = left.join(right, "sig").where(near & (differing * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num)))
-    if best:
-        met = met.groupBy("x_class").agg(F.min(F.struct(differing.alias("differing"), "y_class"))["y_class"].alias("y_class"))
-    return met.select(F.least("x_class", "y_class").alias("a"), F.greatest("x_class", "y_class").alias("b")).distinct()
-
-
-def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, leader_turns: int = 1, best_turns: int = 1) -> DataFrame:
+    return _met(open_.where("component <> largest"), open_, num, den).select(*_ordered("x_class", "y_class")).distinct()
+
+
+def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, leader_turns: int = 3) -> DataFrame:
     """One row per row of `docs`: key, n_shingles, class_id (least key with an equal set), component_id (least key reachable by links).
 
     Rows link when den * intersection >= num * union of their sets of `size`-word shingles (fewer words: the whole sequence as one shingle; A-Z
     lower-cased, words between ASCII white space). NULL, empty and wordless texts have n_shingles 0 and are linked with nothing. Equal
     sets are one class and are indexed once. Repeated keys are rows of their own; a NULL key counts after all others as a representative.
 
-    First each set is checked against leaders of its postings and against the best partner it meets, then every pair of a posting that is still
-    in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only byte-sized rarities and a bit field,
+    First each set is checked against the nearest leader of its postings, in a few turns, then every pair of a posting that is still in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only byte-sized rarities and a bit field,
     both of fixed size, pass through the driver.
     """
     described = materialise(describe(docs, key, text, size), "shingle-sets")
@@ -320,9 +330,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     rows = described.where("chunk IS NULL").select("key", "n_shingles", "class")
     texts = materialise(candidate_texts(docs, text, key, rows, postings, size), "texts")
     found, links = None, None
-    for turn in range(leader_turns + best_turns + 1):
-        labelled = _labelled(postings, found)
-        pairs = _star_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, texts, num, den, turn < leader_turns + best_turns)
+    for turn in range(leader_turns + 1):
+        labelled = _with_sketch(_labelled(postings, found), texts)
+        pairs = _leader_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, num, den)
         new = materialise(check(pairs, texts, size, num, den), "links")
         links = new if links is None else links.union(new)
         found = components(links)
