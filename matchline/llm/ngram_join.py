@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchline.sources.scratch import materialise
+from matchline.sources.scratch import scratch_path
 
 from . import shingles, words
 from .components import components
@@ -313,6 +313,13 @@ def _cross_pairs(labelled: DataFrame, num: int, den: int) -> DataFrame:
     return _met(open_.where("component <> largest"), open_, num, den).select(*_ordered("x_class", "y_class")).distinct()
 
 
+def _kept(df: DataFrame, name: str) -> DataFrame:
+    """Write the frame to the shared folder, well compressed, and read it back."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, num: int = 80, den: int = 100, leader_turns: int = 3) -> DataFrame:
     """One row per row of `docs`: key, n_shingles, class_id (least key with an equal set), component_id (least key reachable by links).
 
@@ -323,17 +330,17 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     First each set is checked against the nearest leader of its postings, in a few turns, then every pair of a posting that is still in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only byte-sized rarities and a bit field,
     both of fixed size, pass through the driver.
     """
-    described = materialise(describe(docs, key, text, size), "shingle-sets")
+    described = _kept(describe(docs, key, text, size), "shingle-sets")
     levels = rarities(described)
-    found_twice = materialise(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
-    postings = materialise(with_partners(found_twice), "postings")
+    found_twice = _kept(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
+    postings = _kept(with_partners(found_twice), "postings")
     rows = described.where("chunk IS NULL").select("key", "n_shingles", "class")
-    texts = materialise(candidate_texts(docs, text, key, rows, postings, size), "texts")
+    texts = _kept(candidate_texts(docs, text, key, rows, postings, size), "texts")
     found, links = None, None
     for turn in range(leader_turns + 1):
         labelled = _with_sketch(_labelled(postings, found), texts)
         pairs = _leader_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, num, den)
-        new = materialise(check(pairs, texts, size, num, den), "links")
+        new = _kept(check(pairs, texts, size, num, den), "links")
         links = new if links is None else links.union(new)
         found = components(links)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("class_id"))
