@@ -19,7 +19,7 @@ BINS, TREES, DEPTH, RATE, LEAST_WEIGHT, RIDGE = 64, 80, 4, 0.15, 1.0, 1.0
 
 # Byte classes: 0 other, then letters, capitals, digits, blanks, line ends, bytes of non-ASCII letters, and single marks.
 _MARKS = b".,!?;:#$%&*|-_<>(){}[]/\\\"'@=+~^"
-_CLASS = np.zeros(256, np.int64)
+_CLASS = np.zeros(256, np.int32)
 _CLASS[0x61:0x7B], _CLASS[0x41:0x5B], _CLASS[0x30:0x3A], _CLASS[[0x20, 0x09]], _CLASS[[0x0A, 0x0D]], _CLASS[0x80:] = 1, 2, 3, 4, 5, 6
 for _i, _b in enumerate(_MARKS):
     _CLASS[_b] = 7 + _i
@@ -33,8 +33,9 @@ def statistics(texts: pa.Array) -> np.ndarray:
     n = len(texts)
     offsets, data = words.raw(texts)
     size = np.diff(offsets).astype(np.int64)
-    doc = np.repeat(np.arange(n), size)
-    counts = np.bincount(doc * CLASSES + _CLASS[data], minlength=n * CLASSES).reshape(n, CLASSES)
+    cell = np.repeat(np.arange(n, dtype=np.int32) * CLASSES, size)
+    cell += _CLASS[data]
+    counts = np.bincount(cell, minlength=n * CLASSES).reshape(n, CLASSES)
     shares = counts / np.maximum(size, 1)[:, None]
     one, three = shingles.Shingled(texts, 1), shingles.Shingled(texts, 3)
     more = np.zeros((n, FEATURES - CLASSES))

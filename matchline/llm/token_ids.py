@@ -16,7 +16,7 @@ from . import words
 
 #: The tokenizer of the registered queries; paths are a parameter everywhere.
 WORD_TOKENIZER = "word_bpe_49k.json"
-CACHED_WORDS = 800_000
+CACHED_WORDS = 250_000
 _JOINED = 400
 _PLAIN_WORD = "^[a-zß-öø-ÿ]+$"
 _LETTER = np.zeros(256, bool)
