@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Set
 from functools import lru_cache
 from html import unescape
 
@@ -38,6 +38,8 @@ NO_TEXT_WORDS = set(
     "gdpr notice popup modal overlay newsletter subscribe signup login comment comments commentlist respond reply replies disqus social share sharing related "
     "recommended recommendations breadcrumb breadcrumbs pagination pager widget toolbar toc".split()
 )
+#: Blocks of running text: inside the article no class word or id takes them away.
+TEXT_BLOCKS = set("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd td th".split())
 HEADER_WORDS, ARTICLE_WORDS = {"header", "topbar"}, {"article", "post", "entry", "content", "story", "body", "main"}
 
 _TOKEN = re.compile(
@@ -220,26 +222,63 @@ def align(page: Node, reference: Node) -> dict[int, Node]:
     return pairs
 
 
-def text_nodes(root: Node) -> list[Node]:
-    """Text nodes of the article in page order: of article elements, else of main, else of the body, without marked parts and link lists."""
-    def walk(node: Node, wanted: str | None) -> Iterator[Node]:
-        todo = [(node, wanted is None)]
-        while todo:
-            at, inside = todo.pop()
-            if at.skip:
+def _preorder(root: Node) -> list[Node]:
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(reversed(node.children))
+    return order
+
+
+def _unmarked(root: Node, template: Set[int] | None = None) -> tuple[list[Node], dict[str, set[int]]]:
+    """Text nodes that are neither template nor marked, in page order; by tag the numbers of those inside an article or main element.
+
+    Marks have no say on a part that holds most of the page's varying text, if it wraps an article or hardly any unmarked text is left
+    without it, nor on a paragraph, a heading or a list of links inside the article. Without a `template` only article elements show where that is.
+    """
+    aligned, template = template is not None, template or set()
+    order = _preorder(root)
+    varying, free, wraps = ([0] * len(order) for _ in range(3))
+    for node in reversed(order):
+        n = node.number
+        if node.tag == "#text":
+            varying[n] = free[n] = 0 if n in template else len(node.text)
+        else:
+            varying[n] = sum(varying[c.number] for c in node.children)
+            free[n] = 0 if node.skip else sum(free[c.number] for c in node.children)
+            wraps[n] = not node.skip and node.article or any(wraps[c.number] for c in node.children)
+    most = lambda node: 2 * varying[node.number] > varying[root.number]
+    found, inside, todo = [], {"article": set(), "main": set()}, [(root, False, False, False)]
+    while todo:
+        node, article, main, slot = todo.pop()
+        if node.tag == "#text":
+            if node.number not in template:
+                found.append(node)
+                for tag, held in (("article", article), ("main", main)):
+                    if held:
+                        inside[tag].add(node.number)
+            continue
+        if node.skip and not (slot and node.tag in TEXT_BLOCKS):
+            if not (most(node) and node.tag not in NO_TEXT and (wraps[node.number] or 10 * free[root.number] < varying[node.number])):
                 continue
-            inside = inside or at.tag == wanted
-            if at.tag == "#text":
-                if inside:
-                    yield at
-            elif not (at.tag in ("ul", "ol", "div", "table", "dl") and _is_link_list(at)):
-                todo.extend((c, inside) for c in reversed(at.children))
+        article, main = article or node.tag == "article", main or node.tag == "main"
+        if node.tag in ("ul", "ol", "div", "table", "dl") and not slot and not (most(node) and wraps[node.number]) and _is_link_list(node):
+            continue
+        # The slot is the article, or after alignment the smallest part with most of the varying text.
+        slot = slot or node.tag == "article" or (aligned and node.tag not in ("#root", "html", "body") and most(node) and not any(most(c) and c.tag != "#text" for c in node.children))
+        todo.extend((c, article, main, slot) for c in reversed(node.children))
+    return found, inside
 
-    for wanted in ("article", "main", None):
-        found = list(walk(root, wanted))
-        if found:
-            return found
-    return []
+
+def text_nodes(root: Node) -> list[Node]:
+    """Text nodes of the article by marks and tags alone: of main, else of article elements, where they hold half of the unmarked text or more, else of the body."""
+    found, inside = _unmarked(root)
+    total = sum(len(n.text) for n in found)
+    for wanted in ("main", "article"):
+        if inside[wanted] and 2 * sum(len(n.text) for n in found if n.number in inside[wanted]) >= total:
+            return [n for n in found if n.number in inside[wanted]]
+    return found
 
 
 def _is_link_list(node: Node) -> bool:
@@ -274,15 +313,14 @@ def _joined(pages: DataFrame, small: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """All rows and columns with the main text in `out` (a column of that name is replaced); names that start with _ are used inside.
 
-    The page of a host with the least digest is its reference. Every page is aligned with it; a text node of the reference that is equal on
-    CONSTANT_SHARE of LEAST_PAGES or more aligned pages is template, the other nodes are content. Pages whose article equals the
-    reference's say nothing about what varies and are not counted, so copies of one article do not turn it into a template. Marked
-    parts (menus, headers, notices, comments and so on) never count. Hosts with few pages have no template nodes. NULL and empty pages give
-    an empty text; a NULL url is a host of its own; repeated rows are treated alike.
+    The page of a host and layout with the least digest is its reference. Every page is aligned with it, with all its text nodes; one of the
+    reference that is equal on CONSTANT_SHARE of LEAST_PAGES or more aligned pages is template, the other nodes are varying slots and
+    content, save what is marked (menus, headers, notices, comments and so on). Pages whose article equals the reference's say nothing about
+    what varies and are not counted, so copies of one article do not turn it into a template. Where too few pages can be compared, tags
+    decide: main, else article, else body. NULL and empty pages give an empty text; a NULL url is a host of its own; repeated rows are treated alike.
     """
     rows = pages.withColumn("_host", _host(F.col(url)))
-    references = rows.where(F.length(html) > 0).groupBy("_host").agg(F.min_by(html, F.md5(html)).alias("_reference"))
-    references = materialise(references, "references")
+    references = materialise(rows.where(F.length(html) > 0).groupBy("_host").agg(F.min_by(html, F.md5(html)).alias("_reference")), "references")
     aligned = _joined(rows, references)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,11 +332,10 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
                         continue
                     root = parse(page)
                     base, article = _reference(reference)
-                    own = text_nodes(root)
-                    if tuple(n.text for n in own) == article:
+                    if tuple(n.text for n in text_nodes(root)) == article:
                         continue
                     pairs = align(root, base)
-                    for node in own:
+                    for node in _preorder(root):
                         if node.number in pairs:
                             n = seen.setdefault((host, pairs[node.number].number), [0, 0])
                             n[0] += 1
@@ -309,8 +346,9 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
         yield _counted(seen)
 
     counts = aligned.select("_host", F.col(html).alias("html"), "_reference").mapInArrow(count, "_host string, node int, n long, same long")
-    constant = counts.groupBy("_host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where((F.col("n") >= LEAST_PAGES) & (F.col("same") >= F.col("n") * CONSTANT_SHARE))
-    templates = constant.groupBy("_host").agg(F.collect_set("node").alias("_constant"))  # at most the nodes of one page
+    compared = counts.groupBy("_host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where(F.col("n") >= LEAST_PAGES)
+    constant = F.when(F.col("same") >= F.col("n") * CONSTANT_SHARE, F.col("node"))
+    templates = compared.groupBy("_host").agg(F.collect_set(constant).alias("_constant"))  # at most the nodes of one page; empty if all vary
     wrappers = materialise(references.join(templates, "_host", "left"), "wrappers")
     full = _joined(rows, wrappers).withColumn(out, F.lit(None).cast("string"))
 
@@ -324,15 +362,17 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
 
 
 def article_text(page: str | None, reference: str | None, constant: list[int] | None) -> str:
-    """The content nodes of one page, one a line; `constant` lists the reference nodes that are template."""
+    """The content nodes of one page, one a line; `constant` lists the reference nodes that are template, and is None where tags decide."""
     if not page:
         return ""
     root = parse(page)
-    own = text_nodes(root)
-    if constant and reference:
-        pairs, fixed = align(root, _reference(reference)[0]), set(constant)
-        own = [n for n in own if not (n.number in pairs and pairs[n.number].number in fixed and pairs[n.number].text == n.text)]
-    return "\n".join(n.text for n in own)
+    if constant is None or not reference:
+        return "\n".join(n.text for n in text_nodes(root))
+    fixed, template = set(constant), set()
+    if fixed:
+        nodes = _preorder(root)
+        template = {k for k, n in align(root, _reference(reference)[0]).items() if n.number in fixed and nodes[k].text == n.text}
+    return "\n".join(n.text for n in _unmarked(root, template)[0])
 
 
 def _counted(seen: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
