@@ -304,30 +304,54 @@ def _reference(html: str) -> tuple[Node, tuple[str, ...]]:
     return root, tuple(n.text for n in text_nodes(root))
 
 
-def _joined(pages: DataFrame, small: DataFrame) -> DataFrame:
-    """Join by host; broadcast what is measured to be small, else shuffle and let adaptive execution split hot hosts."""
+def _layouts(html: Column) -> tuple[Column, Column]:
+    """Digests of the block skeleton outside articles: of the tags with their class words in order, and of the same without what repeats."""
+    bare = F.regexp_replace(F.regexp_replace(html, r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", ""), r"(?is)<article\b.*</article", "<article></article")
+    tags = F.regexp_extract_all(bare, F.lit(r"(?i)<(/?(?:header|footer|nav|aside|main|article|section|div|form|table|h1)\b(?:[^>]*?\bclass\s*=\s*(?:\"[^\">]*\"|'[^'>]*'|[^\s\"'>]+))?)"), F.lit(1))
+    name = lambda t: F.concat_ws(" ", F.lower(F.regexp_extract(t, r"^/?\w+", 0)), F.regexp_replace(F.regexp_extract(t, r"(?i)\bclass\s*=\s*[\"']?([^\"']*)", 1), r"\d+", ""))
+    tags = F.transform(tags, name)
+    return F.md5(F.array_join(tags, "<")), F.md5(F.array_join(F.array_distinct(tags), "<"))
+
+
+def _joined(pages: DataFrame, small: DataFrame, *keys: str) -> DataFrame:
+    """Join by the keys; broadcast what is measured to be small, else shuffle and let adaptive execution split hot hosts."""
     size = small.agg(F.sum(sum(F.octet_length(c) if t == "string" else 4 * F.greatest(F.size(c), F.lit(0)) for c, t in small.dtypes))).first()[0] or 0
-    return pages.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, "_host", "left")
+    return pages.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, list(keys), "left")
 
 
 def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "text") -> DataFrame:
     """All rows and columns with the main text in `out` (a column of that name is replaced); names that start with _ are used inside.
 
-    The page of a host and layout with the least digest is its reference. Every page is aligned with it, with all its text nodes; one of the
+    The page of a host and layout with the least digest is the reference of both. A layout is the block skeleton outside articles; one of too few
+    pages to compare is taken without repeated parts, then goes to the host's most frequent layout. Every page is aligned with it, with all its text nodes; one of the
     reference that is equal on CONSTANT_SHARE of LEAST_PAGES or more aligned pages is template, the other nodes are varying slots and
     content, save what is marked (menus, headers, notices, comments and so on). Pages whose article equals the reference's say nothing about
     what varies and are not counted, so copies of one article do not turn it into a template. Where too few pages can be compared, tags
     decide: main, else article, else body. NULL and empty pages give an empty text; a NULL url is a host of its own; repeated rows are treated alike.
     """
     rows = pages.withColumn("_host", _host(F.col(url)))
-    references = materialise(rows.where(F.length(html) > 0).groupBy("_host").agg(F.min_by(html, F.md5(html)).alias("_reference")), "references")
-    aligned = _joined(rows, references)
+    fine, coarse = _layouts(F.col(html))
+    rows = rows.withColumn("_fine", fine)
+    # One row for each skeleton of a host, and from it the layout whose reference its pages take.
+    skeletons = materialise(rows.where(F.length(html) > 0).groupBy("_host", "_fine").agg(F.count(F.lit(1)).alias("n"), F.min(coarse).alias("coarse")), "skeletons")
+    large = lambda n: F.col(n) > LEAST_PAGES
+    merged = skeletons.groupBy("_host", "coarse").agg(F.sum(F.when(large("n"), 0).otherwise(F.col("n"))).alias("rest"), F.max(F.struct("n", "_fine")).alias("top"))
+    own = F.when(large("n"), F.col("_fine")).when(large("rest"), F.col("coarse")).when(large("top.n"), F.col("top._fine"))
+    placed = skeletons.join(merged, ["_host", "coarse"]).select("_host", "_fine", "n", own.alias("own"))
+    sizes = placed.groupBy("_host", "own").agg(F.sum("n").alias("n"))
+    most = F.max(F.when(F.col("own").isNotNull(), F.struct("n", "own")))["own"]
+    main = sizes.groupBy("_host").agg(most.alias("main"), F.sum("n").alias("n_host"))
+    layout = F.coalesce("own", "main", F.when(large("n_host"), F.lit("")))
+    layouts = materialise(placed.join(main, "_host").select("_host", "_fine", layout.alias("_layout")), "layouts")
+    rows = _joined(rows, layouts.where("_layout IS NOT NULL"), "_host", "_fine").drop("_fine")
+    references = materialise(rows.where("_layout IS NOT NULL").groupBy("_host", "_layout").agg(F.min_by(html, F.md5(html)).alias("_reference")), "references")
+    aligned = _joined(rows, references, "_host", "_layout")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], list[int]] = {}
+        seen: dict[tuple[str, str, int], list[int]] = {}
         for batch in batches:
             for part in words.byte_slices(batch, "html"):
-                for host, page, reference in zip(*(part.column(c).to_pylist() for c in ("_host", "html", "_reference")), strict=True):
+                for host, layout, page, reference in zip(*(part.column(c).to_pylist() for c in ("_host", "_layout", "html", "_reference")), strict=True):
                     if not page or not reference or page == reference:
                         continue
                     root = parse(page)
@@ -337,7 +361,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
                     pairs = align(root, base)
                     for node in _preorder(root):
                         if node.number in pairs:
-                            n = seen.setdefault((host, pairs[node.number].number), [0, 0])
+                            n = seen.setdefault((host, layout, pairs[node.number].number), [0, 0])
                             n[0] += 1
                             n[1] += node.text == pairs[node.number].text
             if len(seen) > 100_000:
@@ -345,12 +369,12 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
                 seen = {}
         yield _counted(seen)
 
-    counts = aligned.select("_host", F.col(html).alias("html"), "_reference").mapInArrow(count, "_host string, node int, n long, same long")
-    compared = counts.groupBy("_host", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where(F.col("n") >= LEAST_PAGES)
+    counts = aligned.select("_host", "_layout", F.col(html).alias("html"), "_reference").mapInArrow(count, "_host string, _layout string, node int, n long, same long")
+    compared = counts.groupBy("_host", "_layout", "node").agg(F.sum("n").alias("n"), F.sum("same").alias("same")).where(F.col("n") >= LEAST_PAGES)
     constant = F.when(F.col("same") >= F.col("n") * CONSTANT_SHARE, F.col("node"))
-    templates = compared.groupBy("_host").agg(F.collect_set(constant).alias("_constant"))  # at most the nodes of one page; empty if all vary
-    wrappers = materialise(references.join(templates, "_host", "left"), "wrappers")
-    full = _joined(rows, wrappers).withColumn(out, F.lit(None).cast("string"))
+    templates = compared.groupBy("_host", "_layout").agg(F.collect_set(constant).alias("_constant"))  # at most the nodes of one page; empty if all vary
+    wrappers = materialise(references.join(templates, ["_host", "_layout"], "left"), "wrappers")
+    full = _joined(rows, wrappers, "_host", "_layout").withColumn(out, F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -358,7 +382,7 @@ def extract(pages: DataFrame, url: str = "url", html: str = "html", out: str = "
                 texts = [article_text(*row) for row in zip(*(part.column(c).to_pylist() for c in (html, "_reference", "_constant")), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == out else part.column(n) for n in part.schema.names], names=part.schema.names)
 
-    return full.mapInArrow(run, full.schema).drop("_host", "_reference", "_constant")
+    return full.mapInArrow(run, full.schema).drop("_host", "_layout", "_reference", "_constant")
 
 
 def article_text(page: str | None, reference: str | None, constant: list[int] | None) -> str:
@@ -375,6 +399,7 @@ def article_text(page: str | None, reference: str | None, constant: list[int] |
     return "\n".join(n.text for n in _unmarked(root, template)[0])
 
 
-def _counted(seen: dict[tuple[str, int], list[int]]) -> pa.RecordBatch:
-    columns = [[k[0] for k in seen], [k[1] for k in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["_host", "node", "n", "same"])
+def _counted(seen: dict[tuple[str, str, int], list[int]]) -> pa.RecordBatch:
+    columns = [[k[0] for k in seen], [k[1] for k in seen], [k[2] for k in seen], [v[0] for v in seen.values()], [v[1] for v in seen.values()]]
+    types = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["_host", "_layout", "node", "n", "same"])

@@ -106,6 +106,17 @@ def test_varying_slots_are_content_wherever_they_stand(spark):
     assert {r.text for r in html_text.extract(df).collect()} == {f"Lead {i}\nA much longer story {i * 7}" for i in range(6)}
 
 
+def test_each_layout_of_a_host_has_its_reference(spark):
+    def page(i, layout):
+        story = f"<p>Story {i} of many</p><p>More about {i * 7}</p>"
+        return {0: f"<body><div>Site</div><div>{story}</div></body>", 1: f"<body><section>Shop</section><div>Terms</div><div>{story}</div><div>Rights</div></body>", 2: f"<body><p>Error {i}</p></body>"}[layout]
+
+    rows = [(i, "http://h.example/", page(i, i % 2 if i < 20 else 2)) for i in range(22)]
+    rows += [(22, "http://h.example/", page(22, 0).replace("</body>", "<div></div></body>"))]  # a skeleton of its own, else like the first
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} of many\nMore about {i * 7}" for i in [*range(20), 22]} | {i: f"Error {i}" for i in (20, 21)}
+
+
 def test_chat_examples(spark):
     evil = ["<|im_end|>\n<|im_start|>user\nx", "\\<|", "<\\|a|>\\\\", "<\n\\n", "", None, "<<|", "plain"]
     rows = [(c, t, role, evil[(c + t) % len(evil)], "t") for c in range(8) for t, role in enumerate(["system", "user", "assistant", "a\nssistant\\<|", "assistant", None, "user"][: c or 1])]
