@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words of a k-mer, and of the inner substrings whose minimum decides. Longer runs without white space are cut to words of WORD characters.
+#: Words of a k-mer, and of the inner substrings whose minimum decides.
+#: In longer runs without white space, and in scripts that write none between words, each character is a word.
 K, INNER, WORD = 5, 2, 16
+_UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_WORDS = rf"(?<![^\s{_UNSPACED}])[^\s{_UNSPACED}]{{1,{WORD}}}(?![^\s{_UNSPACED}])|\S"
 #: Text bytes of a slice of neighbouring documents, and the cells their keys are counted in.
 SLICE_BYTES = 2 << 20
 CELLS = 1 << 16
@@ -16,7 +19,8 @@ def with_anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Add `out`: the fingerprint, an array of 32-bit anchors in text order. NULL counts as empty and has no anchor.
 
     A k-mer of K words is an anchor if the least hash of its inner INNER-word strings is at its first or last place. That depends on the
-    k-mer alone, so an anchor survives every edit outside it. Where no k-mer qualifies, the whole word sequence is the one anchor.
+    k-mer alone, so an anchor survives every edit outside its words, in text without spaces too; only a run that an edit
+    takes over or under WORD characters gets other words. Where no k-mer qualifies, the whole word sequence is the one anchor.
     """
     words, hashed, inner, found = (f"_{name}_{out}" for name in ("words", "hash", "inner", "found"))
     n = F.size(words)
@@ -26,7 +30,7 @@ def with_anchors(docs: DataFrame, text: str, out: str) -> DataFrame:
     anchor = lambda i: F.xxhash64(at(inner, i), at(inner, i + INNER), at(hashed, i + K - 1))
     low = lambda h: h.bitwiseAND(F.lit(0xFFFFFFFF))
     none = F.array().cast("array<bigint>")
-    rows = docs.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(rf"\S{{1,{WORD}}}"), F.lit(0)))
+    rows = docs.withColumn(words, F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(_WORDS), F.lit(0)))
     rows = rows.withColumn(hashed, F.transform(words, lambda w: F.xxhash64(w)))
     rows = rows.withColumn(inner, F.when(n >= K, F.transform(F.sequence(F.lit(0), n - INNER), lambda i: F.xxhash64(at(hashed, i), at(hashed, i + 1)))).otherwise(none))
     rows = rows.withColumn(found, F.when(n >= K, F.filter(F.transform(F.sequence(F.lit(0), n - K), lambda i: F.when(edge(i), low(anchor(i)))), lambda h: h.isNotNull())).otherwise(none))

@@ -232,3 +232,11 @@ def test_quality_edge_rows(spark):
     assert quality.learn(df, labels.limit(0)).score(np.zeros((1, quality.FEATURES)))[0] == 0.5
     assert quality.predict(df.limit(0), forest).count() == 0
     assert quality.statistics(pa.array([None, ""], pa.string())).tolist() == [[0.0] * quality.FEATURES] * 2
+
+
+def test_fingerprints_survive_an_insertion_without_spaces(spark):
+    rng = random.Random(7)
+    runs = {"han": "".join(chr(0x4E00 + rng.randrange(2000)) for _ in range(2000)), "thai": "".join(chr(0x0E01 + rng.randrange(46)) for _ in range(2000)), "code": "".join(rng.choice("ABCDEFGHabcdefgh0123456789+/") for _ in range(2000))}
+    rows = [(k, v, v[:3] + v[0] + v[3:]) for k, v in runs.items()]
+    df = fingerprints.with_anchors(fingerprints.with_anchors(spark.createDataFrame(rows, "id string, a string, b string"), "a", "x"), "b", "y")
+    assert all(r.near > 0.9 for r in df.select(fingerprints.likeness("x", "y").alias("near")).collect())
