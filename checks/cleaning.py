@@ -91,13 +91,13 @@ def _captioned(d):
         F.when(t % 41 == 0, "Team").when(t % 43 == 0, None).when(t % 47 == 0, "Ratings on Nov 3").when(t % 37 == 0, "TeamName")
         .otherwise(F.concat(F.lit("School"), t.cast("string")))
     )
-    return d["ratings"].withColumn("TeamName", name)
+    return d["all_ratings"].withColumn("TeamName", name)
 
 
 @REG.add(
     "clean_repeated_headers",
-    f"SELECT concat('School', TeamName) AS TeamName, snapshot_date, {r6('AdjEM', 'AdjEM')} FROM ratings WHERE TeamName % 41 <> 0 AND TeamName % 43 <> 0 AND TeamName % 47 <> 0 AND TeamName % 37 <> 0",
-    ("ratings",),
+    f"SELECT concat('School', TeamName) AS TeamName, snapshot_date, {r6('AdjEM', 'AdjEM')} FROM all_ratings WHERE TeamName % 41 <> 0 AND TeamName % 43 <> 0 AND TeamName % 47 <> 0 AND TeamName % 37 <> 0",
+    ("all_ratings",),
 )
 def _(d):
     return rounded(cleaning.clean_repeated_headers(_captioned(d)).select("TeamName", "snapshot_date", "AdjEM"), "AdjEM")
@@ -111,26 +111,26 @@ def _(d):
 
 @REG.add(
     "column_shift_audit",
-    "SELECT snapshot_date, count(*) AS n_rows, CAST(CASE WHEN month(snapshot_date) = 5 THEN 1 ELSE 0 END AS DOUBLE) AS margin_null_rate, CAST(CASE WHEN month(snapshot_date) = 5 THEN 1 ELSE 0 END AS DOUBLE) AS offence_low_rate, month(snapshot_date) = 5 AS is_shifted FROM ratings GROUP BY snapshot_date",
-    ("ratings",),
+    "SELECT snapshot_date, count(*) AS n_rows, CAST(CASE WHEN month(snapshot_date) = 5 THEN 1 ELSE 0 END AS DOUBLE) AS margin_null_rate, CAST(CASE WHEN month(snapshot_date) = 5 THEN 1 ELSE 0 END AS DOUBLE) AS offence_low_rate, month(snapshot_date) = 5 AS is_shifted FROM all_ratings GROUP BY snapshot_date",
+    ("all_ratings",),
 )
 def _(d):
     may = F.month("snapshot_date") == 5
-    shifted = d["ratings"].withColumns(
+    shifted = d["all_ratings"].withColumns(
         {"AdjOE": F.when(may, F.col("AdjEM")).otherwise(F.col("AdjOE")), "AdjEM": F.when(~may, F.col("AdjEM"))}
     )
     return cleaning.column_shift_audit(shifted, "snapshot_date", "AdjEM", "AdjOE")
 
 
-@REG.add("rename_to_canonical", "SELECT TeamName, AdjEM, AdjOE, AdjDE, AdjTempo FROM ratings", ("ratings",))
+@REG.add("rename_to_canonical", "SELECT TeamName, AdjEM, AdjOE, AdjDE, AdjTempo FROM all_ratings", ("all_ratings",))
 def _(d):
-    raw = d["ratings"].withColumnsRenamed({"TeamName": "Team", "AdjOE": "AdjO", "AdjDE": "AdjD", "AdjTempo": "AdjT"})
+    raw = d["all_ratings"].withColumnsRenamed({"TeamName": "Team", "AdjOE": "AdjO", "AdjDE": "AdjD", "AdjTempo": "AdjT"})
     return cleaning.rename_to_canonical(raw, fixed.RATING_RENAMES, ["TeamName", *fixed.RATING_COLUMNS, *fixed.RANK_COLUMNS])
 
 
-@REG.add("first_available_column", "SELECT TeamName AS entity, AdjOE AS offence FROM ratings", ("ratings",))
+@REG.add("first_available_column", "SELECT TeamName AS entity, AdjOE AS offence FROM all_ratings", ("all_ratings",))
 def _(d):
-    raw = d["ratings"].withColumnsRenamed({"TeamName": "Team", "AdjOE": "AdjO"})
+    raw = d["all_ratings"].withColumnsRenamed({"TeamName": "Team", "AdjOE": "AdjO"})
     return raw.select(
         F.col(cleaning.first_available(raw, "TeamName", "Team")).alias("entity"),
         F.col(cleaning.first_available(raw, "AdjOE", "AdjO")).alias("offence"),

@@ -108,13 +108,13 @@ def ratings_pages(d):
     cells = [F.lit("1"), F.concat(F.lit("School"), num("TeamName")), F.lit("X"), signed, num("AdjOE"), F.lit("1"), num("AdjDE"), F.lit("1"), num("AdjTempo"), F.lit("1"), F.lit("9")]
     caption = "<tr>" + "<td>Ratings on Nov 3</td>" * 10 + "</tr><tr><td>short</td></tr>"
     html = F.concat(F.lit(f"<table id='ratings-table'>{caption}<tr>"), *[cell(c) for c in cells], F.lit("</tr></table>"))
-    return d["ratings"].select("snapshot_date", html.alias("html"))
+    return d["all_ratings"].select("snapshot_date", html.alias("html"))
 
 
 @REG.add(
     "ratings_page_to_rows",
-    "SELECT snapshot_date, concat('School', TeamName) AS TeamName, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM ratings",
-    ("ratings",),
+    "SELECT snapshot_date, concat('School', TeamName) AS TeamName, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM all_ratings",
+    ("all_ratings",),
 )
 def _(d):
     return rounded(pages.ratings_page_to_rows(ratings_pages(d))[0], *fixed.RATING_COLUMNS)

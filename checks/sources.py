@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchline.functions import exprs as X
@@ -12,6 +13,7 @@ from matchline.operators import evaluation as E
 from matchline.operators import models as M
 from matchline.operators import profile
 from matchline.plans import backtest as B
+from matchline.plans import features as plan
 from matchline.sources import readers, writers
 from matchline.sources.scratch import scratch_path
 
@@ -40,23 +42,23 @@ def _(d):
 
 def _snapshot_files(d, by: str):
     path = scratch_path(d.spark, "ratings")
-    _write_csv(d["ratings"].withColumn("day", F.date_format("snapshot_date", by)).drop("snapshot_date"), path, "day")
+    _write_csv(d["all_ratings"].withColumn("day", F.date_format("snapshot_date", by)).drop("snapshot_date"), path, "day")
     return path
 
 
-@REG.add("scan_dated_snapshots", "SELECT TeamName, snapshot_date, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM ratings", ("ratings",))
+@REG.add("scan_dated_snapshots", "SELECT TeamName, snapshot_date, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM all_ratings", ("all_ratings",))
 def _(d):
     rows = readers.read_dated_snapshots(d.spark, _snapshot_files(d, "yyyy-MM-dd") + "/*/*.csv")
     return rounded(rows.withColumn("TeamName", F.col("TeamName").cast("bigint")), *fixed.RATING_COLUMNS)
 
 
-@REG.add("scan_season_snapshots", "SELECT TeamName, CAST(year(snapshot_date) AS INTEGER) AS season, true AS is_leaky, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM ratings", ("ratings",))
+@REG.add("scan_season_snapshots", "SELECT TeamName, CAST(year(snapshot_date) AS INTEGER) AS season, true AS is_leaky, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM all_ratings", ("all_ratings",))
 def _(d):
     rows = readers.read_season_snapshots(d.spark, _snapshot_files(d, "yyyy") + "/*/*.csv")
     return rounded(rows.withColumn("TeamName", F.col("TeamName").cast("bigint")), *fixed.RATING_COLUMNS)
 
 
-@REG.add("scan_fail_on_empty", "SELECT count(*) AS n_rows, true AS empty_raises FROM ratings", ("ratings",))
+@REG.add("scan_fail_on_empty", "SELECT count(*) AS n_rows, true AS empty_raises FROM all_ratings", ("all_ratings",))
 def _(d):
     path = _snapshot_files(d, "yyyy-MM-dd")
     try:
@@ -77,24 +79,24 @@ def _(d):
 
 @REG.add(
     "scan_optional_dims",
-    "SELECT 'four_factors' AS name, count(*) AS n_rows FROM fx_dims UNION ALL SELECT 'hca', count(*) FROM fx_advantage",
-    ("fx_dims", "fx_advantage"),
+    "SELECT 'four_factors' AS name, count(*) AS n_rows FROM all_dims UNION ALL SELECT 'hca', count(*) FROM all_advantage",
+    ("all_dims", "all_advantage"),
 )
 def _(d):
     base = scratch_path(d.spark, "dims")
-    d["fx_dims"].write.parquet(base + "/four_factors.parquet")
-    d["fx_advantage"].write.parquet(base + "/hca.parquet")
+    d["all_dims"].write.parquet(base + "/four_factors.parquet")
+    d["all_advantage"].write.parquet(base + "/hca.parquet")
     found = readers.read_optional(d.spark, {n: f"{base}/{n}.parquet" for n in ("four_factors", "hca", "height_experience", "team_stats")})
     return readers.union_by_name(*[df.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("name"), "n_rows") for n, df in found.items()])
 
 
 @REG.add(
     "union_by_name",
-    f"SELECT team, season, {r6('off_x', 'off_x')}, {r6('CAST(NULL AS DOUBLE)', 'hca')} FROM fx_dims UNION ALL SELECT team, NULL, NULL, hca FROM fx_advantage",
-    ("fx_dims", "fx_advantage"),
+    f"SELECT team, season, {r6('off_x', 'off_x')}, {r6('CAST(NULL AS DOUBLE)', 'hca')} FROM all_dims UNION ALL SELECT team, NULL, NULL, hca FROM all_advantage",
+    ("all_dims", "all_advantage"),
 )
 def _(d):
-    out = readers.union_by_name(d["fx_dims"].select("season", "team", "off_x"), d["fx_advantage"].select("hca", "team"))
+    out = readers.union_by_name(d["all_dims"].select("season", "team", "off_x"), d["all_advantage"].select("hca", "team"))
     return rounded(out, "off_x", "hca")
 
 
@@ -161,7 +163,6 @@ def _(d):
 # --- models ----------------------------------------------------------------
 
 TRAIN, VAL, TEST = [1995, 1996, 1997, 1998], [1999], [2000, 2001]
-FAST = {"maxIter": 10}
 
 
 def modelable(d):
@@ -203,20 +204,20 @@ def _(d):
 
 @REG.add("gbt_fit")
 def _(d):
-    out = M.score_models(_named(d), {"gbm": M.gbt_fit(_train(d), X_INPUTS, params={"maxIter": 50})})
+    out = M.score_models(_named(d), {"gbm": M.gbt_fit(_train(d), X_INPUTS)})
     return rounded(out.select("game_key", "pred_gbm"), "pred_gbm")
 
 
 @REG.add("score_models")
 def _(d):
-    out = M.score_models(_named(d), M.fit_models(_train(d), X_INPUTS, gbt_params=FAST))
+    out = M.score_models(_named(d), M.fit_models(_train(d), X_INPUTS))
     return rounded(out.select("game_key", "pred_ridge", "pred_gbm"), "pred_ridge", "pred_gbm")
 
 
 @REG.add("save_load_model")
 def _(d):
     path = scratch_path(d.spark, "models")
-    M.save_models(M.fit_models(_train(d), X_INPUTS, gbt_params=FAST), path, fixed.TWO_MODEL_WEIGHTS, 4.5, d.spark)
+    M.save_models(M.fit_models(_train(d), X_INPUTS), path, fixed.TWO_MODEL_WEIGHTS, 4.5, d.spark)
     loaded, weights, threshold = M.load_models(path, d.spark)
     out = M.score_models(_named(d), loaded).withColumn("pred", E.ensemble_fixed(weights))
     return rounded(out.select("game_key", "pred", F.lit(threshold).alias("threshold")), "pred")
@@ -224,11 +225,11 @@ def _(d):
 
 @REG.add("top_feature_importance")
 def _(d):
-    return rounded(M.feature_importance(M.gbt_fit(_train(d), X_INPUTS, params=FAST), d.spark), "importance")
+    return rounded(M.feature_importance(M.gbt_fit(_train(d), X_INPUTS), d.spark), "importance")
 
 
 def _holdout(d):
-    return B.holdout_evaluation(_named(d), X_INPUTS, TRAIN, VAL, TEST, FAST)
+    return B.holdout_evaluation(_named(d), X_INPUTS, TRAIN, VAL, TEST)
 
 
 @REG.add("holdout_evaluation")
@@ -243,10 +244,11 @@ def _(d):
 
 @REG.add("cross_validation")
 def _(d):
-    return rounded(B.cross_validation(_named(d), X_INPUTS, 5, FAST), "mae", "rmse", *METRICS)
+    return rounded(B.cross_validation(_named(d), X_INPUTS, 5), "mae", "rmse", *METRICS)
 
 
 @REG.add("ablation_table")
 def _(d):
-    sets = {"Line only": ["spread_a"], "+ Total": ["spread_a", "total_line"], "All": X_INPUTS}
-    return B.ablation_table(_named(d), sets, TRAIN, VAL, TEST, FAST)
+    place = lambda c, up: F.rank().over(Window.partitionBy("snapshot_date").orderBy(F.col(c).asc() if up else F.col(c).desc()))  # noqa: E731  one row a team
+    ratings = d["ratings"].withColumns({n: place(c, c == "AdjDE") for n, c in zip(fixed.RANK_COLUMNS, fixed.RATING_COLUMNS, strict=True)})
+    return B.ablation_table(plan.feature_table(d["games"], ratings), fixed.ABLATION_SETS, TRAIN, VAL, TEST)

@@ -72,7 +72,7 @@ def ablation_table(
 
     The input is written once with the columns of all sets; each set filters those rows.
     """
-    wanted = dict.fromkeys(["game_key", "season", "date", "spread_a", "final_margin_a", "cover_a", *[c for s in sets.values() for c in s]])
+    wanted = dict.fromkeys(["game_key", "season", "date", "spread_a", "final_margin_a", "cover_a", "kp_matched", *[c for s in sets.values() for c in s]])
     features_df = materialise(features_df.select(*[c for c in wanted if c in features_df.columns]), "ablation")
     out = []
     for name, features in sets.items():
