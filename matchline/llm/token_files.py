@@ -2,13 +2,14 @@
 
 A file holds blocks of whole documents. Layout of a block, little-endian:
 8 bytes magic, then 6 uint32 (documents, tokens, terminals, rules, symbols, bytes per symbol), then uint32 arrays: tokens of each document,
-left and right of each rule, expansion length of each rule, and the symbols. Rule k is the symbol `terminals + k`; its sides are smaller symbols.
+left and right of each rule, expansion length of each rule, and the symbols (of three bytes: the low two of all, then the high one of all). Rule k is the symbol `terminals + k`; its sides are smaller symbols.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -22,8 +23,7 @@ MAGIC = b"PAIRTOK1"
 END_ID = 1
 #: Tokens of a block (a single longer document is a block of its own).
 BLOCK_TOKENS = 2 << 20
-#: Replacement rounds; each takes the most frequent pairs of the block at once.
-ROUNDS = 3
+#: Each replacement round takes the most frequent pairs of the block at once; rounds go on while a pair occurs LEAST_COUNT times.
 PAIRS_PER_ROUND = 5000
 LEAST_COUNT = 6
 _BUCKET_BITS = 20
@@ -40,11 +40,11 @@ class Grammar(NamedTuple):
     lengths: np.ndarray
 
 
-def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs_per_round: int = PAIRS_PER_ROUND) -> Grammar:
-    """Replace frequent adjacent pairs by new symbols, round by round; where chosen pairs overlap, the left one is taken."""
+def compress(ids: np.ndarray, terminals: int, rounds: int | None = None, pairs_per_round: int = PAIRS_PER_ROUND) -> Grammar:
+    """Replace frequent adjacent pairs by new symbols, round by round until none is frequent (or for so many `rounds`); where chosen pairs overlap, the left one is taken."""
     seq = ids.astype(np.uint64)
     left, right, lengths, known = [], [], [], terminals
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         if len(seq) < 2:
             break
         pairs = (seq[:-1] << np.uint64(32)) | seq[1:]
@@ -52,9 +52,12 @@ def compress(ids: np.ndarray, terminals: int, rounds: int = ROUNDS, pairs_per_ro
         filled = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
         # A pair occurs at most as often as its bucket is filled, so only the fullest buckets can hold the most frequent pairs.
         least = max(LEAST_COUNT, int(np.partition(filled, -pairs_per_round)[-pairs_per_round]))
-        found, counts = np.unique(pairs[filled[bucket] >= least], return_counts=True)
-        order = np.lexsort((found, -counts))[:pairs_per_round]
-        chosen = found[order[counts[order] >= LEAST_COUNT]]
+        for low in dict.fromkeys((least, LEAST_COUNT)):  # the fullest buckets may hold rare pairs only
+            found, counts = np.unique(pairs[filled[bucket] >= low], return_counts=True)
+            order = np.lexsort((found, -counts))[:pairs_per_round]
+            chosen = found[order[counts[order] >= LEAST_COUNT]]
+            if len(chosen):
+                break
         if not len(chosen):
             break
         at = ((chosen * _SPREAD) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
@@ -91,7 +94,10 @@ class Block:
         self.doc_tokens = arrays[:docs].astype(np.int64)
         self.ends = np.cumsum(self.doc_tokens)
         self.left, self.right, self.lengths = arrays[docs:].reshape(3, rules).astype(np.int64)
-        self.symbols = np.frombuffer(payload, f"<u{width}", symbols, 32 + 4 * (docs + 3 * rules))
+        at = 32 + 4 * (docs + 3 * rules)
+        self.symbols = np.frombuffer(payload, "<u4" if width == 4 else "<u2", symbols, at)
+        if width == 3:
+            self.symbols = self.symbols | np.frombuffer(payload, "u1", symbols, at + 2 * symbols).astype("<u4") << 16
         self._expand_rules()
         self.symbol_ends = np.cumsum(self.span[self.symbols])
 
@@ -127,8 +133,10 @@ class Block:
 
 def block_bytes(doc_tokens: np.ndarray, ids: np.ndarray, terminals: int, **how) -> bytes:
     g = compress(ids, terminals, **how)
-    head = np.array([len(doc_tokens), len(ids), terminals, len(g.left), len(g.symbols), g.symbols.itemsize], "<u4")
-    return b"".join([MAGIC, head.tobytes(), np.asarray(doc_tokens, "<u4").tobytes(), g.left.tobytes(), g.right.tobytes(), g.lengths.tobytes(), g.symbols.tobytes()])
+    wide = g.symbols.itemsize == 4 and terminals + len(g.left) <= 1 << 24
+    symbols = (g.symbols & 0xFFFF).astype("<u2").tobytes() + (g.symbols >> 16).astype("u1").tobytes() if wide else g.symbols.tobytes()
+    head = np.array([len(doc_tokens), len(ids), terminals, len(g.left), len(g.symbols), 3 if wide else g.symbols.itemsize], "<u4")
+    return b"".join([MAGIC, head.tobytes(), np.asarray(doc_tokens, "<u4").tobytes(), g.left.tobytes(), g.right.tobytes(), g.lengths.tobytes(), symbols])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:

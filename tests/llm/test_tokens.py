@@ -128,3 +128,14 @@ def test_files_read_back(spark, tmp_path):
         at += len(ids)
     token_files.write(frame(spark, []), path + "0", PATH)
     assert token_files.read(spark, path + "0").count() == 0
+
+
+def test_copies_become_a_few_symbols():
+    rng = np.random.default_rng(3)
+    one = rng.integers(0, 50_000, 400)
+    ids = np.concatenate([one] * 1000)
+    payload = token_files.block_bytes(np.full(1000, 400), ids, 60_000)
+    block = token_files.Block(payload)
+    assert len(block.symbols) < 1000 and (block.all_ids() == ids).all() and (block.document(500) == one).all()
+    wide = token_files.Block(token_files.block_bytes(np.array([len(ids)]), ids, 70_000))
+    assert (wide.all_ids() == ids).all()
