@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchline.llm import decontamination, language, ngram_join, packing, quality, token_ids
@@ -25,17 +25,19 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more, taken transitively) the document with the least id stays.
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more, taken transitively) the row with the least id stays, NULL last.
 
-    A repeated id stays once, with its least row. Rows without an id stay.
+    Rows are told apart by a number of their own, so texts under a repeated id or without one are judged each by itself. A repeated row stays
+    once; wordless texts are near nothing, and stay once for each id and text, or all where the id is NULL.
     """
-    groups = materialise(ngram_join.similar_groups(docs, size=5, num=80, den=100), "groups").where("doc_id IS NOT NULL")
-    going = groups.where("component_id <> doc_id").select("doc_id").distinct()
-    repeated = groups.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    kept = docs.join(going, "doc_id", "left_anti")
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in docs.columns]))
-    first = kept.join(repeated, "doc_id", "left_semi").withColumn("_place", place).where("_place = 1")
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(first.select(*docs.columns))
+    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    groups = ngram_join.similar_groups(rows, key="_row", size=5, num=80, den=100).select("_row", "n_shingles", "component_id")
+    described = rows.select("_row", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    single = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    group = F.when(single, F.concat_ws("/", "doc_id", "digest")).otherwise(F.col("component_id").cast("string"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "_row"))
+    kept = groups.join(described, "_row").groupBy(group.alias("group")).agg(first.alias("first")).select(F.col("first._row").alias("_row"))
+    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -81,3 +81,12 @@ def test_repeated_and_missing_ids(spark, folder):
     kept = corpus_pipeline.one_of_a_kind(spark, docs, folder).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept) == [(False, 1, rows[0][1]), (False, 3, ""), (True, 0, ""), (True, 0, "x y z")]
     assert corpus_pipeline.one_of_a_kind(spark, docs.limit(0), folder).count() == 0
+
+
+def test_rows_under_one_id_or_none_are_judged_each_by_itself(spark):
+    from corpus_pipeline import one_of_a_kind
+
+    a, b, c, d = (" ".join(f"{p}{i}" for i in range(40)) for p in "abcd")
+    rows = [(1, a), (2, a + " x"), (2, b), (3, c), (3, d), (None, d + " y"), (None, "n o p q r s"), (None, "n o p q r s"), (4, a)]
+    got = one_of_a_kind(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 9, r.text) for r in got) == sorted([(1, a), (2, b), (3, c), (3, d), (9, "n o p q r s")])
