@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchline.plans.session import configure
 from matchline.sources.scratch import scratch_path
 
-from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, quality, sharding, token_files, token_ids
+from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, quality, resampling, sharding, token_files, token_ids
 
 QUERIES = {}
 SQL = {}
@@ -196,3 +196,42 @@ def op7_syncmers(spark: SparkSession, folder: str) -> DataFrame:
         fingerprints.as_text("anchors").alias("fingerprint"), fingerprints.as_text("edited_anchors").alias("edited_fingerprint"),
         fingerprints.likeness("anchors", "edited_anchors").alias("near_edited"), fingerprints.likeness("anchors", "next_anchors").alias("near_next"),
     )
+
+
+@query
+def op13_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"), percent=10)
+
+
+SQL["op13_resampling"] = r"""
+WITH t AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+dw AS (
+  SELECT doc_id, word, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM documents)
+  GROUP BY 1, 2),
+bw AS (
+  SELECT word, count(*) AS n FROM (
+    SELECT unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark)
+  GROUP BY 1),
+v AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM bw)),
+b AS MATERIALIZED (
+  SELECT word, CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(h, '..'), lambda b: CAST('0x' || b AS BIGINT))),
+                    lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295) AS BIGINT) % 10000 AS bucket
+  FROM v, t),
+s AS (SELECT bucket, sum(n) AS n FROM dw JOIN b USING (word) GROUP BY 1),
+g AS (
+  SELECT bucket, CAST(floor(1000 * ln(((coalesce(bn.n, 0) + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM dw) + 10000)::DOUBLE)
+                     / ((s.n + 1)::DOUBLE * ((SELECT coalesce(sum(n), 0) FROM bw) + 10000)::DOUBLE))) AS BIGINT) AS gain
+  FROM s LEFT JOIN (SELECT bucket, sum(n) AS n FROM bw JOIN b USING (word) GROUP BY 1) bn USING (bucket)),
+w AS (SELECT doc_id, sum(n) AS n_features, sum(n * gain) AS weight FROM dw JOIN b USING (word) JOIN g USING (bucket) GROUP BY 1),
+k AS (
+  SELECT doc_id, CAST(coalesce(n_features, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || left(sha256('2024:' || doc_id), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM documents LEFT JOIN w USING (doc_id)),
+r AS (SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id) AS place FROM k)
+SELECT doc_id, n_features, weight, score,
+       CASE WHEN n_features >= 20 AND place <= (SELECT floor(10 * count(*) / 100) FROM k WHERE n_features >= 20) THEN place END AS rank
+FROM r
+"""
