@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchline.plans.session import configure
 from matchline.sources.scratch import scratch_path
 
-from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, quality, resampling, sharding, token_files, token_ids
+from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, periodic_runs, quality, resampling, sharding, token_files, token_ids
 
 QUERIES = {}
 SQL = {}
@@ -235,3 +235,63 @@ SELECT doc_id, n_features, weight, score,
        CASE WHEN n_features >= 20 AND place <= (SELECT floor(10 * count(*) / 100) FROM k WHERE n_features >= 20) THEN place END AS rank
 FROM r
 """
+
+
+@query
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    # Every tenth document gets a periodic tail: from word a on, its words are those of the first p words from a, over and over.
+    digest = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = table(spark, folder, "documents").select("doc_id", "text", F.floor(digest / 10).alias("g"), (digest % 10 == 0).alias("planted"))
+    rows = rows.withColumn("w", F.when(F.col("planted"), F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    rows = rows.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    again = F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int")))
+    periodic = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), F.slice(again, F.lit(1), rest)), " ")
+    found = periodic_runs.with_runs(rows.select("doc_id", F.when(F.col("n") > 0, periodic).otherwise(F.col("text")).alias("text")))
+    runs = F.col("periodic.runs")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))
+    best = periodic_runs.strongest(runs)
+    return found.withColumn("best", best).select(
+        "doc_id", F.size(runs).cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(runs, line), ""), 256).alias("runs_sha256"), F.sha2("periodic.collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+# A run is longer than 16 words and its period together, so each of its lags shows in two equal blocks of 16 words.
+SQL["op12_periodic_runs"] = r"""
+WITH t AS (
+  SELECT list(c ORDER BY i) AS crc FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END) AS c FROM range(256) r(i))),
+d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         CAST(xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(regexp_extract_all(hex(encode(CAST(doc_id AS VARCHAR))), '..'), lambda b: CAST('0x' || b AS BIGINT))),
+              lambda a, b: xor(a >> 8, crc[CAST(xor(a, b) & 255 AS INTEGER) + 1])), 4294967295) AS BIGINT) AS h
+  FROM documents, t),
+e AS (SELECT doc_id, w, len(w) AS n, h, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d),
+f AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM e),
+x AS MATERIALIZED (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM f),
+b AS MATERIALIZED (SELECT doc_id, n, i, array_to_string(w[i + 1:i + 16], ' ') AS k FROM (SELECT doc_id, n, w, unnest(range(n - 15)) AS i FROM x WHERE n >= 24)),
+m AS (SELECT doc_id, y.i, z.i - y.i AS lag FROM b y JOIN b z USING (doc_id, k) WHERE z.i > y.i AND 3 * (z.i - y.i) <= y.n),
+s AS (
+  SELECT doc_id, lag, min(i) AS start, max(i) - min(i) + 16 + lag AS length
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, lag ORDER BY i) AS stretch FROM m) GROUP BY doc_id, lag, stretch),
+l AS (SELECT * FROM s WHERE length >= greatest(24, 3 * lag)),
+r AS MATERIALIZED (
+  SELECT doc_id, start, length, lag AS period FROM l
+  WHERE NOT EXISTS (SELECT 1 FROM l c WHERE c.doc_id = l.doc_id AND c.lag < l.lag AND l.lag % c.lag = 0 AND c.start <= l.start AND c.start + c.length >= l.start + l.length)),
+o AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM r),
+k AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (SELECT doc_id, unnest(w) AS word, unnest(range(n)) AS i FROM x) q ANTI JOIN o USING (doc_id, i) GROUP BY 1),
+c AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS text FROM r GROUP BY 1),
+best AS (
+  SELECT * FROM r
+  WHERE NOT EXISTS (SELECT 1 FROM r v WHERE v.doc_id = r.doc_id AND (v.length * r.period > r.length * v.period
+    OR v.length * r.period = r.length * v.period AND (v.start < r.start OR v.start = r.start AND v.period < r.period))))
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(c.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM x LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN best USING (doc_id)
+"""
