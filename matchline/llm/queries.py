@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from matchline.plans.session import configure
 from matchline.sources.scratch import scratch_path
 
-from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, periodic_runs, quality, resampling, sharding, token_files, token_ids
+from . import chat, decontamination, fingerprints, html_text, language, ngram_join, packing, periodic_runs, piece_ids, quality, resampling, sharding, token_files, token_ids
 
 QUERIES = {}
 SQL = {}
@@ -295,3 +295,14 @@ SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(start AS BIGINT) AS start, CA
        CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(c.text, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
 FROM x LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN best USING (doc_id)
 """
+
+
+@query
+def op11_piece_ids(spark: SparkSession, folder: str) -> DataFrame:
+    model = token_ids.tokenizer_path(piece_ids.PIECE_TOKENIZER)
+    rows = piece_ids.encode(table(spark, folder, "documents").select("doc_id", "text"), model).drop("text")
+    rows = piece_ids.decode(rows, model)
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
