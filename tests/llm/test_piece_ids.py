@@ -98,7 +98,7 @@ def test_slices_of_ids(monkeypatch):
     monkeypatch.setattr(piece_ids, "SLICE_IDS", 4)
     batch = pa.RecordBatch.from_pydict({"ids": pa.array([[1, 2], None, [3] * 9, [], [4, 5], [6, 7], [8]], pa.list_(pa.int32()))}).slice(1)
     parts = list(piece_ids._id_slices(batch, "ids"))
-    assert [p.num_rows for p, _, _ in parts] == [1, 2, 2, 1]
+    assert [p.num_rows for p, _, _ in parts] == [1, 1, 3, 1]
     assert [x for _, o, f in parts for x in (f[a:b].tolist() for a, b in zip(o, o[1:]))] == [[], [3] * 9, [], [4, 5], [6, 7], [8]]
 
 
