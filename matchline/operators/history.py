@@ -1,10 +1,9 @@
 """Features from an entity's own past: gap, rolling rate and exponentially weighted means.
 
 A match is seen from both sides, so each entity has one row per match. The features hold one
-value per (entity, day), taken before the day's first match. That grain carries the work: rows
-shrink to (entity, day) states in a shuffle keyed by both columns, and the ordered windows per
-entity run on those states only. A hot entity therefore orders at most one row per calendar day,
-however many matches it has.
+value per (entity, day), taken before the day's first match. They come from a prefix scan over
+rows dealt by ranges of (entity, date, match key), so neither an entity nor one of its days,
+however many matches it has, is ordered in one task.
 """
 
 from __future__ import annotations
@@ -16,10 +15,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
+from . import prefix_scan
 from .joins import join_both_sides
 
-BLOCK_HALF_LIVES = 100
-
 
 def unpivot_sides(
     games: DataFrame, date: str = "date", key: str = "game_key", cover: str = "cover_a", margin: str = "final_margin_a"
@@ -44,153 +42,12 @@ def unpivot_sides(
     return rows.filter(c("date").isNotNull() & c("entity").isNotNull())
 
 
-def _by_entity() -> Window:
-    return Window.partitionBy("entity").orderBy("date")
-
-
 def _before(w: Window) -> Window:
     return w.rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _rest_days() -> Column:
-    gap = F.datediff("date", F.lag("date").over(_by_entity()))
-    return F.least(F.coalesce(gap, F.lit(fixed.REST_DEFAULT)), F.lit(fixed.REST_CAP))
-
-
-def _day_positions(sides: DataFrame) -> DataFrame:
-    """Place of every row inside its (entity, day), by match key."""
-    day = Window.partitionBy("entity", "date")
-    return sides.withColumn("_pos", F.row_number().over(day.orderBy("game_key"))).withColumn(
-        "_n", F.count("*").over(day)
-    )
-
-
-def _ew_day_aggs(m: str, half_life: float, min_periods: int) -> list[Column]:
-    """Per-day sums of one measure; the last row of the day weighs one.
-
-    The day may hold several matches while the past has fewer than `min_periods` values. The
-    value then comes from the first match of the day that has enough, so the sums before it are
-    kept, one small struct per number of values still wanted.
-    """
-    x = F.col(m)
-    w = F.pow(F.lit(2.0), (F.col("_pos") - F.col("_n")) / F.lit(float(half_life)))
-    aggs = [
-        F.sum(x * w).alias(f"_s_{m}"),
-        F.sum(F.when(x.isNotNull(), w)).alias(f"_w_{m}"),
-        F.count(x).alias(f"_k_{m}"),
-    ]
-    for need in range(1, min_periods + 1):
-        pack = F.struct(f"_ps_{m}", f"_pw_{m}")
-        aggs.append(F.min_by(pack, F.when(F.col(f"_pk_{m}") >= need, F.col("_pos"))).alias(f"_e{need}_{m}"))
-    return aggs
-
-
-def _with_day_prefixes(rows: DataFrame, measures: Sequence[str], half_life: float) -> DataFrame:
-    """Sums over the earlier rows of the same day, growing weights."""
-    prior = _before(Window.partitionBy("entity", "date").orderBy("game_key"))
-    cols = {}
-    for m in measures:
-        grow = F.pow(F.lit(2.0), F.col("_pos") / F.lit(float(half_life)))
-        cols[f"_ps_{m}"] = F.sum(F.col(m) * grow).over(prior)
-        cols[f"_pw_{m}"] = F.sum(F.when(F.col(m).isNotNull(), grow)).over(prior)
-        cols[f"_pk_{m}"] = F.count(F.col(m)).over(prior)
-    return rows.withColumns(cols)
-
-
-def _ew_states(days: DataFrame, measures: Sequence[str], half_life: float, min_periods: int) -> DataFrame:
-    """Exponentially weighted mean before each day from the per-day sums.
-
-    2^(i/h) overflows on long histories, so positions restart in blocks of 100 half-lives. A
-    block carries the closing state of the last block with values of its own, scaled down by 2^-100 per
-    block; that state carries its own predecessor, and anything older is below 2^-100 of the total.
-    While a block has no value of its own the mean is the carried one, which no scaling changes.
-    """
-    h = float(half_life)
-    block_rows = int(BLOCK_HALF_LIVES * h)
-    w = _by_entity()
-    in_block = Window.partitionBy("entity", "_blk").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-    out = days.withColumn("_i", F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("_blk", F.floor(F.col("_i") / block_rows))
-    out = out.withColumn("_up", F.pow(F.lit(2.0), (F.col("_i") - F.col("_blk") * block_rows) / h))
-    out = out.withColumns(
-        {
-            f"_{p}{q}_{m}": F.sum(F.coalesce(F.col(f"_{q}_{m}"), F.lit(0.0)) * F.col("_up")).over(in_block)
-            for m in measures
-            for p, q in (("p", "s"), ("p", "w"))
-        }
-    )
-    out = out.withColumn("_end", F.coalesce(F.lead("_blk").over(w) != F.col("_blk"), F.lit(True)))
-
-    def carried(m: str, s: str, v: str) -> tuple[Column, Column]:
-        """Block sums plus the carried state `s` of measure m."""
-        fade = F.pow(F.lit(2.0), F.lit(-float(BLOCK_HALF_LIVES)) * (F.col("_blk") - F.col(f"{s}.blk")))
-        num = F.col(f"_ps_{m}") + F.coalesce(F.col(f"{s}.s") * fade, F.lit(0.0))
-        den = F.col(f"_pw_{m}") + F.coalesce(F.col(f"{s}.w") * fade, F.lit(0.0))
-        return num.alias(f"_n{v}_{m}"), den.alias(f"_d{v}_{m}")
-
-    def closing(m: str, num: str, den: str) -> Column:
-        pack = F.struct(F.col("_blk").alias("blk"), F.col(num).alias("s"), F.col(den).alias("w"))
-        done = F.col("_end") & (F.col(f"_pw_{m}") > 0)
-        return F.last(F.when(done, pack), ignorenulls=True).over(_before(w))
-
-    out = out.withColumns({f"_c1_{m}": closing(m, f"_ps_{m}", f"_pw_{m}") for m in measures})
-    out = out.select("*", *[c for m in measures for c in carried(m, f"_c1_{m}", "1")])
-    out = out.withColumns({f"_c2_{m}": closing(m, f"_n1_{m}", f"_d1_{m}") for m in measures})
-    out = out.select("*", *[c for m in measures for c in carried(m, f"_c2_{m}", "2")])
-    prev = {}
-    for m in measures:
-        prev[f"_s0_{m}"] = F.lag(F.col(f"_n2_{m}") / F.col("_up")).over(w)
-        prev[f"_w0_{m}"] = F.lag(F.col(f"_d2_{m}") / F.col("_up")).over(w)
-        own = F.col(f"_pw_{m}") > 0
-        mean = F.when(own, F.try_divide(f"_n2_{m}", f"_d2_{m}")).otherwise(F.try_divide(F.col(f"_c2_{m}.s"), F.col(f"_c2_{m}.w")))
-        prev[f"_m0_{m}"] = F.lag(mean).over(w)
-        prev[f"_k0_{m}"] = F.coalesce(F.sum(f"_k_{m}").over(_before(w)), F.lit(0))
-    out = out.withColumns(prev)
-    values = {}
-    for m in measures:
-        s0, w0 = F.coalesce(f"_s0_{m}", F.lit(0.0)), F.coalesce(f"_w0_{m}", F.lit(0.0))
-        have = F.col(f"_k0_{m}")
-        value = F.when(have >= min_periods, F.col(f"_m0_{m}"))
-        for need in range(1, min_periods + 1):
-            e = F.col(f"_e{need}_{m}")
-            value = value.when(have == min_periods - need, F.try_divide(s0 + e[f"_ps_{m}"], w0 + e[f"_pw_{m}"]))
-        values[f"ew_{m}"] = value
-    return out.withColumns(values)
-
-
-def _decided() -> Column:
-    return F.coalesce(F.col("cover").isin(0.0, 1.0), F.lit(False))
-
-
-def _rolling_day_agg(window: int) -> list[Column]:
-    """The newest decided results of the day, oldest first, at most `window` of them."""
-    keep = F.when(_decided() & (F.col("_left") <= window), F.struct("_pos", "cover"))
-    return [F.transform(F.sort_array(F.collect_list(keep)), lambda r: r["cover"]).alias("_results")]
-
-
-def _with_decided_left(rows: DataFrame) -> DataFrame:
-    onward = Window.partitionBy("entity", "date").orderBy("game_key").rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("_left", F.sum(_decided().cast("int")).over(onward))
-
-
-def _rolling_states(days: DataFrame, window: int, min_periods: int, compat: bool) -> DataFrame:
-    """Mean of the last `window` decided results before each day."""
-    has = F.size("_results") > 0
-    days = days.withColumn("_has", has)
-    # Every decided day holds at least one result, so `window` decided days always suffice.
-    recent = Window.partitionBy("entity", "_has").orderBy("date").rowsBetween(-(window - 1), 0)
-    merged = F.flatten(F.collect_list("_results").over(recent))
-    last = F.slice(merged, F.greatest(F.size(merged) - window + 1, F.lit(1)), F.lit(window))
-    days = days.withColumn("_last", F.when(F.col("_has"), last))
-    tally = F.struct(
-        F.aggregate("_last", F.lit(0.0), lambda acc, v: acc + v).alias("hits"), F.size("_last").alias("n")
-    )
-    days = days.withColumn("_after", F.when(F.col("_has"), tally))
-    days = days.withColumn("_prior", F.last("_after", ignorenulls=True).over(_before(_by_entity())))
-    rate = F.when(F.col("_prior.n") >= min_periods, F.col("_prior.hits") / F.col("_prior.n"))
-    if compat:
-        rate = F.when(F.col("_has"), rate)
-    return days.withColumn("rolling_rate", F.coalesce(rate, F.lit(0.5)))
+def _rest_days(previous: Column) -> Column:
+    return F.least(F.coalesce(F.datediff("date", previous), F.lit(fixed.REST_DEFAULT)), F.lit(fixed.REST_CAP))
 
 
 def entity_day_history(
@@ -208,29 +65,24 @@ def entity_day_history(
     rate exists only on days with a decided match, else it is 0.5.
     """
     rows = unpivot_sides(games, date)
+    if not {"rolling", "ew"} & set(parts):
+        days = rows.select("entity", "date").distinct()
+        previous = F.lag("date").over(Window.partitionBy("entity").orderBy("date"))
+        return days.withColumn("rest_days", _rest_days(previous))
     measures = ["margin", "points"] if "ew" in parts else []
-    aggs = [F.count("*").alias("_n")]
-    if "rolling" in parts or measures:
-        rows = _day_positions(rows)
-    if "rolling" in parts:
-        rows = _with_decided_left(rows)
-        aggs += _rolling_day_agg(window)
-    if measures:
-        rows = _with_day_prefixes(rows, measures, half_life)
-        for m in measures:
-            aggs += _ew_day_aggs(m, half_life, min_periods)
-    days = rows.groupBy("entity", "date").agg(*aggs)
+    rows = rows.withColumns({c: F.lit(None).cast("double") for c in ("cover", *measures) if c not in rows.columns})
+    days = prefix_scan.states_before_days(rows, measures, window, half_life, min_periods)
     names = ["entity", "date"]
     if "rest" in parts:
-        days = days.withColumn("rest_days", _rest_days())
+        days = days.withColumn("rest_days", _rest_days(F.col("previous")))
         names.append("rest_days")
     if "rolling" in parts:
-        days = _rolling_states(days, window, min_periods, compat)
+        rate = F.when(F.col("n_results") >= min_periods, F.col("hits") / F.col("n_results"))
+        if compat:
+            rate = F.when(F.col("has_result"), rate)
+        days = days.withColumn("rolling_rate", F.coalesce(rate, F.lit(0.5)))
         names.append("rolling_rate")
-    if measures:
-        days = _ew_states(days, measures, half_life, min_periods)
-        names += [f"ew_{m}" for m in measures]
-    return days.select(*names)
+    return days.select(*names, *[f"ew_{m}" for m in measures])
 
 
 def feature_join_back(games: DataFrame, days: DataFrame, values: dict[str, str], date: str = "date") -> DataFrame:
