@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from . import evaluation as E
+from . import isotonic
 
 
 def simplex_lattice(members: int, steps: int = 10) -> list[tuple[float, ...]]:
@@ -101,18 +102,20 @@ def temperature_apply(pred: str, line: str, temperature: float) -> Column:
     return -F.col(line) + (F.col(pred) + F.col(line)) / F.lit(float(temperature))
 
 
+def calibration_blocks(df: DataFrame, pred: str = "pred", line: str = "spread_a", cover: str = "cover_a") -> DataFrame:
+    """Blocks of the monotone fit of P(bet correct) on |edge|: (low, high, n_rows, hits, rate), pooled on the executors."""
+    e = E.edge_of(pred, line)
+    return isotonic.isotonic_blocks(df, F.abs(e), E.hit_of(e, cover))
+
+
 def fit_isotonic(df: DataFrame, pred: str = "pred", line: str = "spread_a", cover: str = "cover_a") -> IsotonicRegressionModel:
     """Monotone fit of P(bet correct) on |edge|.
 
-    Equal edges are merged into one weighted point before the fit, which leaves the solution as is.
+    The model gets the ends of the blocks only, which rise already, so fitting them leaves the solution as is.
     """
-    e = E.edge_of(pred, line)
-    points = (
-        df.select(F.abs(e).alias("abs_edge"), E.hit_of(e, cover).cast("double").alias("hit"))
-        .filter(F.col("hit").isNotNull())
-        .groupBy("abs_edge")
-        .agg(F.avg("hit").alias("hit"), F.count("*").cast("double").alias("weight"))
-    )
+    blocks = calibration_blocks(df, pred, line, cover)
+    ends = F.array_distinct(F.array("low", "high"))
+    points = blocks.select(F.explode(ends).alias("abs_edge"), F.col("rate").alias("hit"), (F.col("n_rows") / F.size(ends)).alias("weight"))
     return IsotonicRegression(featuresCol="abs_edge", labelCol="hit", weightCol="weight", predictionCol="_p").fit(points)
 
 
