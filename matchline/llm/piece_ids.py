@@ -26,7 +26,7 @@ PIECE_TOKENIZER = "piece_bpe_32k.model"
 #: What a worker process remembers: parts of texts, their ids, and pairs of tokens with their verdict. Full tables start anew.
 CACHED_PARTS = 250_000
 CACHED_IDS = 1 << 21
-CACHED_PAIRS = 1 << 20
+CACHED_PAIRS = 1 << 18
 #: Ids that one task turns into text at once; a longer single row is a slice of its own.
 SLICE_IDS = 1 << 19
 SPACE = "▁"
@@ -75,7 +75,6 @@ class MergeModel:
             self.automaton.add_word(self.text[i], (i, len(self.text[i])))
         self.automaton.make_automaton()
         self._build_joins()
-        self._build_surfaces(size)
         self.verdicts: dict[int, bool] = {}
         self.size = size
         self._clear()
@@ -233,13 +232,22 @@ class MergeModel:
         self.slots.update(zip(wanted, out[new].tolist(), strict=True))
         return out
 
-    def _build_surfaces(self, size: int) -> None:
-        """Bytes that each id stands for in a text."""
-        p = self.library
-        surface = []
+
+class PieceTexts:
+    """What each id of a model file stands for in a text, as UTF-8 bytes."""
+
+    _open: dict[str, "PieceTexts"] = {}
+
+    def __init__(self, path: str):
+        import sentencepiece
+
+        p = sentencepiece.SentencePieceProcessor(model_file=path)
+        self.size = size = p.vocab_size()
+        high, surface = np.zeros(size, bool), []
         for i in range(size):
             if p.is_byte(i):
                 surface.append(bytes([int(p.id_to_piece(i)[3:5], 16)]))
+                high[i] = surface[-1] >= b"\x80"
             elif p.is_control(i):
                 surface.append(b"")
             elif p.is_unknown(i):
@@ -250,9 +258,16 @@ class MergeModel:
         self.surface_length = np.array([len(s) for s in surface], np.int64)
         self.surface_start = np.cumsum(self.surface_length) - self.surface_length
         self.is_control = np.array([p.is_control(i) for i in range(size)])
-        self.is_high_byte = np.isin(np.arange(size), self.bytes[128:])
+        self.is_high_byte = high
         self.drops_space = np.array([not p.is_byte(i) and p.id_to_piece(i).startswith(SPACE) for i in range(size)])
 
+    @classmethod
+    def open(cls, path: str) -> "PieceTexts":
+        """One table per worker process and path."""
+        if path not in cls._open:
+            cls._open[path] = cls(path)
+        return cls._open[path]
+
     def _surface(self, ids: np.ndarray) -> bytes:
         return self.surface[words.ragged(self.surface_start[ids], self.surface_length[ids])].tobytes()
 
@@ -331,7 +346,7 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", out: str = "text") ->
     rows = rows.withColumn(out, F.lit(None).cast("string"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = MergeModel.open(model)
+        pieces = PieceTexts.open(model)
         for batch in batches:
             for part, offsets, flat in _id_slices(batch, ids):
                 new = pieces.decode(offsets, flat)
