@@ -200,7 +200,10 @@ class MergeModel:
         codes = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         known = self.known[codes]
         cut = ~(self.joins[self._pair(codes[:-1], codes[1:])] & known[:-1] & known[1:])
-        cuts = np.unique(np.concatenate([offsets, starts[1:][cut]]))
+        is_cut = np.zeros(len(data) + 1, bool)
+        is_cut[offsets] = True
+        is_cut[starts[1:][cut]] = True
+        cuts = np.flatnonzero(is_cut)
         vocab = words.strings(cuts, data).dictionary_encode()
         slots = self._slots(vocab.dictionary)[vocab.indices.to_numpy()]
         lengths = self.length[slots]
