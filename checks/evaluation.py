@@ -366,6 +366,45 @@ def _(d):
     return rounded(C.probability_filter(_isotonic(d), 0.5), "edge", "cover_prob")
 
 
+# Every edge is distinct: the key adds a fraction of its own to the prediction.
+FINE = "games_fine AS (SELECT *, pred_gbm + CAST(game_key AS DOUBLE) / 16777216 AS pred_fine FROM games)"
+FINE_BETS = f"{FINE}, " + bets("pred_fine").replace("FROM games", "FROM games_fine")
+# The fit is the lower hull of the cumulative hits: from each corner the hull goes on to the point with the least slope, the last one of several.
+HULL = (
+    f"{FINE_BETS}, pts AS (SELECT ae AS x, CAST(count(*) FILTER (WHERE hit) AS DOUBLE) AS y, CAST(count(*) AS DOUBLE) AS w FROM b WHERE ok GROUP BY ae), "
+    "acc AS (SELECT 0 AS i, CAST(NULL AS DOUBLE) AS x, CAST(0 AS DOUBLE) AS sw, CAST(0 AS DOUBLE) AS sy UNION ALL "
+    "SELECT row_number() OVER (ORDER BY x), x, sum(w) OVER (ORDER BY x), sum(y) OVER (ORDER BY x) FROM pts), "
+    "hull AS (WITH RECURSIVE h(i) AS (SELECT CAST(0 AS BIGINT) UNION ALL "
+    "SELECT max(i) FROM (SELECT a.i, (a.sy - o.sy) / (a.sw - o.sw) AS slope, min((a.sy - o.sy) / (a.sw - o.sw)) OVER () AS best "
+    "FROM h JOIN acc o ON o.i = h.i JOIN acc a ON a.i > h.i) t WHERE slope = best HAVING count(*) > 0) SELECT * FROM h), "
+    "blocks AS (SELECT lo.i AS i0, hi.i AS i1, hi.x AS high, hi.sw - lo.sw AS n, hi.sy - lo.sy AS hits FROM (SELECT i, lead(i) OVER (ORDER BY i) AS j FROM hull) c JOIN acc lo ON lo.i = c.i JOIN acc hi ON hi.i = c.j)"
+)
+
+
+def fine(d):
+    return d["games"].withColumn("pred_fine", F.col("pred_gbm") + F.col("game_key").cast("double") / F.lit(16777216.0))
+
+
+@REG.add(
+    "isotonic_blocks",
+    f"WITH {HULL} SELECT f.x AS low, high, CAST(n AS BIGINT) AS n_rows, CAST(hits AS BIGINT) AS hits, {r6('hits / n', 'rate')} FROM blocks JOIN acc f ON f.i = i0 + 1",
+    ("games",),
+)
+def _(d):
+    return rounded(C.calibration_blocks(fine(d), "pred_fine"), "rate")
+
+
+@REG.add(
+    "isotonic_distinct_edges",
+    f"WITH {HULL}, fit AS (SELECT a.x, b.hits / b.n AS y FROM acc a JOIN blocks b ON a.i > b.i0 AND a.i <= b.i1), "
+    + ISO[ISO.index("near AS") :] + f" SELECT game_key, {r6('edge', 'edge')}, {r6('p', 'cover_prob')} FROM iso",
+    ("games",),
+)
+def _(d):
+    rows = E.with_edge(fine(d), "pred_fine").select("game_key", "edge")
+    return rounded(C.isotonic_calibrate(rows, C.fit_isotonic(fine(d), "pred_fine")), "edge", "cover_prob")
+
+
 @REG.add("calibration_fit")
 def _(d):
     return C.calibration_fit(d["games"]).to_row(d.spark)
