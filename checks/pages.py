@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from matchline.functions import exprs as X
@@ -77,6 +78,40 @@ def _(d):
     return rounded(pages.page_log_to_rows(log_pages(d))[0], "spread", "total")
 
 
+def monthly_pages(d):
+    """One game-log page per team and month: the day stands once for all its rows, and two empty cells in a row are one."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    rows = d["fx_team_rows"]
+    order = [F.col(c).asc_nulls_first() for c in ("src_key", "location", "total")]
+    day = Window.partitionBy("team_id", "game_date")
+    rows = rows.withColumn("at", F.row_number().over(day.orderBy(*order))).withColumn("n", F.count("*").over(day))
+    venue = F.when(F.col("location") == "Away", "@ ").when(F.col("location") == "Home", "vs ").otherwise("")
+    date = F.concat(F.lit('<td class="d" rowspan="'), F.col("n").cast("string"), F.lit('">'), F.date_format("game_date", "MMM d, yyyy"), F.lit("</td>"))
+    lines = F.when(F.col("ats").isNull() & F.col("spread").isNull(), "<td colspan=2></td>").otherwise(F.concat(cell(text("ats")), cell(text("spread"))))
+    row = F.concat(
+        F.lit("<tr>"), F.when(F.col("at") == 1, date).otherwise(F.lit("")), cell(F.concat(venue, F.col("opponent"))), cell(F.lit("REG")), cell(F.col("result")),
+        cell(F.concat_ws(" - ", text("loser_score"), text("winner_score"))), lines, cell(F.lit("")), cell(text("total")), F.lit("</tr>"),
+    )
+    month = F.trunc("game_date", "month")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("game_date", "at", row.alias("row")))), lambda r: r["row"]), "\n")
+    head = "".join(f"<th>{c}</th>" for c in ("Date", "Opponent", "Game", "Result", "Score", "ATS", "Spread", "OU", "Total"))
+    grouped = rows.groupBy("team_id", "team_name", month.alias("month")).agg(body.alias("body"))
+    html = F.concat(F.lit("<html><title>"), F.col("team_name"), F.lit(f" - Game log</title><table><tr>{head}</tr>"), F.col("body"), F.lit("</table></html>"))
+    return grouped.select("team_id", F.lit("2024-25").alias("season"), html.alias("html"))
+
+
+@REG.add(
+    "page_log_with_spans",
+    "SELECT team_id, team_name, '2024-25' AS season, strftime(game_date, '%b %-d, %Y') AS date, opponent, location, 'REG' AS game, result, CAST(winner_score AS INTEGER) AS winner_score, CAST(loser_score AS INTEGER) AS loser_score, ats, "
+    f"{r6('spread', 'spread')}, CAST(NULL AS VARCHAR) AS ou, {r6('total', 'total')} FROM fx_team_rows",
+    ("fx_team_rows",),
+)
+def _(d):
+    rows, _ = pages.page_log_to_rows(monthly_pages(d))
+    return rounded(rows, "spread", "total")
+
+
 @REG.add(
     "page_log_rejects",
     "SELECT team_id, CASE src_key % 50 WHEN 7 THEN 'no table' ELSE 'missing columns: score' END AS reject_reason, count(*) AS n_pages FROM fx_team_rows WHERE src_key % 50 IN (7, 9) GROUP BY 1, 2",
@@ -120,6 +155,30 @@ def _(d):
     return rounded(pages.ratings_page_to_rows(ratings_pages(d))[0], *fixed.RATING_COLUMNS)
 
 
+def yearly_archive(d):
+    """One archive page per month with all its teams; the conference cell spans all rows, the last two columns are one."""
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    num = lambda c: F.col(c).cast("string")
+    month = Window.partitionBy("snapshot_date")
+    rows = d["all_ratings"].withColumn("at", F.row_number().over(month.orderBy("TeamName"))).withColumn("n", F.count("*").over(month))
+    conference = F.when(F.col("at") == 1, F.concat(F.lit("<td rowspan='"), num("n"), F.lit("'>X</td>"))).otherwise(F.lit(""))
+    cells = [cell(num("at")), cell(F.concat(F.lit("School"), num("TeamName"))), conference, *[x for c in ("AdjEM", "AdjOE", "AdjDE") for x in ((cell(num(c)),) if c == "AdjEM" else (cell(num(c)), cell(F.lit("1"))))], cell(num("AdjTempo")), F.lit("<td colspan=2>1</td>")]
+    row = F.concat(F.lit("<tr>"), *cells, F.lit("</tr>"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", row.alias("row")))), lambda r: r["row"]), "")
+    caption = "<tr><td colspan=10>Ratings on Nov 3</td></tr>"
+    pages_ = rows.groupBy("snapshot_date").agg(body.alias("body"))
+    return pages_.select("snapshot_date", F.concat(F.lit(f"<table id='ratings-table'>{caption}"), F.col("body"), F.lit("</table>")).alias("html"))
+
+
+@REG.add(
+    "ratings_page_with_spans",
+    "SELECT snapshot_date, concat('School', TeamName) AS TeamName, " + ", ".join(r6(c, c) for c in fixed.RATING_COLUMNS) + " FROM all_ratings",
+    ("all_ratings",),
+)
+def _(d):
+    return rounded(pages.ratings_page_to_rows(yearly_archive(d))[0], *fixed.RATING_COLUMNS)
+
+
 def odds_documents(d):
     """One document per order: each line item is a bookmaker with one market, in line order."""
     li = d["lineitem"]

@@ -13,7 +13,12 @@ _TABLE = r"(?i)</?table(?:\s[^>]*)?>"
 _ROW = r"(?i)<tr(?:\s[^>]*)?>"
 _CELL = r"(?i)<t[hd](?:\s[^>]*)?>"
 _BLANK = r"(?:<[^>]*>|\s)+"
-_ROW_MARK, _CELL_MARK = "\x1e", "\x1f"
+# The same cell tag with its spans, each if it has one.
+_SPANNED_CELL = r"""(?i)<t[hd](?:(?=[^>]*?\scolspan\s*=\s*["']?\s*(\d{1,9})))?(?:(?=[^>]*?\srowspan\s*=\s*["']?\s*(\d{1,9})))?(?:\s[^>]*)?>"""
+_HAS_SPAN = r"(?i)<t[hd]\s[^>]*?(?:col|row)span\s*="
+_ROW_MARK, _CELL_MARK, _SPAN_MARK = "\x1e", "\x1f", "\x1d"
+# Greatest spans that a table can have (fixed values of the HTML standard).
+_MOST_COLUMNS, _MOST_ROWS = 1000, 65534
 
 
 def extract_link_ids(pages: DataFrame, html: str = "html", pattern: str = fixed.LINK_ID_PATTERN) -> DataFrame:
@@ -48,15 +53,78 @@ def table_rows(html: str | Column) -> Column:
     """Cell texts of the first table as an array of rows; NULL when its end is missing.
 
     The table ends at the tag that balances its first one; tables inside it are text of their cell. It is cleaned as one text: rows and
-    cells become separator characters, all other tags and blanks single spaces, entities characters. Only then is it cut.
+    cells become separator characters, all other tags and blanks single spaces, entities characters. Only then is it cut. A cell that
+    spans columns or rows stands in each of them, so that later cells keep their columns.
     """
     text = outer_table(html)
-    for mark in (_ROW_MARK, _CELL_MARK):
+    for mark in (_ROW_MARK, _CELL_MARK, _SPAN_MARK):
         text = F.replace(text, F.lit(mark), F.lit(" "))
-    text = F.regexp_replace(F.regexp_replace(text, _ROW, _ROW_MARK), _CELL, _CELL_MARK)
-    text = X.unescape(F.regexp_replace(text, _BLANK, " "))
-    rows = _after_first(F.split(text, _ROW_MARK))
-    return F.transform(rows, lambda r: F.transform(_after_first(F.split(r, _CELL_MARK)), lambda c: F.trim(c)))
+
+    def cut(t: Column, tag: str, mark: str) -> Column:
+        t = F.regexp_replace(F.regexp_replace(t, _ROW, _ROW_MARK), tag, mark)
+        t = X.unescape(F.regexp_replace(t, _BLANK, " "))
+        return F.transform(_after_first(F.split(t, _ROW_MARK)), lambda r: _after_first(F.split(r, _CELL_MARK)))
+
+    def read(t: Column) -> Column:
+        # A table without spans is its own grid.
+        plain = F.transform(cut(t, _CELL, _CELL_MARK), lambda r: F.transform(r, lambda c: F.trim(c)))
+        return F.when(F.regexp_like(t, F.lit(_HAS_SPAN)), grid(cut(t, _SPANNED_CELL, f"{_CELL_MARK}$1{_SPAN_MARK}$2{_SPAN_MARK}"))).otherwise(plain)
+
+    # The text is read through a variable, so that it is made once.
+    return F.get(F.transform(F.array(text), read), F.lit(0))
+
+
+_OPEN = "array<struct<at:int,text:string,left:int>>"
+
+
+def _span(text: Column, most: int) -> Column:
+    return F.least(F.greatest(F.coalesce(F.try_to_number(F.nullif(text, F.lit("")), F.lit("999999999")).cast("int"), F.lit(1)), F.lit(1)), F.lit(most))
+
+
+def _still_open(cells: Column) -> Column:
+    """Spans that go on in the next row."""
+    return F.transform(F.filter(cells, lambda e: e["left"] > 1), lambda e: F.struct(e["at"], e["text"], (e["left"] - 1).alias("left")))
+
+
+def _texts(cells: Column) -> Column:
+    return F.transform(cells, lambda e: e["text"])
+
+
+def grid(rows: Column) -> Column:
+    """Rows of texts from rows of marked cells (colspan, rowspan, text).
+
+    Open row spans are carried from row to row. In front of a cell come the spans whose column is reached: the j-th open one (from 0) at column c is,
+    if c - j is not beyond the cell's own column, since each one before it takes a column. Where spans overlap, what is pushed aside keeps its
+    old column in mind. Spans that outlast the table give rows of their own.
+    """
+    none = F.array().cast(_OPEN)
+
+    def cell(s: Column, c: Column) -> Column:
+        parts = F.split(c, _SPAN_MARK)
+        columns, left, text = _span(F.get(parts, F.lit(0)), _MOST_COLUMNS), _span(F.get(parts, F.lit(1)), _MOST_ROWS), F.trim(F.get(parts, F.lit(2)))
+        beyond = F.array_position(F.transform(s["open"], lambda e, j: e["at"] - j <= F.size(s["texts"])), F.lit(False)).cast("int")
+        reached = F.when(beyond == 0, F.size(s["open"])).otherwise(beyond - 1)
+        taken = F.slice(s["open"], F.lit(1), reached)
+        at = F.size(s["texts"]) + reached
+        own = F.when(left > 1, F.transform(F.sequence(F.lit(0), columns - 1), lambda i: F.struct((at + i).alias("at"), text.alias("text"), left.alias("left")))).otherwise(none)
+        return F.struct(
+            F.concat(s["texts"], _texts(taken), F.array_repeat(text, columns)).alias("texts"),
+            F.slice(s["open"], reached + 1, F.greatest(F.size(s["open"]) - reached, F.lit(0))).alias("open"),
+            F.concat(s["next"], _still_open(taken), _still_open(own)).alias("next"),
+        )
+
+    def row(s: Column, cells: Column) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("texts"), s["open"].alias("open"), none.alias("next"))
+        done = lambda e: F.struct(F.concat(e["next"], _still_open(e["open"])).alias("open"), F.concat(e["texts"], _texts(e["open"])).alias("texts"))
+        built = F.aggregate(cells, start, cell, done)
+        return F.aggregate(F.array(built), s, lambda s, b: F.struct(b["open"].alias("open"), F.concat(s["rows"], F.array(b["texts"])).alias("rows")))
+
+    def finish(s: Column) -> Column:
+        longest = F.coalesce(F.array_max(F.transform(s["open"], lambda e: e["left"])), F.lit(0))
+        more = F.transform(F.sequence(F.lit(1), longest), lambda r: _texts(F.filter(s["open"], lambda e: e["left"] >= r)))
+        return F.concat(s["rows"], F.when(longest > 0, more).otherwise(F.array().cast("array<array<string>>")))
+
+    return F.aggregate(rows, F.struct(none.alias("open"), F.array().cast("array<array<string>>").alias("rows")), row, finish)
 
 
 def outer_table(html: str | Column) -> Column:

@@ -122,3 +122,68 @@ def test_page_rows(spark):
     assert [tuple(x) for x in rejects.collect()] == [(2, "2023-24", "no table")]
 
 
+
+
+def plain_grid(rows):
+    """Row and column spans by a plain table of taken places; rows are lists of (text, columns, rows)."""
+    out, open_ = [], []
+    i = 0
+    while i < len(rows) or open_:
+        cells, line, next_ = list(rows[i]) if i < len(rows) else [], [], []
+        queue = open_
+
+        def put(at, text, left):
+            line.append(text)
+            if left > 1:
+                next_.append((at, text, left - 1))
+
+        for text, columns, left in cells:
+            while queue and queue[0][0] <= len(line):
+                put(*queue.pop(0))
+            for _ in range(columns):
+                put(len(line), text, left)
+        for e in queue:
+            put(*e)
+        out.append(line)
+        open_, i = next_, i + 1
+    return out
+
+
+def test_spans_are_a_plain_grid(spark):
+    import random
+
+    rng = random.Random(11)
+    pages_, want = [], []
+    for k in range(300):
+        rows = []
+        for r in range(rng.randrange(1, 7)):
+            rows.append([(f"{r}.{c}", rng.choice([1, 1, 1, 2, 3]), rng.choice([1, 1, 1, 2, 4])) for c in range(rng.randrange(0, 6))])
+        tag = lambda n, v: rng.choice([f' {n}="{v}"', f" {n.upper()}={v}", f" class=x {n} = '{v}'"]) if v > 1 or rng.random() < 0.2 else ""
+        cell = lambda t, c, r: f"<{(x := rng.choice(['td', 'th', 'TD']))}{tag('colspan', c)}{tag('rowspan', r)}> <b>{t}</b>&nbsp;</{x}>"
+        pages_.append((k, "<p><table>" + "".join("<tr>" + "".join(cell(*c) for c in row) + "</tr>" for row in rows) + "</table>"))
+        want.append(plain_grid(rows))
+    got = spark.createDataFrame(pages_, "k int, html string").select("k", pages.table_rows("html").alias("r")).orderBy("k").collect()
+    assert [[[c.strip("\xa0 ") for c in row] for row in r.r] for r in got] == want
+
+
+def test_odd_spans(spark):
+    html = [
+        "<table><tr><td>a</td><td colspan=2>b</td></tr><tr><td rowspan=2>d</td><td>e</td><td>f</td></tr><tr><td>g</td><td>h</td></tr></table>",
+        "<table><tr><td colspan=0 rowspan='x'>a</td><td colspan=\"\">b</td></tr></table>",
+        "<table><tr><td colspan=5000>a</td></tr></table>",
+        "<table><tr><td data-colspan=3>a</td><td>b</td></tr></table>",
+        "<table><tr><td colspan=2>x<table><tr><td rowspan=9>in</td></tr></table></td></tr></table>",
+        "<table><tr><td rowspan=2>never ends", None,
+    ]
+    got = [r.r for r in spark.createDataFrame(list(enumerate(html)), "k int, html string").select("k", pages.table_rows("html").alias("r")).orderBy("k").collect()]
+    assert got[0] == [["a", "b", "b"], ["d", "e", "f"], ["d", "g", "h"]]
+    assert got[1] == [["a", "b"]] and got[2] == [["a"] * 1000] and got[3] == [["a", "b"]] and got[4] == [["x in", "x in"]] and got[5] is None and got[6] is None
+
+
+def test_page_rows_with_spans(spark):
+    head = "".join(f"<th>{c}</th>" for c in ["Date", "Opponent", "Game", "Result", "Score", "ATS", "Spread", "OU", "Total"])
+    first = "<tr><td rowspan=2>Jan 5, 2024</td><td>A</td><td>REG</td><td>L</td><td>60 - 70</td><td colspan=2></td><td>O</td><td>130</td></tr>"
+    second = "<tr><td>vs B</td><td>REG</td><td>W</td><td>60 - 70</td><td>W</td><td>-2</td><td>U</td><td>131</td></tr>"
+    df = spark.createDataFrame([(1, "2023-24", f"<title>Duke - log</title><table><tr>{head}</tr>{first}{second}</table>")], "team_id int, season string, html string")
+    got = [(r["date"], r["opponent"], r["location"], r["ats"], r["spread"], r["ou"], r["total"]) for r in pages.page_log_to_rows(df)[0].collect()]
+    assert got == [("Jan 5, 2024", "A", "Neutral", None, None, "O", 130.0), ("Jan 5, 2024", "B", "Home", "W", -2.0, "U", 131.0)]
