@@ -1,8 +1,9 @@
 """Entity-name resolution.
 
-Every stage is an equality lookup. Prefix and containment matching become one by indexing the
-prefixes or substrings of the target names, aggregated per index key before the join. Shared words
-are matched through the rarest words of a name, so a hot word joins nothing.
+Every stage is an equality lookup. Prefix matching becomes one by indexing the prefixes of the
+target names, aggregated per index key before the join. Containment goes through an index of
+suffixes led by a few characters, and what it finds is verified. Shared words are matched through
+the rarest words of a name, so a hot word joins nothing.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..functions import fixed
+from ..sources.scratch import materialise
 from .joins import lookup_join
 
 # How many index rows a name may yield, for the size check of the lookup.
 PREFIX_GROWTH = 200
-SUBSTRING_GROWTH = 5000
 
 
 def name_table(spark, pairs: dict[str, str], raw: str = "raw_name", canonical: str = "canonical_name") -> DataFrame:
@@ -119,24 +120,30 @@ def school_table(rows: DataFrame) -> DataFrame:
     )
 
 
+#: Characters that lead an entry of the suffix index.
+GRAM = 4
 # How an index entry names its team: full name, school name, whole containment, leading words, fragment.
 _FULL, _SCHOOL, _WHOLE, _HEAD, _INNER = 1, 2, 3, 4, 5
 _SCORES = {_WHOLE: 100, _HEAD: 90, _INNER: 50}
 
 
-def _fragments(s: Column) -> Column:
-    """Every distinct substring of a name, and its leading words, as (key, rank)."""
+def _grams(s: str) -> Column:
+    """The strings of GRAM characters in a text and where they start, as (gram, at)."""
+    at = F.when(F.length(s) >= GRAM, F.sequence(F.lit(1), F.length(s) - (GRAM - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(F.substring(F.col(s), i, F.lit(GRAM)).alias("gram"), i.alias("at")))
+
+
+def _short_fragments(s: Column) -> Column:
+    """What a text shorter than GRAM can match in a name, as (key, rank): parts, leading words, the whole name."""
     size = F.length(s)
     starts = F.when(size > 0, F.sequence(F.lit(1), size)).otherwise(F.array().cast("array<int>"))
-    pieces = F.flatten(
-        F.transform(starts, lambda i: F.transform(F.sequence(F.lit(1), size - i + 1), lambda n: F.substring(s, i, n)))
-    )
+    cut = lambda n: F.transform(F.filter(starts, lambda i: i <= size - (n - 1)), lambda i: F.substring(s, i, F.lit(n)))
     entry = lambda key, rank: F.struct(key.alias("key"), F.lit(rank).alias("rank"))
-    inner = F.transform(F.array_distinct(pieces), lambda p: entry(p, _INNER))
-    heads = F.transform(
-        F.filter(starts, lambda i: F.substring(s, i + 1, F.lit(1)) == " "), lambda i: entry(F.substring(s, F.lit(1), i), _HEAD)
-    )
-    return F.concat(inner, heads, F.array(entry(s, _WHOLE)))
+    inner = F.transform(F.array_distinct(F.concat(*[cut(n) for n in range(1, GRAM)])), lambda p: entry(p, _INNER))
+    spaces = F.filter(F.sequence(F.lit(1), F.lit(GRAM - 1)), lambda i: F.substring(s, i + 1, F.lit(1)) == " ")
+    heads = F.transform(spaces, lambda i: entry(F.substring(s, F.lit(1), i), _HEAD))
+    whole = F.when(size < GRAM, F.array(entry(s, _WHOLE))).otherwise(F.array().cast("array<struct<key:string,rank:int>>"))
+    return F.concat(inner, heads, whole)
 
 
 def _best_entry(entries: DataFrame) -> DataFrame:
@@ -152,14 +159,42 @@ def _best_entry(entries: DataFrame) -> DataFrame:
     return out.groupBy("key").agg(F.min(F.struct("rank", "n", "team_id")).alias("_b")).select("key", "_b.*")
 
 
+def suffix_index(schools: DataFrame) -> DataFrame:
+    """(team_id, gram, at): every suffix of every school name, led by its first GRAM characters; one short row per character of a name."""
+    return schools.select("team_id", F.inline(_grams("school")))
+
+
+def _contained(keys: DataFrame, schools: DataFrame) -> DataFrame:
+    """(key, rank, n, team_id): how each text lies in school names at best, in how many, and the lowest such team.
+
+    A text of GRAM characters or more looks its rarest gram up in the suffix index, and what is found is verified: the name must go on with the
+    whole text from there. Shorter texts meet an index of all short parts.
+    """
+    index = suffix_index(schools)
+    held = index.groupBy("gram").agg(F.count("*").alias("_n"))
+    asked = keys.filter(F.length("key") >= GRAM).select("key", F.inline(_grams("key"))).join(held, "gram", "left")
+    lead = asked.groupBy("key").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("at").alias("place"), "gram")).alias("_l"))
+    lead = lead.filter("_l.n > 0").select("key", "_l.place", "_l.gram")  # a text with an unknown gram lies nowhere
+    found = lead.join(index, "gram").withColumn("start", F.col("at") - F.col("place") + 1).filter("start > 0")
+    found = lookup_join(found.select("key", "team_id", "start"), schools.select("team_id", "school"), ["team_id"])
+    rest = F.substring("school", F.col("start"), F.length("school"))
+    found = found.filter(F.startswith(rest, F.col("key")))
+    leads = (F.col("start") == 1) & (F.substring(rest, F.length("key") + 1, F.lit(1)) == " ")
+    rank = F.when(F.col("school") == F.col("key"), _WHOLE).when(leads, _HEAD).otherwise(_INNER)
+    long_ = found.groupBy("key", "team_id").agg(F.min(rank).alias("rank")).select("key", "rank", "team_id")
+    short = _best_entry(schools.select("team_id", F.inline(_short_fragments(F.col("school")))))
+    brief = lookup_join(keys.filter(F.length("key") < GRAM), short, ["key"], growth=PREFIX_GROWTH).filter(F.col("rank").isNotNull())
+    return _best_entry(long_).unionByName(brief.select("key", "rank", "n", "team_id"))
+
+
 def containment_theta_join(opponents: DataFrame, schools: DataFrame, opponent: str = "opponent") -> DataFrame:
     """(opponent, team_id, score) where one team has the uniquely best containment score.
 
-    100 the whole school name, 90 its leading words, 50 any part of it.
+    100 the whole school name, 90 its leading words, 50 any part of it. `schools` has one row per team_id.
     """
-    index = _best_entry(schools.select("team_id", F.inline(_fragments(F.col("school")))))
-    probes = opponents.select(opponent).distinct().withColumn("key", X.normalise_key(opponent))
-    hits = lookup_join(probes, index, ["key"], growth=SUBSTRING_GROWTH).filter((F.col("rank") == _WHOLE) | (F.col("n") == 1))
+    probes = materialise(opponents.select(opponent).distinct().withColumn("key", X.normalise_key(opponent)), "probes")
+    found = _contained(probes.select("key").filter(F.col("key").isNotNull()).distinct(), materialise(schools.select("team_id", "school"), "schools"))
+    hits = probes.join(found, "key").filter((F.col("rank") == _WHOLE) | (F.col("n") == 1))
     score = F.lit(None).cast("int")
     for rank, value in _SCORES.items():
         score = F.when(F.col("rank") == rank, value).otherwise(score)
@@ -170,27 +205,26 @@ def resolve_opponent_ids(rows: DataFrame, overrides: dict[str, str] | None = Non
     """(opponent, opponent_team_id) for each distinct opponent text that resolves.
 
     Overrides win when their target is a known name, then full names (highest id on a clash), then
-    school names (lowest id), then a unique best containment. Two passes over the rows: one for
-    the teams, one for the opponent texts; all kinds of match share one index and one join.
+    school names (lowest id), then a unique best containment. Two passes over the rows, one for
+    the teams and one for the opponent texts; both small tables are written once, since each kind of match reads them.
     """
     overrides = fixed.OPPONENT_OVERRIDES if overrides is None else overrides
     entry = lambda key, rank: F.struct(F.col(key).alias("key"), F.lit(rank).alias("rank"))
-    names = F.when(F.col("n_words") >= 2, F.array(entry("full", _FULL), entry("school", _SCHOOL)))
-    teams = school_table(rows)
-    entries = F.concat(_fragments(F.col("school")), F.coalesce(names, F.array().cast("array<struct<key:string,rank:int>>")))
-    index = _best_entry(teams.select("team_id", F.inline(entries)))
-    texts = rows.select("opponent").filter(F.col("opponent").isNotNull()).distinct()
+    teams = materialise(school_table(rows), "schools")
+    named = teams.filter("n_words >= 2").select("team_id", F.inline(F.array(entry("full", _FULL), entry("school", _SCHOOL))))
     key = X.normalise_key("opponent")
+    texts = materialise(rows.select("opponent").filter(F.col("opponent").isNotNull()).distinct().withColumn("key", key), "opponents")
     if overrides:
         table = F.create_map(*[F.lit(x) for pair in overrides.items() for x in pair])
-        forced = F.try_element_at(table, key)
+        forced = F.try_element_at(table, F.col("key"))
     else:
         forced = F.lit(None).cast("string")
-    tries = F.array(F.struct(F.lit(0).alias("_try"), forced.alias("key")), F.struct(F.lit(1).alias("_try"), key.alias("key")))
-    hits = lookup_join(texts.select("opponent", F.inline(tries)), index, ["key"], growth=SUBSTRING_GROWTH)
-    sure = F.col("rank") <= F.when(F.col("_try") == 0, _SCHOOL).otherwise(_WHOLE)
-    lucky = (F.col("_try") == 1) & (F.col("n") == 1)
-    best = hits.filter(sure | lucky).groupBy("opponent").agg(F.min(F.struct("_try", "team_id")).alias("_b"))
+    tries = F.array(F.struct(F.lit(0).alias("_try"), forced.alias("key")), F.struct(F.lit(1).alias("_try"), F.col("key").alias("key")))
+    sure = lookup_join(texts.select("opponent", F.inline(tries)), _best_entry(named), ["key"]).filter(F.col("rank").isNotNull())
+    sure = sure.select("opponent", F.struct("_try", "rank", "team_id").alias("_h"))
+    part = _contained(texts.select("key").distinct(), teams).filter((F.col("rank") == _WHOLE) | (F.col("n") == 1))
+    part = texts.join(part, "key").select("opponent", F.struct(F.lit(1).alias("_try"), "rank", "team_id").alias("_h"))
+    best = sure.unionByName(part).groupBy("opponent").agg(F.min("_h").alias("_b"))
     return best.select("opponent", F.col("_b.team_id").alias("opponent_team_id"))
 
 

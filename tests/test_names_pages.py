@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from matchline.operators import names as N
 from matchline.operators import odds, pages, picks
 
@@ -150,8 +152,6 @@ def plain_grid(rows):
 
 
 def test_spans_are_a_plain_grid(spark):
-    import random
-
     rng = random.Random(11)
     pages_, want = [], []
     for k in range(300):
@@ -187,3 +187,32 @@ def test_page_rows_with_spans(spark):
     df = spark.createDataFrame([(1, "2023-24", f"<title>Duke - log</title><table><tr>{head}</tr>{first}{second}</table>")], "team_id int, season string, html string")
     got = [(r["date"], r["opponent"], r["location"], r["ats"], r["spread"], r["ou"], r["total"]) for r in pages.page_log_to_rows(df)[0].collect()]
     assert got == [("Jan 5, 2024", "A", "Neutral", None, None, "O", 130.0), ("Jan 5, 2024", "B", "Home", "W", -2.0, "U", 131.0)]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_suffix_index_matches_brute_force(spark, seed):
+    rng = random.Random(seed)
+    name = lambda n: "".join(rng.choices("ab c", k=rng.randrange(n)))
+    schools = [(i, name(14)) for i in range(60)] + [(60, ""), (61, "x" * 30), (62, "aé日本 b"), (63, None)]
+    keys = {name(9).strip() for _ in range(300)} | {"", "x" * 30, "x" * 29, "é日", "aé日本", "zzzz"}
+    want = {}
+    for k in keys:
+        ranks = {}
+        for i, s in schools:
+            if s is not None and k in s and (k or not s):
+                ranks.setdefault(100 if s == k else 90 if s.startswith(k + " ") else 50, []).append(i)
+        if ranks:
+            best = max(ranks)
+            if best == 100 or len(ranks[best]) == 1:
+                want[k] = (min(ranks[best]), best)
+    got = N.containment_theta_join(spark.createDataFrame([(k,) for k in keys], "opponent string"), spark.createDataFrame(schools, "team_id long, school string"))
+    assert {r.opponent: (r.team_id, r.score) for r in got.collect()} == want
+
+
+def test_a_long_name_adds_one_entry_per_character(spark):
+    text = "".join(chr(97 + i % 26) + str(i) for i in range(2000))[:10_000].ljust(10_000, "z")
+    schools = spark.createDataFrame([(1, text), (2, "abc")], "team_id long, school string")
+    index = N.suffix_index(schools)
+    assert index.count() == 10_000 - N.GRAM + 1 and max(len(r.gram) for r in index.collect()) == N.GRAM
+    probes = spark.createDataFrame([(text[4000:9000],), (text,), ("abc",)], "opponent string")
+    assert {(len(r.opponent), r.team_id, r.score) for r in N.containment_theta_join(probes, schools).collect()} == {(5000, 1, 50), (10_000, 1, 100), (3, 2, 100)}
