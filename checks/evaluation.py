@@ -317,17 +317,33 @@ def _(d):
     return rounded(d["games"].select("game_key", C.temperature_apply("pred_gbm", "spread_a", 1.25).alias("pred_scaled")), "pred_scaled")
 
 
-def _poisson_sql() -> str:
-    return "CASE " + " ".join(f"WHEN h < '{c}' THEN {k}" for k, c in enumerate(C.poisson_cuts())) + f" ELSE {len(C.poisson_cuts())} END"
+def _polynomial(coefficients, x: str) -> str:
+    out = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        out = f"({out} * {x} + CAST({c!r} AS DOUBLE))"
+    return out
+
+
+def _tail(p: str) -> str:
+    root = f"sqrt(CAST(-2.0 AS DOUBLE) * ln({p}))"
+    return f"{_polynomial(C.NORMAL_TAIL[0], root)} / {_polynomial(C.NORMAL_TAIL[1], root)}"
 
 
 def stability_sql(pred: str) -> str:
     steps = grid_values(fixed.STABILITY_THRESHOLDS)
+    reached = " + ".join(f"CASE WHEN ae >= {t} THEN 1 ELSE 0 END" for t in sorted(fixed.STABILITY_THRESHOLDS))
+    square = "((u - 0.5) * (u - 0.5))"
+    centre = f"(u - 0.5) * {_polynomial(C.NORMAL_CENTRE[0], square)} / {_polynomial(C.NORMAL_CENTRE[1], square)}"
+    edge = f"CAST({C.NORMAL_EDGE!r} AS DOUBLE)"
     return (
-        f"WITH {bets(pred)}, d AS (SELECT ae, hit, r.rep, substr(md5(concat(game_key, ':', (r.rep - 1) // 4)), CAST(8 * ((r.rep - 1) % 4) + 1 AS INTEGER), 8) AS h "
-        "FROM b CROSS JOIN (SELECT unnest(range(1, 101)) AS rep) r WHERE ok AND ae >= 3), "
-        f"x AS (SELECT ae, hit, rep, {_poisson_sql()} AS wt FROM d), "
-        f"c AS (SELECT rep, t, sum(wt) AS n, sum(CASE WHEN hit THEN wt ELSE 0 END) AS w FROM x CROSS JOIN {steps} WHERE ae >= t GROUP BY rep, t), "
+        f"WITH {bets(pred)}, cells AS (SELECT {reached} - 1 AS bin, CASE WHEN hit THEN 1 ELSE 0 END AS h, CAST(count(*) AS DOUBLE) AS n FROM b WHERE ok AND ae >= {min(fixed.STABILITY_THRESHOLDS)} GROUP BY 1, 2), "
+        "d AS (SELECT bin, h, n, r.rep, (CAST('0x' || left(md5(concat_ws(':', '0', r.rep, bin, h)), 12) AS BIGINT) + 0.5::DOUBLE) / 281474976710656::DOUBLE AS u FROM cells, (SELECT unnest(range(1, 101)) AS rep) r), "
+        f"z AS (SELECT *, CASE WHEN u < {edge} THEN {_tail('u')} WHEN u > 1 - {edge} THEN -({_tail('(1 - u)')}) ELSE {centre} END AS z FROM d), "
+        # Cumulative probabilities of the small cells, term by term.
+        f"e AS (SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS p FROM (SELECT n, CAST(unnest(range(CAST(n + 12 * sqrt(n) + 25 AS BIGINT))) AS DOUBLE) AS k FROM (SELECT DISTINCT n FROM cells WHERE n <= {C.EXACT_MEAN}) s) t), "
+        "x AS (SELECT bin, h, rep, CASE WHEN n <= " + str(C.EXACT_MEAN) + " THEN (SELECT min(k) FROM e WHERE e.n = z.n AND e.p >= z.u) "
+        "ELSE greatest(floor(n + z * sqrt(n) + (z * z - 1) / 6 + (z - z * z * z) / (72 * sqrt(n)) + 0.5), 0) END AS wt FROM z), "
+        f"c AS (SELECT rep, t, sum(wt) AS n, sum(wt * h) AS w FROM x JOIN (SELECT t, row_number() OVER (ORDER BY t) - 1 AS i FROM {steps}) g ON bin >= i GROUP BY rep, t), "
         f"r2 AS (SELECT t, {roi_sql('w', 'n')} AS roi FROM c WHERE n >= 20), "
         "s AS (SELECT t AS threshold, count(*) AS n_reps, avg(roi) AS mean_roi, stddev_pop(roi) AS std_roi, avg(CASE WHEN roi > 0 THEN 1.0 ELSE 0.0 END) AS pct FROM r2 GROUP BY t HAVING count(*) >= 50) "
         f"SELECT threshold, n_reps, {r6('mean_roi', 'mean_roi')}, {r6('std_roi', 'std_roi')}, {r6('pct', 'pct_profitable')}, {r6('CASE WHEN pct > 0.5 THEN mean_roi / (std_roi + 0.01) ELSE -1 END', 'stability')} FROM s"
@@ -340,6 +356,15 @@ def _(d):
     return rounded(out, "mean_roi", "std_roi", "pct_profitable", "stability")
 
 
+@REG.add(
+    "bootstrap_replicates",
+    stability_sql("pred_gbm").split(", r2 AS")[0].replace("WITH ", "WITH ", 1) + f" SELECT CAST(rep AS INTEGER) AS rep, t AS threshold, CAST(n AS BIGINT) AS n_bets, {r6(roi_sql('w', 'n'), 'roi')} FROM c",
+    ("games",),
+)
+def _(d):
+    return rounded(C.bootstrap_rois(d["games"], pred="pred_gbm"), "roi")
+
+
 def _isotonic(d):
     rows = E.with_edge(d["games"], "pred_gbm").select("game_key", "edge")
     return C.isotonic_calibrate(rows, C.fit_isotonic(d["games"], "pred_gbm"))

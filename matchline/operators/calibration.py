@@ -7,10 +7,14 @@ sums, so a shuffle carries one row per candidate and task, never rows times cand
 from __future__ import annotations
 
 import json
-import math
-from collections.abc import Sequence
+import operator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,30 +38,38 @@ def simplex_lattice(members: int, steps: int = 10) -> list[tuple[float, ...]]:
     return [tuple(i / steps for i in w) for w in grow(steps, members)]
 
 
+def _lattice_counts(lattice: Sequence[Sequence[float]], threshold: float):
+    """A task's bets and hits per lattice point: each batch meets all points as columns, and one row a point leaves the task."""
+    weights = np.array(lattice).T
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bets, hits = np.zeros(weights.shape[1], np.int64), np.zeros(weights.shape[1], np.int64)
+        for batch in batches:
+            *preds, line, cover = (pc.fill_null(c, np.nan).to_numpy(zero_copy_only=False)[:, None] for c in batch.columns)
+            edge = reduce(operator.add, [p * w for p, w in zip(preds, weights, strict=True)]) + line
+            bet = np.abs(edge) >= threshold  # false without an edge
+            bets += bet.sum(axis=0)
+            hits += (bet & ((edge > 0) == (cover == 1.0))).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(bets), dtype=np.int32)), pa.array(bets), pa.array(hits)], names=["grid_pos", "n", "w"])
+
+    return run
+
+
 def weight_grid(
     df: DataFrame, models: Sequence[str], threshold: float, steps: int = 10, line: str = "spread_a", cover: str = "cover_a"
 ) -> DataFrame:
-    """Metric row per weight vector of the lattice."""
+    """Metric row per weight vector of the lattice.
+
+    Each bet is read once and counted for all lattice points at the same time; nothing but the counts leaves a task.
+    """
     lattice = simplex_lattice(len(models), steps)
-    grid = F.array(
-        *[
-            F.struct(F.lit(i).alias("grid_pos"), *[F.lit(w).alias(f"w_{m}") for m, w in zip(models, ws, strict=True)])
-            for i, ws in enumerate(lattice)
-        ]
-    )
-    decided = df.filter(F.col(cover).isin(0.0, 1.0)).select(*[f"pred_{m}" for m in models], line, cover)
-    rows = decided.select("*", F.inline(grid))
-    total = None
-    for m in models:
-        term = F.col(f"w_{m}") * F.col(f"pred_{m}")
-        total = term if total is None else total + term
-    edge = E.edge_of(total, line)
-    bet = F.abs(edge) >= F.lit(float(threshold))
-    hit = E.hit_of(edge, cover)
-    names = ["grid_pos", *[f"w_{m}" for m in models]]
-    out = rows.groupBy(*names).agg(E.count_where(bet).alias("n_bets"), E.count_where(bet & hit).alias("_w"))
+    decided = df.filter(F.col(cover).isin(0.0, 1.0)).select(*[F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*[f"pred_{m}" for m in models], line, cover])])
+    counts = decided.mapInArrow(_lattice_counts(lattice, float(threshold)), "grid_pos int, n long, w long")
+    counts = counts.groupBy("grid_pos").agg(F.sum("n").alias("n_bets"), F.sum("w").alias("_w"))
+    vectors = F.array(*[F.array(*map(F.lit, ws)) for ws in lattice])
+    named = [F.get(F.get(vectors, F.col("grid_pos")), F.lit(i)).alias(f"w_{m}") for i, m in enumerate(models)]
     n, w = F.col("n_bets"), F.col("_w")
-    return out.select(*names, "n_bets", E.rate_of(w, n).alias("hit_rate"), E.roi_of(w, n).alias("roi"))
+    return counts.select("grid_pos", *named, "n_bets", E.rate_of(w, n).alias("hit_rate"), E.roi_of(w, n).alias("roi"))
 
 
 def weight_search_roi(
@@ -149,64 +161,83 @@ def bucket_filter(df: DataFrame, buckets: DataFrame, edge: str = "edge") -> Data
     return rows.join(F.broadcast(buckets.select("bucket")), ["bucket"], "left_semi")
 
 
-def poisson_cuts(digits: int = 8) -> list[str]:
-    """Cumulative Poisson(1) probabilities as upper ends of fixed-length hexadecimal fractions."""
-    cuts, total = [], 0.0
-    for k in range(40):
-        total += math.exp(-1.0) / math.factorial(k)
-        point = int(total * 16**digits)
-        if point >= 16**digits - 1:
-            break
-        cuts.append(format(point, f"0{digits}x"))
-    return cuts
+#: Up to this mean a Poisson draw inverts the distribution term by term; beyond it the expansion below is off by less than a hundredth within five deviations.
+EXACT_MEAN = 256
+
+# A rational approximation of the normal quantile by P. J. Acklam, relative error below 1.2e-9.
+NORMAL_CENTRE = (
+    [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00],
+    [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0],
+)
+NORMAL_TAIL = (
+    [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00],
+    [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0],
+)
+NORMAL_EDGE = 0.02425
+
+
+def _polynomial(coefficients: Sequence[float], x: Column) -> Column:
+    return reduce(lambda acc, c: acc * x + F.lit(c), coefficients[1:], F.lit(coefficients[0]))
 
 
-def poisson_weight(hexes: Column) -> Column:
-    """Poisson(1) draw from eight hexadecimal digits; fixed-length digits compare as text."""
-    out = F.lit(len(poisson_cuts()))
-    for k, cut in reversed(list(enumerate(poisson_cuts()))):
-        out = F.when(hexes < cut, k).otherwise(out)
-    return out
+def _let(value: Column, body) -> Column:
+    """body(value), which reads the value instead of repeating its expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def normal_quantile(u: Column) -> Column:
+    """The value below which a standard normal lies with probability u (0 < u < 1)."""
+    ratio = lambda pair, x: _polynomial(pair[0], x) / _polynomial(pair[1], x)
+    # Products before quotients, as the terms are written.
+    centre = _let((u - 0.5) * (u - 0.5), lambda r: (u - 0.5) * _polynomial(NORMAL_CENTRE[0], r) / _polynomial(NORMAL_CENTRE[1], r))
+    tail = lambda p: _let(F.sqrt(F.lit(-2.0) * F.log(p)), lambda r: ratio(NORMAL_TAIL, r))
+    return F.when(u < NORMAL_EDGE, tail(u)).when(u > 1 - NORMAL_EDGE, -tail(F.lit(1.0) - u)).otherwise(centre)
+
+
+def poisson_quantile(u: Column, mean: Column) -> Column:
+    """A Poisson draw (long) by inverse distribution: the least k whose cumulative probability reaches u."""
+    root = F.sqrt(mean)
+    wide = _let(normal_quantile(u), lambda z: F.greatest(F.floor(mean + z * root + (z * z - 1.0) / 6.0 + (z - z * z * z) / (F.lit(72.0) * root) + 0.5), F.lit(0)))
+    # Terms are summed until u is reached; k stays once it is. Twelve deviations beyond the mean hold more than any digest can tell.
+    last = F.ceil(mean + F.lit(12.0) * root + F.lit(24.0)).cast("int")
+    start = F.struct(F.lit(0).cast("long").alias("k"), F.exp(-mean).alias("term"), F.exp(-mean).alias("sum"))
+
+    def step(s: Column, i: Column) -> Column:
+        on = s["sum"] < u
+        term = F.when(on, s["term"] * mean / i).otherwise(s["term"])
+        return F.struct((s["k"] + F.when(on, 1).otherwise(0)).alias("k"), term.alias("term"), F.when(on, s["sum"] + term).otherwise(s["sum"]).alias("sum"))
+
+    exact = F.aggregate(F.sequence(F.lit(1), last), start, step, lambda s: s["k"])
+    return F.when(mean == 0, F.lit(0)).when(mean <= EXACT_MEAN, exact).otherwise(wide).cast("long")
 
 
 def bootstrap_rois(
-    df: DataFrame, key: str = "game_key", thresholds: Sequence[float] = tuple(fixed.STABILITY_THRESHOLDS), n_bootstrap: int = 100,
-    pred: str = "pred", line: str = "spread_a", cover: str = "cover_a",
+    df: DataFrame, thresholds: Sequence[float] = tuple(fixed.STABILITY_THRESHOLDS), n_bootstrap: int = 100,
+    pred: str = "pred", line: str = "spread_a", cover: str = "cover_a", seed: int = 0,
 ) -> DataFrame:
     """(rep, threshold, n_bets, roi) of Poisson-weighted resamples.
 
-    A row's weight in a replicate is a Poisson(1) draw from the digest of its key, so a rerun task
-    draws the same. One digest serves four replicates. Rows below the lowest threshold never bet
-    and are left out first; sums leave the task per (replicate, threshold bin).
+    Each row weighs Poisson(1) in a replicate, and sums of those weights over the rows of a cell (threshold bin, hit or miss) are Poisson with the
+    number of its rows. So one pass counts the cells, at most two per threshold, and each replicate draws once per cell, from a digest
+    of seed, replicate and cell: a rerun draws the same. Rows below the lowest threshold never bet.
     """
     steps = sorted({float(t) for t in thresholds})
-    e = E.edge_of(pred, line)
+    e, hit = E.edge_of(pred, line), E.hit_of(E.edge_of(pred, line), cover)
     reached = F.lit(0)
     for i, t in enumerate(steps):
         reached = F.when(F.abs(e) >= t, i).otherwise(reached)
-    bets = df.select(F.col(key).cast("string").alias("_k"), reached.alias("_bin"), E.hit_of(e, cover).alias("_hit"), F.abs(e).alias("_e"))
-    bets = bets.filter(F.col("_hit").isNotNull() & (F.col("_e") >= steps[0])).drop("_e")
-    groups = -(-n_bootstrap // 4)
-    drawn = bets.select("_bin", "_hit", F.col("_k"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("_g"))
-    drawn = drawn.withColumn("_md", F.md5(F.concat_ws(":", "_k", F.col("_g").cast("string"))))
-    draws = F.array(
-        *[
-            F.struct(
-                (F.col("_g") * 4 + (s + 1)).alias("rep"), poisson_weight(F.substring("_md", 8 * s + 1, 8)).alias("_wt")
-            )
-            for s in range(4)
-        ]
-    )
-    weighted = drawn.select("_bin", "_hit", F.inline(draws)).filter((F.col("_wt") > 0) & (F.col("rep") <= n_bootstrap))
-    bins = weighted.groupBy("rep", "_bin").agg(
-        F.sum("_wt").alias("_n"), F.sum(F.when(F.col("_hit"), F.col("_wt")).otherwise(0)).alias("_w")
-    )
+    bets = df.select(reached.alias("_bin"), hit.cast("int").alias("_hit"), F.abs(e).alias("_e")).filter(F.col("_hit").isNotNull() & (F.col("_e") >= steps[0]))
+    cells = bets.groupBy("_bin", "_hit").agg(F.count("*").alias("_rows"))
+    drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(n_bootstrap))).alias("rep"))
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("rep").cast("string"), F.col("_bin").cast("string"), F.col("_hit").cast("string")))
+    u = (F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") + 0.5) / F.lit(float(2**48))
+    drawn = drawn.withColumn("_n", _let(u, lambda u: poisson_quantile(u, F.col("_rows").cast("double"))))
     grid = F.array(*[F.struct(F.lit(i).alias("_t"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)])
     out = (
-        bins.select("*", F.inline(grid))
+        drawn.select("*", F.inline(grid))
         .filter(F.col("_bin") >= F.col("_t"))
         .groupBy("rep", "threshold")
-        .agg(F.sum("_n").cast("bigint").alias("n_bets"), F.sum("_w").cast("bigint").alias("_w"))
+        .agg(F.sum("_n").cast("bigint").alias("n_bets"), F.sum(F.col("_n") * F.col("_hit")).cast("bigint").alias("_w"))
     )
     return out.select("rep", "threshold", "n_bets", E.roi_of(F.col("_w"), F.col("n_bets")).alias("roi"))
 
@@ -270,7 +301,7 @@ def calibration_fit(
     scored = df.withColumn("_pred", E.combine_weighted(weights, models)).select(key, "_pred", line, cover)
     temp = temperature_search(scored, "_pred", line, cover).first()
     buckets = [r["bucket"] for r in profitable_buckets(scored, "_pred", line, cover).select("bucket").collect()]
-    rois = bootstrap_rois(scored, key, pred="_pred", line=line, cover=cover)
+    rois = bootstrap_rois(scored, pred="_pred", line=line, cover=cover)
     return Calibration(
         weights,
         1.0 if temp is None else float(temp["temperature"]),

@@ -1,5 +1,7 @@
 """Invariants of the evaluation tables and the calibration state."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +144,55 @@ def test_selective_backtest_measures_the_mask(spark, games):
         n, wins = expected(edge, chosen)
         assert out[name]["n_bets"] == n, name
         assert out[name]["hit_rate"] == pytest.approx(wins / n if n else 0.0) and out[name]["roi"] == pytest.approx((wins * 100 / 110 - (n - wins)) / n if n else 0.0)
+
+
+def test_weight_grid_is_a_plain_loop(spark):
+    rng = np.random.default_rng(4)
+    rows = [tuple(None if rng.random() < 0.1 else float(v) for v in rng.normal(0, 6, 4)) + (float(rng.choice([0.0, 0.5, 1.0])),) for _ in range(200)]
+    rows.append((1.0, float("nan"), 2.0, 3.0, 1.0))
+    df = spark.createDataFrame(rows, "pred_a double, pred_b double, pred_c double, spread_a double, cover_a double")
+    got = {r.grid_pos: r for r in C.weight_grid(df, ["a", "b", "c"], 2.0, steps=3).collect()}
+    for i, ws in enumerate(C.simplex_lattice(3, 3)):
+        edges = [(ws[0] * a + ws[1] * b + ws[2] * c + s, y) for a, b, c, s, y in rows if None not in (a, b, c, s) and y != 0.5]
+        bets = [(e, y) for e, y in edges if abs(e) >= 2.0]
+        r = got[i]
+        assert (r.w_a, r.w_b, r.w_c) == ws and r.n_bets == len(bets)
+        assert r.hit_rate == pytest.approx(sum((e > 0) == (y == 1.0) for e, y in bets) / len(bets))
+    assert len(got) == 10
+    assert all(r.n_bets == 0 for r in C.weight_grid(df.limit(0), ["a", "b", "c"], 2.0, steps=3).collect())
+
+
+def plain_poisson(u, mean):
+    """The least k whose cumulative probability reaches u, in logarithms."""
+    total, k = 0.0, 0
+    while True:
+        total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1))
+        if total >= u or k > mean + 12 * math.sqrt(mean) + 30:
+            return k
+        k += 1
+
+
+def test_poisson_draws_invert_the_distribution(spark):
+    rng = np.random.default_rng(6)
+    cases = [(float(u), float(m)) for m in (1, 2, 7, 30, 255, 256, 257, 900, 20_000) for u in (*rng.random(60), 1e-9, 1 - 1e-9, 0.02425, 0.5)]
+    got = spark.createDataFrame(cases, "u double, mean double").select("*", C.poisson_quantile(F.col("u"), F.col("mean")).alias("k")).collect()
+    for r in got:
+        want = plain_poisson(r.u, r.mean)
+        assert r.k == want if r.mean <= C.EXACT_MEAN else abs(r.k - want) <= 1
+    wide = [r.k == plain_poisson(r.u, r.mean) for r in got if r.mean > C.EXACT_MEAN and 1e-6 < r.u < 1 - 1e-6]
+    assert sum(wide) / len(wide) > 0.97
+    assert spark.range(1).select(C.poisson_quantile(F.lit(0.3), F.lit(0.0)).alias("k")).first().k == 0
+
+
+def test_replicates_are_poisson_sums(spark):
+    rows = [(i, 5.0 + i % 3, 0.0, float(i % 2)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "game_key long, pred double, spread_a double, cover_a double")
+    rois = C.bootstrap_rois(df, thresholds=[0.0, 5.5, 6.5], n_bootstrap=400).toPandas()
+    by = rois.groupby("threshold")["n_bets"].agg(["mean", "std", "count"])
+    for t, n in ((0.0, 3000), (5.5, 2000), (6.5, 1000)):
+        assert abs(by.loc[t, "mean"] - n) < 5 * math.sqrt(n / 400) and 0.85 < by.loc[t, "std"] / math.sqrt(n) < 1.15
+    again = C.bootstrap_rois(df.repartition(5), thresholds=[0.0, 5.5, 6.5], n_bootstrap=400).toPandas()
+    key = ["rep", "threshold"]
+    assert rois.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
+    other = C.bootstrap_rois(df, thresholds=[0.0], n_bootstrap=5, seed=1).toPandas()
+    assert set(other.n_bets) != set(rois[(rois.threshold == 0.0) & (rois.rep <= 5)].n_bets)
