@@ -66,7 +66,8 @@ SELECT game_key AS src_key, game_date, team_id, concat('School', team_id, ' Masc
        CASE WHEN own > opp THEN own ELSE opp END AS winner_score,
        CASE WHEN own > opp THEN opp ELSE own END AS loser_score, spread, total,
        CASE WHEN spread IS NULL THEN NULL WHEN own - opp + spread > 0 THEN 'W'
-            WHEN own - opp + spread < 0 THEN 'L' ELSE 'P' END AS ats
+            WHEN own - opp + spread < 0 THEN 'L' ELSE 'P' END AS ats,
+       CASE WHEN own + opp > total THEN 'O' WHEN own + opp < total THEN 'U' ELSE 'P' END AS ou
 FROM {fx_defects}""",
     "fx_dims": """
 SELECT CAST(year(snapshot_date) AS INTEGER) AS season, team, sum(adj_o) AS off_x, sum(adj_d) AS def_x, max(tempo) AS avg_height
@@ -140,7 +141,7 @@ class Data:
         return rows.select(
             "src_key", "team_id", "team_name", X.season_label("game_date").alias("season"),
             F.date_format("game_date", "MMM d, yyyy").alias("date"), "opponent", "location", F.lit("REG").alias("game"), "result",
-            "winner_score", "loser_score", "ats", "spread", F.lit(None).cast("string").alias("ou"), "total",
+            "winner_score", "loser_score", "ats", "spread", "ou", "total",
         )
 
 

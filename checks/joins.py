@@ -34,24 +34,31 @@ paired AS (SELECT v.k AS game_key, {season_sql('v.game_date')} AS season, v.game
         a.spread AS spread_a, a.total AS total_line, a.ats AS ats_a_raw, b.ats AS ats_b_raw,
         a.own - b.own AS final_margin_a, a.own + b.own AS game_total,
         CASE WHEN a.spread IS NULL THEN NULL WHEN a.own - b.own + a.spread > 0 THEN 1.0 WHEN a.own - b.own + a.spread < 0 THEN 0.0 ELSE 0.5 END AS cover_a,
-        CASE WHEN a.own > b.own THEN 1.0 WHEN a.own < b.own THEN 0.0 ELSE 0.5 END AS win_a
+        CASE WHEN a.own > b.own THEN 1.0 WHEN a.own < b.own THEN 0.0 ELSE 0.5 END AS win_a,
+        CASE WHEN a.own + b.own > a.total THEN 1.0 WHEN a.own + b.own < a.total THEN 0.0 ELSE 0.5 END AS "over",
+        'REG' AS game_type, CASE WHEN a.location <> 'Neutral' THEN a.team_name END AS home_team, CASE WHEN a.location <> 'Neutral' THEN b.team_name END AS away_team, a.ou AS ou_raw
         FROM verdict v JOIN rows0 a ON a.rid = v.ra JOIN rows0 b ON b.rid = CASE WHEN v.ra = v.r1 THEN v.r2 ELSE v.r1 END WHERE v.reason IS NULL),
 rejects AS (SELECT c.*, CASE WHEN c.opp_id IS NULL THEN 'could not map opponent to team_id' WHEN n <> 2 THEN concat('expected 2 rows, got ', n) ELSE v.reason END AS reason
         FROM counted c LEFT JOIN verdict v ON v.k = c.k WHERE c.opp_id IS NULL OR n <> 2 OR v.reason IS NOT NULL)"""
 TR = ("fx_team_rows",)
 GAME_COLS = [
     "game_key", "season", "date", "team_a", "team_b", "team_a_id", "team_b_id", "is_neutral", "points_a", "points_b", "spread_a",
-    "total_line", "ats_a_raw", "ats_b_raw", "final_margin_a", "game_total", "cover_a", "win_a",
+    "total_line", "ats_a_raw", "ats_b_raw", "final_margin_a", "game_total", "cover_a", "win_a", "over", "game_type", "home_team", "away_team", "ou_raw",
 ]
-DOUBLES = ["points_a", "points_b", "spread_a", "total_line", "final_margin_a", "game_total", "cover_a", "win_a"]
+DOUBLES = ["points_a", "points_b", "spread_a", "total_line", "final_margin_a", "game_total", "cover_a", "win_a", "over"]
 
 
-def paired(d):
+def landed_pairing(d):
     rows = cleaning.clean_team_rows(d.landed_rows)
-    return pairing.pair_two_sided_rows(rows, names.resolve_opponent_ids(rows))
+    return pairing.pair_landed(rows, names.resolve_opponent_ids(rows))
+
 
+def paired(d):
+    done = landed_pairing(d)
+    return done.games, done.rejects
 
-@REG.add("pair_two_sided_rows", f"WITH {PAIRED} SELECT " + ", ".join(r6(c, c) if c in DOUBLES else c for c in GAME_COLS) + " FROM paired", TR)
+
+@REG.add("pair_two_sided_rows", f"WITH {PAIRED} SELECT " + ", ".join(r6(f'"{c}"', f'"{c}"') if c in DOUBLES else c for c in GAME_COLS) + " FROM paired", TR)
 def _(d):
     return rounded(paired(d)[0].select(*GAME_COLS), *DOUBLES)
 
@@ -272,7 +279,7 @@ def _(d):
 
 @REG.add(
     "value_counts",
-    " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n_rows FROM fx_team_rows WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("location", "result", "ats")),
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS value, count(*) AS n_rows FROM fx_team_rows WHERE {c} IS NOT NULL GROUP BY {c}" for c in ("location", "result", "ats", "ou")),
     TR,
 )
 def _(d):
@@ -318,8 +325,7 @@ def _(d):
     TR,
 )
 def _(d):
-    games, rejects = paired(d)
-    return rounded(profile.pairing_rate(d.landed_rows, games, rejects), "pairing_rate")
+    return rounded(landed_pairing(d).rate(), "pairing_rate")
 
 
 @REG.add("first_per_group", f"SELECT team_a, date, {r6('arg_min(spread_a, game_key) FILTER (WHERE spread_a IS NOT NULL)', 'spread_a')} FROM games GROUP BY team_a, date", G)

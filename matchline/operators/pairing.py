@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
+from ..sources.scratch import materialise
 from .joins import lookup_join, map_lookup
 
 _SIDE = ["team_id", "opponent_team_id", "team_name", "team_norm", "location", "game", "team_score", "opp_score",
@@ -39,7 +42,7 @@ def venue_first(loc1: Column, loc2: Column, name1: Column, name2: Column) -> Col
 
 
 def judged_keys(keyed: DataFrame) -> DataFrame:
-    """One row per game_key with its row count, its two rows and a verdict.
+    """One row per game_key with its row count, its two rows and a verdict. Rows without a key are left out.
 
     With two rows, the minimum and the maximum of the packed row are exactly those rows. Both are
     partial aggregates of fixed size, so a key with any number of rows stays cheap.
@@ -122,26 +125,62 @@ def labelled(games: DataFrame) -> DataFrame:
     )
 
 
-def pair_two_sided_rows(rows: DataFrame, opponent_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(games, quarantine) of cleaned two-sided rows; every input row ends up in exactly one of them.
+@dataclass(frozen=True)
+class Pairing:
+    """Result of one pairing job: both tables, and the row counts observed while they were written."""
 
-    Reject reasons in order: unparseable date, unmapped opponent, row count, id mismatch, venues.
+    games: DataFrame
+    rejects: DataFrame
+    counts: dict[str, int]
+
+    def conserved(self) -> bool:
+        """Every row that came in is in exactly one place."""
+        c = self.counts
+        return c["rows_in"] == 2 * c["games"] + c["bad_date"] + c["unmapped"] + c["row_count"] + c["id_mismatch"] + c["venue"]
+
+    def rate(self) -> DataFrame:
+        """One row: input rows, games, quarantined rows and the share of rows paired, from the observed counts alone."""
+        rows_in, games = self.counts["rows_in"], self.counts["games"]
+        row = (rows_in, games, rows_in - 2 * games, 2.0 * games / rows_in if rows_in else None)
+        return self.games.sparkSession.createDataFrame([row], "rows_in long, games_out long, rows_quarantined long, pairing_rate double")
+
+
+def pair_landed(rows: DataFrame, opponent_ids: DataFrame) -> Pairing:
+    """Pair cleaned two-sided rows; reject reasons as in `pair_two_sided_rows`.
+
+    One job over the rows writes one row per key with its verdict, and the counts of rows that came and went ride along with it. Games read that table
+    alone. Rejected rows, few as they are, are looked up in the input by the keys of that table when they are asked for, with the columns asked for.
     """
+    came, judged = Observation(), Observation()
+    code = lambda c, v: F.count(F.when(F.col(c) == v, 1)).alias(v)
+    early = ("bad_date", "unmapped")
     keyed = keyed_rows(rows, opponent_ids)
-    judged = judged_keys(keyed)
-    bad = judged.filter(F.col("_code").isNotNull()).select("game_key", "_code", "_reason")
-    early = F.when(F.col("quarantine_reason_code") == "bad_date", "unparseable date").when(
+    counted = keyed.observe(came, F.count(F.lit(1)).alias("rows_in"), *[code("quarantine_reason_code", v) for v in early])
+    of_code = lambda v: F.coalesce(F.sum(F.when(F.col("_code") == v, F.col("_n"))), F.lit(0)).alias(v)
+    pairs = judged_keys(counted).observe(judged, F.count(F.when(F.col("_code").isNull(), 1)).alias("games"), *[of_code(v) for v in ("row_count", "id_mismatch", "venue")])
+    pairs = materialise(pairs, "judged")
+    bad = pairs.filter(F.col("_code").isNotNull()).select("game_key", "_code", "_reason")
+    reason = F.when(F.col("quarantine_reason_code") == "bad_date", "unparseable date").when(
         F.col("quarantine_reason_code") == "unmapped", "could not map opponent to team_id"
     )
     rejected = (
         lookup_join(keyed, bad, ["game_key"])
         .withColumns(
             {
-                "quarantine_reason": F.coalesce(early, F.col("_reason")),
+                "quarantine_reason": F.coalesce(reason, F.col("_reason")),
                 "quarantine_reason_code": F.coalesce("quarantine_reason_code", "_code"),
             }
         )
         .filter(F.col("quarantine_reason").isNotNull())
         .drop("_code", "_reason")
     )
-    return _games(judged), rejected
+    return Pairing(_games(pairs), rejected, {**came.get, **judged.get})
+
+
+def pair_two_sided_rows(rows: DataFrame, opponent_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(games, quarantine) of cleaned two-sided rows; every input row ends up in exactly one of them.
+
+    Reject reasons in order: unparseable date, unmapped opponent, row count, id mismatch, venues.
+    """
+    done = pair_landed(rows, opponent_ids)
+    return done.games, done.rejects

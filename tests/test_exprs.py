@@ -116,6 +116,11 @@ def test_pairing_rejects_and_conserves(spark):
         (10, "opponent team_id mismatch"), (10, "opponent team_id mismatch"), (11, "expected 2 rows, got 1"),
     ]
     assert 2 * games.count() + rejects.count() == rows.count()
+    done = pairing.pair_landed(cleaning.clean_team_rows(rows), ids)
+    assert done.counts == {"rows_in": 12, "bad_date": 1, "unmapped": 1, "games": 2, "row_count": 2, "id_mismatch": 2, "venue": 2} and done.conserved()
+    assert tuple(done.rate().first()) == (12, 2, 8, 4 / 12)
+    none = pairing.pair_landed(cleaning.clean_team_rows(rows.limit(0)), ids)
+    assert none.conserved() and none.counts["rows_in"] == 0 and none.games.count() == 0 and tuple(none.rate().first()) == (0, 0, 0, None)
 
 
 def test_asof_is_strictly_before_and_bounded(spark):

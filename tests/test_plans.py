@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import catalog
 from checks.fixtures import Data
-from matchline.operators import joins
+from matchline.operators import asof, cleaning, joins, names, pairing
 from matchline.plans import daily, features
 from matchline.streaming import daily as stream
 
@@ -33,11 +33,25 @@ def test_no_window_over_one_partition(spark, folder, name):
     assert not re.search(r"Window [^\n]*\n[^\n]*Sort [^\n]*\n[^\n]*Exchange SinglePartition", text)
 
 
+def judged(spark, folder):
+    rows = cleaning.clean_team_rows(Data(spark, folder).team_rows)
+    return pairing.judged_keys(pairing.keyed_rows(rows, names.resolve_opponent_ids(rows)))
+
+
 def test_pairing_aggregates_before_the_shuffle(spark, folder):
-    text = plan_of(catalog.REG.queries["pair_two_sided_rows"](spark, folder))
+    text = plan_of(judged(spark, folder))
     assert "partial_min(struct" in text and "collect_list" not in text
 
 
+def test_games_read_the_written_verdicts_only(spark, folder):
+    rows = cleaning.clean_team_rows(Data(spark, folder).team_rows)
+    done = pairing.pair_landed(rows, names.resolve_opponent_ids(rows))
+    text = plan_of(done.games)
+    assert text.count("FileScan") == 1 and "Exchange" not in text and "Aggregate" not in text
+    assert done.conserved() and done.counts["games"] == done.games.count()
+    assert done.counts["rows_in"] - 2 * done.counts["games"] == done.rejects.count()
+
+
 def test_lookups_join_by_their_measured_size(spark, folder):
     facts = spark.read.parquet(f"{folder}/lineitem.parquet").select("l_partkey", "l_quantity")
     derived = facts.select("l_partkey").distinct().withColumn("v", F.col("l_partkey") * 2)
@@ -54,7 +68,7 @@ def test_lookups_join_by_their_measured_size(spark, folder):
 
 def test_pairing_broadcasts_the_opponent_map(spark, folder):
     """The map is distinct names of the facts: small whatever its estimate says."""
-    assert "BroadcastHashJoin" in plan_of(catalog.REG.queries["pair_two_sided_rows"](spark, folder))
+    assert "BroadcastHashJoin" in plan_of(judged(spark, folder))
 
 
 def test_scan_reads_only_needed_columns(spark, folder):
