@@ -45,7 +45,8 @@ def asof_snapshot_join(
 ) -> DataFrame:
     """Rating columns of both sides from the snapshot in force on the match day.
 
-    The snapshot is chosen per day, not per entity: an entity absent from it stays NULL. With
+    The snapshot is chosen per day, not per entity: an entity absent from it stays NULL. A snapshot
+    that stays in force for long makes (snapshot, entity) a hot key, which the join keeps apart. With
     `require_both`, one missing side blanks the other. Adds kp_snapshot_date and asof_tier.
     """
     sides = sides or {"a": "team_a", "b": "team_b"}
@@ -59,7 +60,7 @@ def asof_snapshot_join(
     if require_both:
         rows = rows.withColumn("_found", F.lit(True))
         values = {**values, "_found": "_found"}
-    out = join_both_sides(out, rows, ["kp_snapshot_date"], entity, values, sides, per_day=True)
+    out = join_both_sides(out, rows, ["kp_snapshot_date"], entity, values, sides, hot_apart=True)
     if require_both:
         both = F.lit(True)
         for s in sides:

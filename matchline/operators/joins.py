@@ -62,6 +62,50 @@ def lookup_join(
     return left.join(F.broadcast(right), list(on), "left")
 
 
+def frequent_hashes(df: DataFrame, on: Sequence[str], support: float) -> list[int]:
+    """Hashes of all keys that more than `support` of the rows have, by a frequency sketch in one pass over the key columns.
+
+    The sketch misses no such key; it may add a few others, and holds at most about 1 / support of them.
+    """
+    hashed = df.select(F.xxhash64(*on).alias("_h"))
+    return list(hashed.stat.freqItems(["_h"], support).first()[0] or [])
+
+
+def hybrid_left_join(left: DataFrame, right: DataFrame, on: Sequence[str], limit: int | None = None, growth: int = FILE_GROWTH) -> DataFrame:
+    """Left join to a table of one row per key, hot keys apart.
+
+    A table below `limit` is broadcast. Beyond it, the keys that a frequency sketch finds hot on the left side meet their few right rows by
+    broadcast, and the others by a shuffle. Hot rows, and rows with a NULL in their key, pass that shuffle under a salt that no right row has,
+    so they spread over all tasks and match nothing there. The left side is read once for the sketch, key columns only, and once for the join.
+    """
+    limit = BROADCAST_BYTES if limit is None else limit
+    if not fits_broadcast(right, limit, growth):
+        # The salt of right rows is written with them: a constant that the optimiser sees would be no join key.
+        right = materialise(right.withColumn("_salt", F.lit(0).cast("long")), "lookup")
+        if not fits_broadcast(right, limit):
+            return _hot_apart(left, right, list(on))
+        right = right.drop("_salt")
+    return left.join(F.broadcast(right), list(on), "left")
+
+
+def _hot_apart(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    partitions = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A key is hot from a quarter of an average partition on; freqItems takes no support of 0.0001 or less.
+    hot = frequent_hashes(left, on, max(1.01e-4, 1 / (4 * partitions)))
+    values = [c for c in right.columns if c not in (*on, "_salt")]
+    packed = right.select(*on, "_salt", F.struct(F.lit(True).alias("_is"), *values).alias("_v"))
+    # As many rows as the sketch has keys, at most about four a partition.
+    few = packed.filter(F.xxhash64(*on).isin(hot)).drop("_salt").withColumnRenamed("_v", "_hot")
+    out = left.join(F.broadcast(few), on, "left")
+    apart = F.col("_hot").isNotNull()
+    for c in on:
+        apart = apart | F.col(c).isNull()
+    spread = F.when(apart, F.xxhash64(*left.columns).bitwiseOR(F.lit(1))).otherwise(0)  # never 0 where apart
+    out = out.withColumn("_salt", spread.cast("long")).join(packed, [*on, "_salt"], "left")
+    found = F.coalesce("_hot", "_v")
+    return out.select(*left.columns, *[found[c].alias(c) for c in values])
+
+
 def first_row_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """One row per key, the lowest in `order`, then in the other columns; a value comes before NULL.
 
@@ -92,13 +136,15 @@ def join_both_sides(
     values: dict[str, str],
     sides: dict[str, str] | None = None,
     per_day: bool = False,
+    hot_apart: bool = False,
 ) -> DataFrame:
     """Left-join a per-entity table once for each side of the match.
 
     `values` maps dimension columns to output prefixes: {'hca': 'hca'} gives hca_a and hca_b.
     `sides` maps the suffix to the match column holding that side's entity. A `per_day` table has
-    a date in its key, so no key is hot and it may be as large as the matches: it takes a plain
-    join, which adaptive execution broadcasts when the measured size allows.
+    the match day in its key and may be as large as the matches: it takes a plain join, which
+    adaptive execution broadcasts when the measured size allows, and splits where an entity's day is hot.
+    With `hot_apart` the key may hold a large share of all matches, as with snapshots that stay in force for long: see `hybrid_left_join`.
     """
     sides = sides or {"a": "team_a", "b": "team_b"}
     out = games
@@ -108,7 +154,8 @@ def join_both_sides(
             F.col(entity).alias(side),
             *[F.col(c).alias(f"{name}_{suffix}") for c, name in values.items()],
         )
-        out = out.join(right, [*keys, side], "left") if per_day else lookup_join(out, right, [*keys, side])
+        on = [*keys, side]
+        out = out.join(right, on, "left") if per_day else hybrid_left_join(out, right, on) if hot_apart else lookup_join(out, right, on)
     return out
 
 

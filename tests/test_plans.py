@@ -122,3 +122,50 @@ def test_history_is_computed_once_for_both_sides(spark, folder):
     df._jdf.queryExecution().executedPlan().execute().count()
     final = plan_of(df).split("== Initial Plan ==")[0]
     assert final.count("ReusedExchange") == 1
+
+
+@pytest.fixture()
+def uncoalesced(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    yield spark
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_hot_keys_meet_a_broadcast_side_and_the_rest_is_shuffled(uncoalesced):
+    spark = uncoalesced
+    left = spark.range(8000).select("id", F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 900).alias("k"), (F.col("id") % 2).alias("d"))
+    right = spark.range(0, 900).select(F.col("id").alias("k"), F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"))).alias("d"), (F.col("id") * 10).alias("v"), F.when(F.col("id") % 5 > 0, F.col("id")).alias("w"))
+    right = right.filter("k % 4 > 0")
+    joined = joins.hybrid_left_join(left, right, ["k", "d"], limit=0)
+    text = plan_of(joined)
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" in text and "_salt" in text
+    assert joined.columns == ["id", "k", "d", "v", "w"]
+    want = left.join(right, ["k", "d"], "left").select(*joined.columns)
+    assert joined.exceptAll(want).isEmpty() and want.exceptAll(joined).isEmpty()
+    sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 2 * 8000 / 8
+    hot = joins.frequent_hashes(left, ["k", "d"], 1 / 32)
+    assert set(r.h for r in left.filter("k = 7").select(F.xxhash64("k", "d").alias("h")).distinct().collect()) <= set(hot) and len(hot) <= 64
+    none = joins.hybrid_left_join(left.limit(0), right, ["k", "d"], limit=0)
+    assert none.count() == 0
+
+
+def test_unbounded_snapshots_with_a_hot_entity(uncoalesced, monkeypatch):
+    import datetime as dt
+
+    spark = uncoalesced
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", 0)
+    games = [(i, dt.date(2020, 1, 1) + dt.timedelta(i % 700) if i % 50 else None, "hot" if i % 3 == 0 else f"t{i % 40}", f"t{i % 37}") for i in range(1500)]
+    ratings = [(t, dt.date(2019 + y, 7, 1), float(hash((t, y)) % 97)) for y in range(3) for t in ["hot", *[f"t{k}" for k in range(0, 40, 2)]] if (t, y) != ("t4", 1)]
+    got = asof.asof_snapshot_join(
+        spark.createDataFrame(games, "game_key int, date date, team_a string, team_b string"), spark.createDataFrame(ratings, "TeamName string, snapshot_date date, AdjEM double"), {"AdjEM": "em"}, tolerance=None
+    )
+    assert "_salt" in plan_of(got)
+    by, days = {(t, d): v for t, d, v in ratings}, sorted({d for _, d, _ in ratings})
+    for r in got.collect():
+        _, day, a, b = games[r.game_key]
+        snap = max((d for d in days if day and d < day), default=None)
+        assert (r.kp_snapshot_date, r.em_a, r.em_b) == (snap, by.get((a, snap)), by.get((b, snap)))
+    assert got.count() == 1500
