@@ -22,7 +22,7 @@ CONSTANT_SHARE, LEAST_PAGES = 0.8, 3
 BROADCAST_BYTES = 16 << 20
 
 # Element kinds of HTML.
-RAW = "script style noscript template textarea title iframe xmp svg math object"
+RAW = "script style noscript template textarea title iframe xmp svg object"
 BLOCKS = set(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup html li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul button label legend head search".split()
@@ -92,7 +92,13 @@ def parse(html: str | None) -> Node:
         anchors = linked = 0
 
     last = 0
-    for m in _TOKEN.finditer(html):
+    # No tag can end behind the last ">", so nothing is looked for there but the start of a comment that never ends.
+    end = html.rfind(">") + 1
+    cut = html.find("<!--", end)
+    html = html[:cut] if cut >= 0 else html
+    for m in _TOKEN.finditer(html, 0, end):
+        if m.end() == end:  # a comment or script without end goes on to the end of the page
+            m = _TOKEN.match(html, m.start())
         if m.start() > last:
             run.append(html[last : m.start()])
             if in_link:

@@ -240,3 +240,22 @@ def test_fingerprints_survive_an_insertion_without_spaces(spark):
     rows = [(k, v, v[:3] + v[0] + v[3:]) for k, v in runs.items()]
     df = fingerprints.with_anchors(fingerprints.with_anchors(spark.createDataFrame(rows, "id string, a string, b string"), "a", "x"), "b", "y")
     assert all(r.near > 0.9 for r in df.select(fingerprints.likeness("x", "y").alias("near")).collect())
+
+
+def plain_text(node):
+    return "\n".join(t for t in ([node.text] if node.tag == "#text" else map(plain_text, node.children)) if t)
+
+
+def test_formulas_are_text():
+    assert plain_text(html_text.parse("<p>one</p><math><mi>E</mi>=<mi>mc</mi><mn>2</mn></math><p>two</p>")) == "one\nE=mc2\ntwo"
+
+
+def test_unclosed_tags_do_not_hang():
+    import time
+
+    start = time.process_time()
+    for page in ("<p>a</p>" + "<b " * 350_000, "<p>a</p>" + '<i x="' * 170_000, "<p>a</p>" + "<script " * 120_000):
+        assert plain_text(html_text.parse(page)).startswith("a\n<")
+    assert time.process_time() - start < 10
+    assert plain_text(html_text.parse("<p>a</p> b <c <!-- d")) == "a\nb <c"
+    assert plain_text(html_text.parse("<!-- a > b")) == "" and plain_text(html_text.parse("a < b")) == "a < b"
