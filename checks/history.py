@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 
+from pyspark.sql import functions as F
+
 from matchline.operators import history as H
 from matchline.plans import features as plan
+from matchline.sources.scratch import scratch_path
+from matchline.streaming import state
 
 from .cleaning import DIFFS, GR, RAW_MARGIN, SHORT, factors, rated_sql
 from .fixtures import REG, r6, rounded
@@ -167,3 +171,34 @@ def _(d):
     return H.fold_roles(H.expanding_folds(d["games"]))
 
 
+@REG.add(
+    "history_state",
+    f"WITH {SIDES}, pos AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY entity) AS n FROM sides WINDOW w AS (PARTITION BY entity ORDER BY date, game_key)), "
+    "dec AS (SELECT entity, cover, row_number() OVER (PARTITION BY entity ORDER BY date DESC, game_key DESC) AS k FROM sides WHERE cover IN (0, 1)), "
+    "rate AS (SELECT entity, CASE WHEN count(*) >= 3 THEN avg(cover) ELSE 0.5 END AS r FROM dec WHERE k <= 10 GROUP BY 1), "
+    "e AS (SELECT entity, max(date) AS last_date, "
+    + ", ".join(
+        f"CASE WHEN count({c}) >= 3 THEN sum({c} * pow(CAST(2 AS DOUBLE), (i - n) / CAST(5 AS DOUBLE))) / sum(CASE WHEN {c} IS NOT NULL THEN pow(CAST(2 AS DOUBLE), (i - n) / CAST(5 AS DOUBLE)) END) END AS ew_{c}"
+        for c in EW_PARTS
+    )
+    + f" FROM pos GROUP BY 1) SELECT entity, last_date, {r6('coalesce(r, 0.5)', 'rolling_rate')}, {r6('ew_margin', 'ew_margin')}, {r6('ew_points', 'ew_points')} FROM e LEFT JOIN rate USING (entity)",
+    G,
+)
+def _(d):
+    # Three micro-batches, none in order of the dates, the last one landing twice.
+    path, games = scratch_path(d.spark, "history-state"), d["games"]
+    for batch_id, third in ((0, 1), (1, 2), (2, 0), (2, 0)):
+        state.update_history(games.filter(F.year("date") % 3 == third), batch_id, path)
+    return rounded(state.history_now(state.current(d.spark, f"{path}/state")), "rolling_rate", "ew_margin", "ew_points")
+
+
+@REG.add(
+    "rating_state",
+    "SELECT TeamName, snapshot_date, " + ", ".join(r6(c, c) for c in ("AdjEM", "AdjOE", "AdjDE", "AdjTempo")) + " FROM all_ratings QUALIFY row_number() OVER (PARTITION BY TeamName ORDER BY snapshot_date DESC) = 1",
+    ("all_ratings",),
+)
+def _(d):
+    path, ratings = scratch_path(d.spark, "rating-state"), d["all_ratings"]
+    for batch_id, third in ((0, 1), (1, 2), (2, 0), (2, 0)):
+        state.update_ratings(ratings.filter(F.year("snapshot_date") % 3 == third), batch_id, path)
+    return rounded(state.current(d.spark, path), "AdjEM", "AdjOE", "AdjDE", "AdjTempo")

@@ -288,3 +288,73 @@ def _mean(m: str, half_life: float, min_periods: int) -> Column:
     fade = F.when(own["w"] > 0, F.pow(F.lit(2.0), -gap / F.lit(float(half_life)))).otherwise(1.0)
     inherited = lambda c: F.coalesce(F.col(f"c_{c}_{m}") * fade, F.lit(0.0))
     return F.when(own.isNotNull(), F.try_divide(own["s"] + inherited("s"), own["w"] + inherited("w")))
+
+
+def _end_schema(entity: T.DataType, key: T.DataType, measures: Sequence[str]) -> T.StructType:
+    one = T.StructType([*SUM.fields, T.StructField("k", T.LongType())])
+    place = T.StructType([T.StructField("date", T.DateType()), T.StructField("game_key", key)])
+    fixed = [("entity", entity), ("n", T.LongType()), ("first", place), ("last", place), ("results", T.ArrayType(T.DoubleType()))]
+    return T.StructType([T.StructField(n, t) for n, t in [*fixed, *[(m, one) for m in measures]]])
+
+
+def _segment_rows(batch: pa.RecordBatch, measures: Sequence[str], window: int, half_life: float) -> list[dict]:
+    """The state that each entity's rows in a sorted batch leave, one row per entity."""
+    n, entity = batch.num_rows, batch.column("entity")
+    new = np.append(True, pc.not_equal(entity[1:], entity[:-1]).to_numpy(zero_copy_only=False)) if n > 1 else np.ones(n, bool)
+    first = np.flatnonzero(new)
+    end = np.append(first[1:], n) - 1
+    start = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    cover = pc.fill_null(batch.column("cover"), np.nan).to_numpy(zero_copy_only=False)
+    decided = np.flatnonzero((cover == 0.0) | (cover == 1.0))
+    scans = {m: _scan(pc.fill_null(batch.column(m), np.nan).to_numpy(zero_copy_only=False), start, half_life) for m in measures}
+    valued = {m: np.append(0, np.cumsum(pc.is_valid(batch.column(m)).to_numpy(zero_copy_only=False))) for m in measures}
+    out = []
+    for a, b in zip(first.tolist(), end.tolist(), strict=True):
+        place = lambda i: {"date": batch.column("date")[i].as_py(), "game_key": batch.column("game_key")[i].as_py()}
+        mine = decided[np.searchsorted(decided, a) : np.searchsorted(decided, b + 1)]
+        row = {"entity": entity[a].as_py(), "n": b - a + 1, "first": place(a), "last": place(b), "results": cover[mine[-window:]].tolist()}
+        for m, (s, w, at) in scans.items():
+            row[m] = {"s": float(s[b]), "w": float(w[b]), "at": int(at[b]) - a + 1 if at[b] >= 0 else 0, "k": int(valued[m][b + 1] - valued[m][a])}
+        out.append(row)
+    return out
+
+
+def merged(a: Column, b: Column, measures: Sequence[str], window: int, half_life: float) -> Column:
+    """The state after the rows of a and then those of b, as a struct; the same rule as `merge`."""
+    def measure(m: str) -> Column:
+        x, y = a[m], b[m]
+        gap = (a["n"] - x["at"] + y["at"]).cast("double")
+        fade = F.when(x["k"] > 0, F.pow(F.lit(2.0), -gap / F.lit(float(half_life)))).otherwise(0.0)
+        both = F.struct((y["s"] + x["s"] * fade).alias("s"), (y["w"] + x["w"] * fade).alias("w"), (a["n"] + y["at"]).alias("at"), (x["k"] + y["k"]).alias("k"))
+        return F.when(y["k"] == 0, x).otherwise(both).alias(m)
+
+    results = F.concat(a["results"], b["results"])
+    newest = F.slice(results, F.greatest(F.size(results) - (window - 1), F.lit(1)), F.lit(window))
+    return F.struct(a["entity"].alias("entity"), (a["n"] + b["n"]).alias("n"), a["first"].alias("first"), b["last"].alias("last"), newest.alias("results"), *[measure(m) for m in measures])
+
+
+def entity_states(rows: DataFrame, measures: Sequence[str], window: int, half_life: float) -> DataFrame:
+    """The state that all rows of each entity leave: (entity, n, first, last, results, one struct per measure).
+
+    Rows are dealt by ranges; each batch leaves one state per entity, and an entity's states are merged in order.
+    """
+    measures, order = list(measures), ["entity", "date", "game_key"]
+    schema = _end_schema(rows.schema["entity"].dataType, rows.schema["game_key"].dataType, measures)
+    dealt = rows.select(*order, F.col("cover").cast("double"), *[F.nanvl(F.col(m).cast("double"), F.lit(None).cast("double")).alias(m) for m in measures])
+    dealt = dealt.repartitionByRange(*order).sortWithinPartitions(*order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        arrow = to_arrow_schema(schema)
+        for batch in batches:
+            if batch.num_rows:
+                yield pa.RecordBatch.from_pylist(_segment_rows(batch, measures, window, half_life), schema=arrow)
+
+    parts = dealt.mapInArrow(run, schema)
+    # One state per batch that holds the entity; the place of its first row puts them in order.
+    state = F.struct("first", "entity", "n", "last", "results", *measures)
+    gathered = parts.groupBy("entity").agg(F.array_sort(F.collect_list(state)).alias("_p"))
+    plain = lambda p: F.struct(*[p[c].alias(c) for c in ("entity", "n", "first", "last", "results", *measures)])
+    whole = F.aggregate(F.slice("_p", F.lit(2), F.size("_p")), plain(F.get("_p", F.lit(0))), lambda a, b: merged(a, plain(b), measures, window, half_life))
+    return gathered.select(whole.alias("_s")).select("_s.*")
