@@ -31,7 +31,7 @@ def _write_csv(df, path: str, by: str | None = None) -> None:
 
 @REG.add(
     "scan_team_rows",
-    f"SELECT team_id, team_name, {season_sql('game_date')} AS season, strftime(game_date, '%b %-d, %Y') AS date, opponent, location, 'REG' AS game, result, CAST(winner_score AS DOUBLE) AS winner_score, CAST(loser_score AS DOUBLE) AS loser_score, ats, {r6('spread', 'spread')}, CAST(NULL AS VARCHAR) AS ou, {r6('total', 'total')} FROM fx_team_rows",
+    f"SELECT team_id, team_name, {season_sql('game_date')} AS season, strftime(game_date, '%b %-d, %Y') AS date, opponent, location, 'REG' AS game, result, CAST(winner_score AS DOUBLE) AS winner_score, CAST(loser_score AS DOUBLE) AS loser_score, ats, {r6('spread', 'spread')}, ou, {r6('total', 'total')} FROM fx_team_rows",
     TR,
 )
 def _(d):
@@ -58,6 +58,29 @@ def _(d):
     return rounded(rows.withColumn("TeamName", F.col("TeamName").cast("bigint")), *fixed.RATING_COLUMNS)
 
 
+@REG.add(
+    "scan_rejects",
+    "SELECT CASE WHEN TeamName % 7 = 0 THEN 'too many cells' WHEN TeamName % 7 = 1 THEN 'too few cells' END AS reject_reason, count(*) AS n_rows, CAST(sum(TeamName) AS BIGINT) AS team_sum, "
+    "min(CASE WHEN TeamName % 7 > 0 THEN snapshot_date END) AS first_date FROM all_ratings GROUP BY 1",
+    ("all_ratings",),
+)
+def _(d):
+    # Without quotes, a comma in a value makes one cell too many; a line without its note has one too few. Files of odd years name a column otherwise.
+    rows = d["all_ratings"].withColumn("note", F.when(F.col("TeamName") % 7 == 0, "a,b").otherwise("a"))
+    line = F.concat_ws(",", F.col("TeamName").cast("string"), F.when(F.col("TeamName") % 7 != 1, F.col("note")), F.col("snapshot_date").cast("string"))
+    head = F.when(F.year("snapshot_date") % 2 == 1, "TeamName,other,snapshot_date").otherwise("TeamName,note,snapshot_date")
+    path = scratch_path(d.spark, "reject-rows")
+    # One row per file: its header and its lines.
+    files = rows.groupBy(F.year("snapshot_date").alias("year"), head.alias("head")).agg(F.array_join(F.collect_list(line), "\n").alias("body"))
+    files.select("year", F.concat_ws("\n", "head", "body").alias("value")).write.partitionBy("year").text(path)
+    found = readers.scan_csv(d.spark, f"{path}/*/*")
+    # What is too short lacks its last cell, the date.
+    date = F.coalesce(F.try_to_date("snapshot_date", "yyyy-MM-dd"), F.try_to_date(F.coalesce("note", "other"), "yyyy-MM-dd"))
+    return found.groupBy("reject_reason").agg(
+        F.count("*").alias("n_rows"), F.sum(F.col("TeamName").cast("bigint")).alias("team_sum"), F.min(F.when(F.col("reject_reason") == "too many cells", F.lit(None)).otherwise(date)).alias("first_date")
+    )
+
+
 @REG.add("scan_fail_on_empty", "SELECT count(*) AS n_rows, true AS empty_raises FROM all_ratings", ("all_ratings",))
 def _(d):
     path = _snapshot_files(d, "yyyy-MM-dd")

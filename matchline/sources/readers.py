@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,27 +11,48 @@ from pyspark.sql import functions as F
 from ..functions import exprs as X
 from ..functions import fixed
 from ..operators import cleaning
+from ..operators.joins import lookup_join
+from .scratch import materialise
 
 _NUMERIC = {"winner_score", "loser_score", "spread", "total"}
 
 
-def _csv(spark: SparkSession, path: str | Sequence[str], **from_file: Column) -> DataFrame:
-    """CSV files with a header line; columns go by name, whatever their order in a file, and are NULL where a file lacks them.
+_CSV = {"escape": '"', "mode": "PERMISSIVE"}
+_END = "\x02"
+
+
+def scan_csv(spark: SparkSession, path: str | Sequence[str], **from_file: Column) -> DataFrame:
+    """CSV files with a header line, read once; columns go by name, whatever their order in a file, and are NULL where a file lacks them.
 
-    Spark binds the columns of all files of a read by the position in one header, so files are read in one group per distinct header line. A
-    group whose header differs from its schema raises. `from_file` adds columns made from a file's metadata.
+    Lines land once in the shared folder. A file's header is its first line, which lies in the block that starts at 0; every line is parsed by position and meets its
+    file's header by a lookup of one row per file. `reject_reason` says where a line has more or fewer cells than its header (such lines are kept,
+    missing cells are NULL; a quote that does not close counts as too many), else NULL. Of repeated names the first counts, and a column without a name is _c and its place. `from_file`
+    adds columns made from a file's metadata. Only the distinct column names reach the driver.
     """
-    def read(paths: str | Sequence[str]) -> DataFrame:
-        df = spark.read.option("header", True).option("escape", '"').option("enforceSchema", False).csv(paths)
-        return df.select(*df.columns, *[c.alias(n) for n, c in from_file.items()])
-
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("place"), F.col("_metadata.file_block_start").alias("start"))
-    first = lines.filter("start = 0").groupBy("file").agg(F.min_by(F.trim("value"), "place").alias("header"))
-    groups = first.groupBy("header").agg(F.collect_list("file").alias("files")).orderBy("header").collect()
-    if len(groups) < 2:
-        return read(path)
-    # The path column holds URIs; a comma or blank in a name is written with a percent sign there.
-    return union_by_name(*[read([unquote(f) for f in g.files]) for g in groups])
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_start"), *[c.alias(n) for n, c in from_file.items()])
+    lines = materialise(lines.filter(F.trim("value") != "").withColumn("_place", F.monotonically_increasing_id()), "csv-lines")
+    first = lines.filter("_start = 0").groupBy("_file").agg(F.min_by("value", "_place").alias("_line"), F.min("_place").alias("_head_at"))
+    # As many cells as any header has commas, one more, and one for the mark behind the last cell, whose place tells how many there are.
+    width = (first.agg(F.max(F.length(F.regexp_replace("_line", "[^,]", "")))).first()[0] or 0) + 3
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    cells = lambda line: F.from_csv(F.concat(line, F.lit("," + _END)), schema, _CSV)
+    listed = lambda c: F.array(*[F.col(c)[f"c{i}"] for i in range(width)])
+    first = first.withColumn("_s", cells(F.regexp_replace("_line", "^\ufeff", ""))).select("_file", "_head_at", listed("_s").alias("_h"))
+    heads = F.slice("_h", F.lit(1), F.greatest(F.array_position("_h", _END).cast("int") - 1, F.lit(0)))
+    names = F.transform(heads, lambda n, i: F.coalesce(F.nullif(F.trim(n), F.lit("")), F.concat(F.lit("_c"), i.cast("string"))))
+    first = first.select("_file", "_head_at", names.alias("_names"))
+    known = first.select(F.posexplode("_names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
+    rows = lookup_join(lines, first, ["_file"]).filter(F.col("_place") != F.col("_head_at"))
+    rows = rows.withColumn("_s", cells(F.col("value"))).select(*from_file, "_names", listed("_s").alias("_c"))
+    at, size = F.array_position("_c", _END), F.size("_names")
+    place = lambda name: F.array_position("_names", name).cast("int")
+    values = [F.when((at == 0) | (place(r.name) < at), F.get("_c", place(r.name) - 1)).alias(r.name) for r in known]
+    reason = F.when((at == 0) | (at - 1 > size), "too many cells").when(at - 1 < size, "too few cells")
+    return rows.select(*values, *from_file, reason.alias("reject_reason"))
+
+
+def _csv(spark: SparkSession, path: str | Sequence[str], **from_file: Column) -> DataFrame:
+    return scan_csv(spark, path, **from_file).drop("reject_reason")
 
 
 def read_team_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from matchline.operators import cleaning
 from matchline.sources import readers, scratch, writers
@@ -70,3 +71,35 @@ def test_scratch_uses_the_named_folder(spark):
     assert "/matchline/x-" in path and (named is None or path.startswith(named))
     assert path != scratch.scratch_path(spark, "x")
     assert scratch.materialise(spark.range(5), "r").count() == 5
+
+
+def test_csv_files_in_many_blocks(spark, tmp_path):
+    a = [f"{i},x{i},{i * 2}" for i in range(200)]
+    b = [f'{i * 2},{i},"q, ""{i}"""' for i in range(200, 400)]
+    (tmp_path / "a b,c.csv").write_text("\n\n".join(["\ufeffkey,name,v,", *[x + "," for x in a]]) + "\n")
+    (tmp_path / "b.csv").write_text("\r\n".join(["v, key ,name", *b]))
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "only_header.csv").write_text("zz,key\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        df = readers.scan_csv(spark, str(tmp_path), file=F.col("_metadata.file_name"))
+        assert set(df.columns) == {"key", "v", "zz", "name", "_c3", "file", "reject_reason"}
+        got = sorted((int(r.key), r.name, int(r.v), r.zz, r.reject_reason) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [(i, f"x{i}", i * 2, None, None) for i in range(200)] + [(i, f'q, "{i}"', i * 2, None, None) for i in range(200, 400)]
+    assert got == want
+
+
+def test_csv_lines_that_do_not_fit_their_header(spark, tmp_path):
+    (tmp_path / "a.csv").write_text('k,v,w\n1,2,3\n4,5\n6,7,8,9\n10,,\n"11,12,13\n14,15,16,17,18,19,20\n')
+    got = {r.k: (r.v, r.w, r.reject_reason) for r in readers.scan_csv(spark, str(tmp_path)).collect()}
+    assert got["1"] == ("2", "3", None) and got["10"] == (None, None, None)
+    assert got["4"] == ("5", None, "too few cells") and got["6"] == ("7", "8", "too many cells") and got["14"] == ("15", "16", "too many cells")
+    assert len(got) == 6 and [v[2] for k, v in got.items() if k and k.startswith("11")] == ["too many cells"]
+
+
+def test_csv_is_read_once(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("k,v\n1,2\n")
+    plan = readers.scan_csv(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert "FileScan text" not in plan and "FileScan csv" not in plan and "FileScan parquet" in plan
