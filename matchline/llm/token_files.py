@@ -1,8 +1,9 @@
 """Token files: ids of documents in key order, compressed by a grammar of repeated pairs (Re-Pair), readable at random.
 
 A file holds blocks of whole documents. Layout of a block, little-endian:
-8 bytes magic, then 6 uint32 (documents, tokens, terminals, rules, symbols, bytes per symbol), then uint32 arrays: tokens of each document,
-left and right of each rule, expansion length of each rule, and the symbols (of three bytes: the low two of all, then the high one of all). Rule k is the symbol `terminals + k`; its sides are smaller symbols.
+8 bytes magic, then 6 uint32 (documents, tokens, terminals, rules, symbols, bytes per symbol), then uint32 arrays: the ids that occur in the block, in order (terminal
+i is the i-th of them), tokens of each document, left and right of each rule, expansion length of each rule, and the symbols (of three bytes: the low two of all, then
+the high one of all). Rule k is the symbol `terminals + k`; its sides are smaller symbols.
 """
 
 from __future__ import annotations
@@ -19,13 +20,14 @@ from pyspark.sql import functions as F
 
 from . import token_ids, words
 
-MAGIC = b"PAIRTOK1"
+MAGIC = b"PAIRTOK2"
 END_ID = 1
 #: Tokens of a block (a single longer document is a block of its own).
 BLOCK_TOKENS = 2 << 20
-#: Each replacement round takes the most frequent pairs of the block at once; rounds go on while a pair occurs LEAST_COUNT times.
+#: Each replacement round takes the most frequent pairs of the block at once; rounds go on while a pair saves bytes.
 PAIRS_PER_ROUND = 5000
-LEAST_COUNT = 6
+#: A rule takes two sides and a length.
+RULE_BYTES = 12
 _BUCKET_BITS = 20
 _SPREAD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -40,41 +42,65 @@ class Grammar(NamedTuple):
     lengths: np.ndarray
 
 
+def _pairs(a: np.ndarray, b: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of symbols as one number each, of 32 bits while symbols fit into 16, and their hash buckets."""
+    if symbols <= 1 << 16:
+        pairs = (a << np.uint32(16)) | b
+        return pairs, ((pairs * np.uint32(0x9E3779B1)) >> np.uint32(32 - _BUCKET_BITS)).astype(np.int32)
+    pairs = (a.astype(np.uint64) << np.uint64(32)) | b.astype(np.uint64)
+    return pairs, ((pairs * _SPREAD) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int32)
+
+
+def _frequent(pairs: np.ndarray, bucket: np.ndarray, pairs_per_round: int, least_count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent pairs, most frequent first, and how often they occur."""
+    filled = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
+    # A pair occurs at most as often as its bucket is filled, so only the fullest buckets can hold the most frequent pairs.
+    least = max(least_count, int(np.partition(filled, -pairs_per_round)[-pairs_per_round]))
+    for low in dict.fromkeys((least, least_count)):  # the fullest buckets may hold rare pairs only
+        found, counts = np.unique(pairs[(filled >= low)[bucket]], return_counts=True)
+        order = np.lexsort((found, -counts))[:pairs_per_round]
+        order = order[counts[order] >= least_count]
+        if len(order):
+            break
+    return found[order], counts[order]
+
+
 def compress(ids: np.ndarray, terminals: int, rounds: int | None = None, pairs_per_round: int = PAIRS_PER_ROUND) -> Grammar:
-    """Replace frequent adjacent pairs by new symbols, round by round until none is frequent (or for so many `rounds`); where chosen pairs overlap, the left one is taken."""
-    seq = ids.astype(np.uint64)
+    """Replace frequent adjacent pairs by new symbols, round by round until none saves bytes (or for so many `rounds`); where chosen pairs overlap, the left one is taken.
+
+    A rule costs RULE_BYTES, and an occurrence saves one symbol. The rules that would make all symbols wider than two bytes are taken only
+    if the round saves more than that costs.
+    """
+    seq = ids.astype(np.uint32)
     left, right, lengths, known = [], [], [], terminals
+    last = False
     for _ in count() if rounds is None else range(rounds):
-        if len(seq) < 2:
+        if len(seq) < 2 or last:
             break
-        pairs = (seq[:-1] << np.uint64(32)) | seq[1:]
-        bucket = ((pairs * _SPREAD) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
-        filled = np.bincount(bucket, minlength=1 << _BUCKET_BITS)
-        # A pair occurs at most as often as its bucket is filled, so only the fullest buckets can hold the most frequent pairs.
-        least = max(LEAST_COUNT, int(np.partition(filled, -pairs_per_round)[-pairs_per_round]))
-        for low in dict.fromkeys((least, LEAST_COUNT)):  # the fullest buckets may hold rare pairs only
-            found, counts = np.unique(pairs[filled[bucket] >= low], return_counts=True)
-            order = np.lexsort((found, -counts))[:pairs_per_round]
-            chosen = found[order[counts[order] >= LEAST_COUNT]]
-            if len(chosen):
-                break
+        pairs, bucket = _pairs(seq[:-1], seq[1:], known)
+        width = 2 if known <= 1 << 16 else 3
+        chosen, counts = _frequent(pairs, bucket, pairs_per_round, RULE_BYTES // width + 1)
+        free = (1 << 16) - known
+        if width == 2 and len(chosen) > free and 3 * int(counts[free:].sum()) - RULE_BYTES * (len(chosen) - free) <= len(seq) - int(counts.sum()):
+            chosen, last = chosen[:free], True
         if not len(chosen):
             break
-        at = ((chosen * _SPREAD) >> np.uint64(64 - _BUCKET_BITS)).astype(np.int64)
+        shift, mask = (np.uint32(16), np.uint32(0xFFFF)) if width == 2 else (np.uint64(32), np.uint64(0xFFFFFFFF))
+        a, b = (chosen >> shift).astype(np.uint32), (chosen & mask).astype(np.uint32)
+        _, at = _pairs(a, b, known)
         at, first = np.unique(at, return_index=True)  # one pair of a bucket a round: the most frequent
-        chosen = chosen[first]
-        rule = np.full(1 << _BUCKET_BITS, -1, np.int64)
-        rule[at] = np.arange(len(chosen))
-        mine = rule[bucket]
-        hits = np.flatnonzero((mine >= 0) & (chosen[mine] == pairs))
+        chosen, a, b = chosen[first], a[first].astype(np.int64), b[first].astype(np.int64)
+        rule = np.full(1 << _BUCKET_BITS, -1, np.int32)
+        rule[at] = np.arange(len(chosen), dtype=np.int32)
+        hits = np.flatnonzero((rule >= 0)[bucket])
+        hits = hits[chosen[rule[bucket[hits]]] == pairs[hits]]
         new_run = np.concatenate([[True], np.diff(hits) > 1])
         run_start = np.maximum.accumulate(np.where(new_run, np.arange(len(hits)), 0))
         hits = hits[(np.arange(len(hits)) - run_start) % 2 == 0]
-        seq[hits] = (known + mine[hits]).astype(np.uint64)
+        seq[hits] = (known + rule[bucket[hits]]).astype(np.uint32)
         keep = np.ones(len(seq), bool)
         keep[hits + 1] = False
         seq = seq[keep]
-        a, b = (chosen >> np.uint64(32)).astype(np.int64), (chosen & np.uint64(0xFFFFFFFF)).astype(np.int64)
         before = np.concatenate(lengths) if lengths else np.zeros(0, np.int64)
         span = lambda s: np.where(s < terminals, 1, before[np.maximum(s - terminals, 0)]) if len(before) else np.ones(len(s), np.int64)
         left.append(a), right.append(b), lengths.append(span(a) + span(b))
@@ -90,11 +116,12 @@ class Block:
         if payload[:8] != MAGIC:
             raise ValueError("not a token block")
         docs, self.n_tokens, self.terminals, rules, symbols, width = np.frombuffer(payload, "<u4", 6, 8).tolist()
-        arrays = np.frombuffer(payload, "<u4", docs + 3 * rules, 32)
+        arrays = np.frombuffer(payload, "<u4", self.terminals + docs + 3 * rules, 32)
+        self.alphabet, arrays = arrays[: self.terminals].astype(np.int64), arrays[self.terminals :]
         self.doc_tokens = arrays[:docs].astype(np.int64)
         self.ends = np.cumsum(self.doc_tokens)
         self.left, self.right, self.lengths = arrays[docs:].reshape(3, rules).astype(np.int64)
-        at = 32 + 4 * (docs + 3 * rules)
+        at = 32 + 4 * (self.terminals + docs + 3 * rules)
         self.symbols = np.frombuffer(payload, "<u4" if width == 4 else "<u2", symbols, at)
         if width == 3:
             self.symbols = self.symbols | np.frombuffer(payload, "u1", symbols, at + 2 * symbols).astype("<u4") << 16
@@ -105,9 +132,8 @@ class Block:
         """Expansions of all symbols in one array; a rule is expanded as soon as both sides are."""
         self.span = np.concatenate([np.ones(self.terminals, np.int64), self.lengths])
         self.start = np.arange(len(self.span))
-        flat, done = [np.arange(self.terminals)], self.terminals
-        size = self.terminals
-        table = flat[0]
+        size = done = self.terminals
+        table = self.alphabet
         while done < len(self.span):
             highest = np.maximum(self.left, self.right)[done - self.terminals :]
             waits = np.flatnonzero(highest >= done)
@@ -131,12 +157,15 @@ class Block:
         return ids[skip : skip + last - first]
 
 
-def block_bytes(doc_tokens: np.ndarray, ids: np.ndarray, terminals: int, **how) -> bytes:
-    g = compress(ids, terminals, **how)
+def block_bytes(doc_tokens: np.ndarray, ids: np.ndarray, vocabulary: int, **how) -> bytes:
+    """A block of documents with ids below `vocabulary`. Ids are numbered densely first, which leaves most of the two-byte symbols to rules."""
+    occurs = np.bincount(ids, minlength=vocabulary) > 0
+    alphabet, terminals = np.flatnonzero(occurs), int(occurs.sum())
+    g = compress((np.cumsum(occurs) - 1)[ids], terminals, **how)
     wide = g.symbols.itemsize == 4 and terminals + len(g.left) <= 1 << 24
     symbols = (g.symbols & 0xFFFF).astype("<u2").tobytes() + (g.symbols >> 16).astype("u1").tobytes() if wide else g.symbols.tobytes()
     head = np.array([len(doc_tokens), len(ids), terminals, len(g.left), len(g.symbols), 3 if wide else g.symbols.itemsize], "<u4")
-    return b"".join([MAGIC, head.tobytes(), np.asarray(doc_tokens, "<u4").tobytes(), g.left.tobytes(), g.right.tobytes(), g.lengths.tobytes(), symbols])
+    return b"".join([MAGIC, head.tobytes(), alphabet.astype("<u4").tobytes(), np.asarray(doc_tokens, "<u4").tobytes(), g.left.tobytes(), g.right.tobytes(), g.lengths.tobytes(), symbols])
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = END_ID, block_tokens: int = BLOCK_TOKENS) -> None:
@@ -147,14 +176,14 @@ def write(docs: DataFrame, path: str, tokenizer: str, key: str = "doc_id", text:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = token_ids.WordEncoder.open(tokenizer)
-        terminals, held, held_tokens, block, part = len(encoder.ends_word), [], 0, 0, 0
+        vocabulary, held, held_tokens, block, part = len(encoder.ends_word), [], 0, 0, 0
 
         def flush() -> pa.RecordBatch:
             nonlocal held, held_tokens, block
             counts = np.concatenate([c for _, c, _ in held])
             ids = np.concatenate([i for _, _, i in held])
             keys = [k for ks, _, _ in held for k in ks]
-            row = [[part], [block], [len(keys)], [len(ids)], [keys], [block_bytes(counts, ids, terminals)]]
+            row = [[part], [block], [len(keys)], [len(ids)], [keys], [block_bytes(counts, ids, vocabulary)]]
             held, held_tokens, block = [], 0, block + 1
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()), strict=True)], names=["part", "block", "n_docs", "n_tokens", "keys", "payload"])
 
