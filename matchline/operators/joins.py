@@ -100,7 +100,8 @@ def _hot_apart(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     apart = F.col("_hot").isNotNull()
     for c in on:
         apart = apart | F.col(c).isNull()
-    spread = F.when(apart, F.xxhash64(*left.columns).bitwiseOR(F.lit(1))).otherwise(0)  # never 0 where apart
+    hashed = [c for c, t in left.dtypes if "map<" not in t and t != "variant"]  # maps have no hash
+    spread = F.when(apart, F.xxhash64(*hashed).bitwiseOR(F.lit(1))).otherwise(0)  # never 0 where apart
     out = out.withColumn("_salt", spread.cast("long")).join(packed, [*on, "_salt"], "left")
     found = F.coalesce("_hot", "_v")
     return out.select(*left.columns, *[found[c].alias(c) for c in values])

@@ -319,6 +319,12 @@ def _segment_rows(batch: pa.RecordBatch, measures: Sequence[str], window: int, h
     return out
 
 
+def _merged_rows(a: dict, b: dict, measures: Sequence[str], window: int, half_life: float) -> dict:
+    """The same for two rows of one entity that follow each other."""
+    out = {**b, "n": a["n"] + b["n"], "first": a["first"], "results": (a["results"] + b["results"])[-window:]}
+    return out | {m: vars(merge_weighted(Weighted(**a[m]), a["n"], Weighted(**b[m]), half_life)) for m in measures}
+
+
 def merged(a: Column, b: Column, measures: Sequence[str], window: int, half_life: float) -> Column:
     """The state after the rows of a and then those of b, as a struct; the same rule as `merge`."""
     def measure(m: str) -> Column:
@@ -336,7 +342,7 @@ def merged(a: Column, b: Column, measures: Sequence[str], window: int, half_life
 def entity_states(rows: DataFrame, measures: Sequence[str], window: int, half_life: float) -> DataFrame:
     """The state that all rows of each entity leave: (entity, n, first, last, results, one struct per measure).
 
-    Rows are dealt by ranges; each batch leaves one state per entity, and an entity's states are merged in order.
+    Rows are dealt by ranges; each partition leaves one state per entity, and an entity's states, at most one a partition, are merged in order.
     """
     measures, order = list(measures), ["entity", "date", "game_key"]
     schema = _end_schema(rows.schema["entity"].dataType, rows.schema["game_key"].dataType, measures)
@@ -346,13 +352,22 @@ def entity_states(rows: DataFrame, measures: Sequence[str], window: int, half_li
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_schema
 
-        arrow = to_arrow_schema(schema)
+        arrow, open_ = to_arrow_schema(schema), None
         for batch in batches:
-            if batch.num_rows:
-                yield pa.RecordBatch.from_pylist(_segment_rows(batch, measures, window, half_life), schema=arrow)
+            if not batch.num_rows:
+                continue
+            states = _segment_rows(batch, measures, window, half_life)
+            if open_ and open_["entity"] == states[0]["entity"]:
+                states[0] = _merged_rows(open_, states[0], measures, window, half_life)
+            elif open_:
+                states.insert(0, open_)
+            open_ = states.pop()  # the next batch may go on with it
+            yield pa.RecordBatch.from_pylist(states, schema=arrow)
+        if open_:
+            yield pa.RecordBatch.from_pylist([open_], schema=arrow)
 
     parts = dealt.mapInArrow(run, schema)
-    # One state per batch that holds the entity; the place of its first row puts them in order.
+    # The place of its first row puts the states of an entity in order.
     state = F.struct("first", "entity", "n", "last", "results", *measures)
     gathered = parts.groupBy("entity").agg(F.array_sort(F.collect_list(state)).alias("_p"))
     plain = lambda p: F.struct(*[p[c].alias(c) for c in ("entity", "n", "first", "last", "results", *measures)])

@@ -72,3 +72,19 @@ def test_a_stream_keeps_the_state(spark, tmp_path):
     state.start_state(stream, state.update_ratings, path, str(tmp_path / "cp")).awaitTermination()
     got = {r.TeamName: r.AdjEM for r in state.current(spark, path).collect()}
     assert got == {"a": 8.0, "t0": 0.0, "t1": 0.0, "t2": 0.0}
+
+
+def test_partitions_leave_one_state_per_entity(spark):
+    games, pdf = matches(spark, 300, 5, 20, 0.7, 6, 4)
+    changed = {"spark.sql.execution.arrow.maxRecordsPerBatch": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in changed}
+    whole = rows_of(prefix_scan.entity_states(H.unpivot_sides(games), state.MEASURES, 10, 5.0).select("entity", "n", "last", "results", "margin.s", "margin.w", "margin.at", "margin.k"))
+    try:
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        torn = rows_of(prefix_scan.entity_states(H.unpivot_sides(games), state.MEASURES, 10, 5.0).select("entity", "n", "last", "results", "margin.s", "margin.w", "margin.at", "margin.k"))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r[:4] for r in torn] == [r[:4] for r in whole] and sum(r[1] for r in torn) == 2 * len(pdf)
+    assert all(a[4:] == pytest.approx(b[4:]) for a, b in zip(torn, whole, strict=True))
