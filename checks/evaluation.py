@@ -430,12 +430,48 @@ def _(d):
     return rounded(C.isotonic_calibrate(rows, C.fit_isotonic(fine(d), "pred_fine")), "edge", "cover_prob")
 
 
-@REG.add("calibration_fit")
+def _calibrated(sql: str) -> str:
+    """An oracle over the matches with the combined prediction."""
+    return sql.replace("FROM games", "FROM combined")
+
+
+TEMPERATURE = (
+    "WITH g(pos, temperature) AS (VALUES " + ", ".join(f"({i}, CAST({t!r} AS DOUBLE))" for i, t in enumerate(TEMPS)) + "), " + _calibrated(bets("pred_cal"))
+    + ", c AS (SELECT pos, temperature, count(*) FILTER (WHERE ok AND ae / temperature >= 4.5) AS n, count(*) FILTER (WHERE ok AND ae / temperature >= 4.5 AND hit) AS w FROM b CROSS JOIN g GROUP BY ALL) "
+    "SELECT temperature FROM c WHERE pos = 0 OR n >= 100 ORDER BY CASE WHEN n = 0 THEN 0 ELSE CAST(w AS DOUBLE) / n END DESC, pos LIMIT 1"
+)
+ORDERED = "CASE bucket " + " ".join(f"WHEN '{b}' THEN {i}" for i, (_, _, b) in enumerate(fixed.EDGE_BUCKETS)) + " END"
+CALIBRATION = (
+    f"best AS ({_grid_out(lattice_sql(4.5), 'roi', 'n_bets >= 50')}), "
+    "combined AS (SELECT g.*, w_ridge * pred_ridge + w_gbm * pred_gbm + w_dnn * pred_dnn AS pred_cal FROM games g CROSS JOIN best)"
+)
+
+
+@REG.add(
+    "calibration_fit",
+    f"WITH {CALIBRATION} SELECT '{{\"ridge\": ' || w_ridge || ', \"gbm\": ' || w_gbm || ', \"dnn\": ' || w_dnn || '}}' AS weights, ({TEMPERATURE}) AS temperature, "
+    f"coalesce((SELECT threshold FROM ({_calibrated(stability_sql('pred_cal'))}) s ORDER BY stability DESC, threshold LIMIT 1), CAST({fixed.DEFAULT_THRESHOLD} AS DOUBLE)) AS threshold, "
+    f"coalesce((SELECT string_agg(bucket, ',' ORDER BY {ORDERED}) FROM ({_calibrated(buckets_sql('pred_cal'))}) s WHERE n_games >= 30 AND hit_rate >= {fixed.BREAKEVEN}), '') AS buckets, true AS monotone FROM best",
+    ("games",),
+)
 def _(d):
-    return C.calibration_fit(d["games"]).to_row(d.spark)
+    return C.calibration_fit(d["games"]).to_row(d.spark).withColumn("buckets", F.array_join("buckets", ","))
+
+
+FITTED = REG.sql["calibration_fit"][REG.sql["calibration_fit"].index("SELECT '{") :]
 
 
-@REG.add("calibrated_bet_mask")
+@REG.add(
+    "calibrated_bet_mask",
+    f"WITH {CALIBRATION}, {_calibrated(bets('pred_cal'))}, " + HULL[HULL.index("pts AS") :]
+    + f", fit AS (SELECT a.x, b.hits / b.n AS y FROM acc a JOIN blocks b ON a.i > b.i0 AND a.i <= b.i1), state AS ({FITTED}), "
+    "scaled AS (SELECT game_key, spread_a, -spread_a + (pred_cal + spread_a) / temperature AS pred_scaled, threshold, buckets FROM combined CROSS JOIN state), "
+    "z AS (SELECT *, pred_scaled + spread_a AS edge, abs(pred_scaled + spread_a) AS ae FROM scaled), "
+    + ISO[ISO.index("near AS") :].replace("b.", "z.").replace("FROM b ", "FROM z ")
+    + f" SELECT game_key, {r6('pred_scaled', 'pred_scaled')}, {r6('z.edge', 'edge')}, {r6('p', 'cover_prob')}, "
+    f"coalesce(z.ae >= threshold AND (buckets = '' OR list_contains(string_split(buckets, ','), {bucket_sql('z.ae')})) AND p >= 0.5, false) AS is_bet FROM z JOIN iso USING (game_key)",
+    ("games",),
+)
 def _(d):
     cal = C.calibration_fit(d["games"])
     out = C.calibrated_bet_mask(d["games"], cal, min_prob=0.5)
