@@ -219,7 +219,29 @@ def _train(d):
     return _named(d).filter(F.col("season").isin(*TRAIN))
 
 
-@REG.add("ridge_fit")
+def ridge_sql() -> str:
+    """Ridge by the normal equations of z-scores, solved by elimination, one step per table."""
+    source = {"x_ridge": "pred_ridge", "x_gbm": "pred_gbm"}
+    cols = [f"CAST({source.get(c, c)} AS DOUBLE)" for c in X_INPUTS]
+    k = len(cols)
+    seasons = ", ".join(map(str, TRAIN))
+    steps = [
+        f"tr AS (SELECT {', '.join(f'{c} AS x{i}' for i, c in enumerate(cols))}, CAST(final_margin_a AS DOUBLE) AS y FROM games WHERE spread_a IS NOT NULL AND season IN ({seasons}))",
+        "st AS (SELECT avg(y) AS my, " + ", ".join(f"avg(x{i}) AS m{i}, stddev_pop(x{i}) AS s{i}" for i in range(k)) + " FROM tr)",
+    ]
+    z = [f"((x{i} - m{i}) / s{i})" for i in range(k)]
+    # One unit of penalty on each coefficient of a z-score.
+    cells = [f"sum({z[i]} * {z[j]}) + {1 if i == j else 0} AS a{i}_{j}" for i in range(k) for j in range(k)] + [f"sum({z[i]} * (y - my)) AS a{i}_{k}" for i in range(k)]
+    steps.append("e0 AS (SELECT " + ", ".join(cells) + " FROM tr, st)")
+    for p in range(k):
+        row = [f"a{p}_{j} / a{p}_{p} AS a{p}_{j}" for j in range(k + 1)]
+        other = [f"a{i}_{j} - a{i}_{p} * a{p}_{j} / a{p}_{p} AS a{i}_{j}" for i in range(k) if i != p for j in range(k + 1)]
+        steps.append(f"e{p + 1} AS (SELECT " + ", ".join(row + other) + f" FROM e{p})")
+    fitted = " + ".join(["my"] + [f"a{i}_{k} * ({cols[i]} - m{i}) / s{i}" for i in range(k)])
+    return "WITH " + ", ".join(steps) + f" SELECT game_key, {r6(fitted, 'pred_ridge')} FROM games, st, e{k} WHERE spread_a IS NOT NULL"
+
+
+@REG.add("ridge_fit", ridge_sql(), G)
 def _(d):
     out = M.score_models(_named(d), {"ridge": M.ridge_fit(_train(d), X_INPUTS)})
     return rounded(out.select("game_key", "pred_ridge"), "pred_ridge")
