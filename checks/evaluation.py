@@ -329,7 +329,24 @@ def _tail(p: str) -> str:
     return f"{_polynomial(C.NORMAL_TAIL[0], root)} / {_polynomial(C.NORMAL_TAIL[1], root)}"
 
 
+def _poisson_sql() -> str:
+    return "CASE " + " ".join(f"WHEN h < '{c}' THEN {k}" for k, c in enumerate(C.poisson_cuts())) + f" ELSE {len(C.poisson_cuts())} END"
+
+
 def stability_sql(pred: str) -> str:
+    steps = grid_values(fixed.STABILITY_THRESHOLDS)
+    return (
+        f"WITH {bets(pred)}, d AS (SELECT ae, hit, r.rep, substr(md5(concat(game_key, ':', (r.rep - 1) // 4)), CAST(8 * ((r.rep - 1) % 4) + 1 AS INTEGER), 8) AS h "
+        "FROM b CROSS JOIN (SELECT unnest(range(1, 101)) AS rep) r WHERE ok AND ae >= 3), "
+        f"x AS (SELECT ae, hit, rep, {_poisson_sql()} AS wt FROM d), "
+        f"c AS (SELECT rep, t, sum(wt) AS n, sum(CASE WHEN hit THEN wt ELSE 0 END) AS w FROM x CROSS JOIN {steps} WHERE ae >= t GROUP BY rep, t), "
+        f"r2 AS (SELECT t, {roi_sql('w', 'n')} AS roi FROM c WHERE n >= 20), "
+        "s AS (SELECT t AS threshold, count(*) AS n_reps, avg(roi) AS mean_roi, stddev_pop(roi) AS std_roi, avg(CASE WHEN roi > 0 THEN 1.0 ELSE 0.0 END) AS pct FROM r2 GROUP BY t HAVING count(*) >= 50) "
+        f"SELECT threshold, n_reps, {r6('mean_roi', 'mean_roi')}, {r6('std_roi', 'std_roi')}, {r6('pct', 'pct_profitable')}, {r6('CASE WHEN pct > 0.5 THEN mean_roi / (std_roi + 0.01) ELSE -1 END', 'stability')} FROM s"
+    )
+
+
+def cell_stability_sql(pred: str) -> str:
     steps = grid_values(fixed.STABILITY_THRESHOLDS)
     reached = " + ".join(f"CASE WHEN ae >= {t} THEN 1 ELSE 0 END" for t in sorted(fixed.STABILITY_THRESHOLDS))
     square = "((u - 0.5) * (u - 0.5))"
@@ -358,11 +375,11 @@ def _(d):
 
 @REG.add(
     "bootstrap_replicates",
-    stability_sql("pred_gbm").split(", r2 AS")[0].replace("WITH ", "WITH ", 1) + f" SELECT CAST(rep AS INTEGER) AS rep, t AS threshold, CAST(n AS BIGINT) AS n_bets, {r6(roi_sql('w', 'n'), 'roi')} FROM c",
+    cell_stability_sql("pred_gbm").split(", r2 AS")[0].replace("WITH ", "WITH ", 1) + f" SELECT CAST(rep AS INTEGER) AS rep, t AS threshold, CAST(n AS BIGINT) AS n_bets, {r6(roi_sql('w', 'n'), 'roi')} FROM c",
     ("games",),
 )
 def _(d):
-    return rounded(C.bootstrap_rois(d["games"], pred="pred_gbm"), "roi")
+    return rounded(C.bootstrap_rois_by_cell(d["games"], pred="pred_gbm"), "roi")
 
 
 def _isotonic(d):
@@ -450,7 +467,7 @@ CALIBRATION = (
 @REG.add(
     "calibration_fit",
     f"WITH {CALIBRATION} SELECT '{{\"ridge\": ' || w_ridge || ', \"gbm\": ' || w_gbm || ', \"dnn\": ' || w_dnn || '}}' AS weights, ({TEMPERATURE}) AS temperature, "
-    f"coalesce((SELECT threshold FROM ({_calibrated(stability_sql('pred_cal'))}) s ORDER BY stability DESC, threshold LIMIT 1), CAST({fixed.DEFAULT_THRESHOLD} AS DOUBLE)) AS threshold, "
+    f"coalesce((SELECT threshold FROM ({_calibrated(cell_stability_sql('pred_cal'))}) s ORDER BY stability DESC, threshold LIMIT 1), CAST({fixed.DEFAULT_THRESHOLD} AS DOUBLE)) AS threshold, "
     f"coalesce((SELECT string_agg(bucket, ',' ORDER BY {ORDERED}) FROM ({_calibrated(buckets_sql('pred_cal'))}) s WHERE n_games >= 30 AND hit_rate >= {fixed.BREAKEVEN}), '') AS buckets, true AS monotone FROM best",
     ("games",),
 )

@@ -7,6 +7,7 @@ sums, so a shuffle carries one row per candidate and task, never rows times cand
 from __future__ import annotations
 
 import json
+import math
 import operator
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
@@ -211,12 +212,66 @@ def poisson_quantile(u: Column, mean: Column) -> Column:
     return F.when(mean == 0, F.lit(0)).when(mean <= EXACT_MEAN, exact).otherwise(wide).cast("long")
 
 
+def poisson_cuts(digits: int = 8) -> list[str]:
+    """Cumulative Poisson(1) probabilities as upper ends of fixed-length hexadecimal fractions."""
+    cuts, total = [], 0.0
+    for k in range(40):
+        total += math.exp(-1.0) / math.factorial(k)
+        point = int(total * 16**digits)
+        if point >= 16**digits - 1:
+            break
+        cuts.append(format(point, f"0{digits}x"))
+    return cuts
+
+
+def poisson_weight(hexes: Column) -> Column:
+    """Poisson(1) draw from eight hexadecimal digits; fixed-length digits compare as text."""
+    out = F.lit(len(poisson_cuts()))
+    for k, cut in reversed(list(enumerate(poisson_cuts()))):
+        out = F.when(hexes < cut, k).otherwise(out)
+    return out
+
+
 def bootstrap_rois(
     df: DataFrame, thresholds: Sequence[float] = tuple(fixed.STABILITY_THRESHOLDS), n_bootstrap: int = 100,
-    pred: str = "pred", line: str = "spread_a", cover: str = "cover_a", seed: int = 0,
+    pred: str = "pred", line: str = "spread_a", cover: str = "cover_a", seed: int = 0, key: str = "game_key",
 ) -> DataFrame:
     """(rep, threshold, n_bets, roi) of Poisson-weighted resamples.
 
+    A row's weight in a replicate is a Poisson(1) draw from the digest of its key (and of a seed other than 0), so a rerun draws the same. One digest serves
+    four replicates, whose weights are summed side by side: a task sends one row per digest number, threshold bin and hit or miss. Rows below
+    the lowest threshold never bet.
+    """
+    steps = sorted({float(t) for t in thresholds})
+    e, hit = E.edge_of(pred, line), E.hit_of(E.edge_of(pred, line), cover)
+    reached = F.lit(0)
+    for i, t in enumerate(steps):
+        reached = F.when(F.abs(e) >= t, i).otherwise(reached)
+    own = F.concat(F.lit(f"{seed}:" if seed else ""), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(":"))
+    bets = df.select(own.alias("_k"), reached.alias("_bin"), hit.cast("int").alias("_hit"), F.abs(e).alias("_e")).filter(F.col("_hit").isNotNull() & (F.col("_e") >= steps[0]))
+    digests = -(-n_bootstrap // 4)
+    drawn = bets.select("_bin", "_hit", "_k", F.explode(F.sequence(F.lit(0), F.lit(digests - 1))).alias("_g"))
+    drawn = drawn.select("_bin", "_hit", "_g", F.md5(F.concat("_k", F.col("_g").cast("string"))).alias("_md"))
+    cells = drawn.groupBy("_g", "_bin", "_hit").agg(*[F.sum(poisson_weight(F.substring("_md", 8 * s + 1, 8))).alias(f"_n{s}") for s in range(4)])
+    by_rep = F.array(*[F.struct((F.col("_g") * 4 + (s + 1)).alias("rep"), F.col(f"_n{s}").alias("_n")) for s in range(4)])
+    grid = F.array(*[F.struct(F.lit(i).alias("_t"), F.lit(t).alias("threshold")) for i, t in enumerate(steps)])
+    # A replicate in which no row of a threshold is drawn has no bets there, and no row.
+    weighted = cells.select("_bin", "_hit", F.inline(by_rep)).filter((F.col("_n") > 0) & (F.col("rep") <= n_bootstrap))
+    out = (
+        weighted.select("*", F.inline(grid))
+        .filter(F.col("_bin") >= F.col("_t"))
+        .groupBy("rep", "threshold")
+        .agg(F.sum("_n").cast("bigint").alias("n_bets"), F.sum(F.col("_n") * F.col("_hit")).cast("bigint").alias("_w"))
+    )
+    return out.select("rep", "threshold", "n_bets", E.roi_of(F.col("_w"), F.col("n_bets")).alias("roi"))
+
+
+def bootstrap_rois_by_cell(
+    df: DataFrame, thresholds: Sequence[float] = tuple(fixed.STABILITY_THRESHOLDS), n_bootstrap: int = 100,
+    pred: str = "pred", line: str = "spread_a", cover: str = "cover_a", seed: int = 0,
+) -> DataFrame:
+    """As bootstrap_rois, but with one draw per cell instead of one per row.
+
     Each row weighs Poisson(1) in a replicate, and sums of those weights over the rows of a cell (threshold bin, hit or miss) are Poisson with the
     number of its rows. So one pass counts the cells, at most two per threshold, and each replicate draws once per cell, from a digest
     of seed, replicate and cell: a rerun draws the same. Rows below the lowest threshold never bet.
@@ -301,7 +356,7 @@ def calibration_fit(
     scored = df.withColumn("_pred", E.combine_weighted(weights, models)).select(key, "_pred", line, cover)
     temp = temperature_search(scored, "_pred", line, cover).first()
     buckets = [r["bucket"] for r in profitable_buckets(scored, "_pred", line, cover).select("bucket").collect()]
-    rois = bootstrap_rois(scored, pred="_pred", line=line, cover=cover)
+    rois = bootstrap_rois_by_cell(scored, pred="_pred", line=line, cover=cover)
     return Calibration(
         weights,
         1.0 if temp is None else float(temp["temperature"]),

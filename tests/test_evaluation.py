@@ -1,5 +1,6 @@
 """Invariants of the evaluation tables and the calibration state."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -196,3 +197,21 @@ def test_replicates_are_poisson_sums(spark):
     assert rois.sort_values(key).reset_index(drop=True).equals(again.sort_values(key).reset_index(drop=True))
     other = C.bootstrap_rois(df, thresholds=[0.0], n_bootstrap=5, seed=1).toPandas()
     assert set(other.n_bets) != set(rois[(rois.threshold == 0.0) & (rois.rep <= 5)].n_bets)
+
+
+def test_each_row_is_drawn_in_each_replicate(spark):
+    rows = [(None if i == 5 else i // 2, 2.0 + i % 4, 0.0, float(i % 3 == 0)) for i in range(80)]
+    df = spark.createDataFrame(rows, "game_key long, pred double, spread_a double, cover_a double")
+    got = {(r.rep, r.threshold): r.n_bets for r in C.bootstrap_rois(df, thresholds=[3.0, 4.5], n_bootstrap=10).collect()}
+    want = {}
+    for key, pred, _, _ in rows:
+        for rep in range(1, 11):
+            digest = hashlib.md5(f"{'' if key is None else key}:{(rep - 1) // 4}".encode()).hexdigest()
+            digits, weight, total = int(digest[8 * ((rep - 1) % 4) :][:8], 16), 0, math.exp(-1.0)
+            while digits >= int(total * 16**8):
+                weight += 1
+                total += math.exp(-1.0) / math.factorial(weight)
+            for t in (3.0, 4.5):
+                if pred >= t:
+                    want[rep, t] = want.get((rep, t), 0) + weight
+    assert got == {k: n for k, n in want.items() if n}
