@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..operators import calibration, cleaning, evaluation, history, models
 from ..sources.scratch import materialise
 
+PARALLEL_FITS = 6
 _PREDS = {"Ridge": "pred_ridge", "GBM": "pred_gbm", "Ensemble": "pred_ensemble"}
 
 
@@ -24,6 +27,15 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def _side_by_side(spark: SparkSession, work: Callable, items: Sequence, parallelism: int) -> list:
+    """work(item) of independent items, in their order, at most `parallelism` at once.
+
+    A fit is hundreds of short jobs, each of which waits for the one before; several fits fill the cluster.
+    """
+    with ThreadPool(max(1, min(parallelism, len(items)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), items, chunksize=1)
+
+
 def _prepare(features_df: DataFrame, features: Sequence[str], name: str) -> tuple[DataFrame, list[str]]:
     """Modelable rows with only the needed columns, written once: every fit and score reads that."""
     rows, available = cleaning.filter_modelable(features_df, features)
@@ -53,38 +65,40 @@ def holdout_evaluation(
     }
 
 
-def cross_validation(features_df: DataFrame, features: Sequence[str], n_splits: int = 5, gbt_params: dict | None = None) -> DataFrame:
-    """Metric row per fold and model; fold k trains on everything before its test block."""
+def cross_validation(
+    features_df: DataFrame, features: Sequence[str], n_splits: int = 5, gbt_params: dict | None = None, parallelism: int = PARALLEL_FITS
+) -> DataFrame:
+    """Metric row per fold and model; fold k trains on everything before its test block. Folds are fitted side by side."""
     rows, available = _prepare(features_df, features, "folds")
     rows = materialise(history.expanding_folds(rows, n_splits), "folds-placed")
-    out = []
-    for fold in range(1, n_splits + 1):
+
+    def measured(fold: int) -> DataFrame:
         fitted = models.fit_models(rows.filter(F.col("test_fold") < fold), available, gbt_params=gbt_params)
         scored = _scored(rows.filter(F.col("test_fold") == fold), fitted)
-        out.append(evaluation.evaluate_by_group(scored, _PREDS, ["test_fold"]).withColumnRenamed("test_fold", "fold"))
-    return _union(out)
+        return evaluation.evaluate_by_group(scored, _PREDS, ["test_fold"]).withColumnRenamed("test_fold", "fold")
+
+    return _union(_side_by_side(rows.sparkSession, measured, range(1, n_splits + 1), parallelism))
 
 
 def ablation_table(
-    features_df: DataFrame, sets: dict[str, list[str]], train: Sequence, val: Sequence, test: Sequence, gbt_params: dict | None = None
+    features_df: DataFrame, sets: dict[str, list[str]], train: Sequence, val: Sequence, test: Sequence, gbt_params: dict | None = None, parallelism: int = PARALLEL_FITS
 ) -> DataFrame:
     """Feature set, its size, and the ensemble's test hit rate and return.
 
-    The input is written once with the columns of all sets; each set filters those rows.
+    The input is written once with the columns of all sets; each set filters those rows. Sets are fitted side by side.
     """
     wanted = dict.fromkeys(["game_key", "season", "date", "spread_a", "final_margin_a", "cover_a", "kp_matched", *[c for s in sets.values() for c in s]])
     features_df = materialise(features_df.select(*[c for c in wanted if c in features_df.columns]), "ablation")
-    out = []
-    for name, features in sets.items():
-        res = holdout_evaluation(features_df, features, train, val, test, gbt_params)
+
+    def measured(name: str) -> DataFrame:
+        res = holdout_evaluation(features_df, sets[name], train, val, test, gbt_params)
         row = res["metrics"].filter("split = 'test' and model = 'Ensemble'")
-        out.append(
-            row.select(
-                F.lit(name).alias("feature_set"), F.lit(len(res["features"])).alias("n_features"),
-                F.col("hit_rate").alias("test_hit_rate"), F.col("roi").alias("test_roi"),
-            )
+        return row.select(
+            F.lit(name).alias("feature_set"), F.lit(len(res["features"])).alias("n_features"),
+            F.col("hit_rate").alias("test_hit_rate"), F.col("roi").alias("test_roi"),
         )
-    return _union(out)
+
+    return _union(_side_by_side(features_df.sparkSession, measured, list(sets), parallelism))
 
 
 def selective_backtest(

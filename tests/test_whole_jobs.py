@@ -1,5 +1,7 @@
 """The registered queries ask for the whole job: default fits, all feature sets, uncut views."""
 
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -40,3 +42,18 @@ def test_ratings_are_read_uncut(spark, folder):
     n = orders.select(F.col("o_custkey") % 200, F.trunc("o_orderdate", "month")).distinct().count()
     assert REG.queries["rename_to_canonical"](spark, folder).count() == n
     assert REG.queries["scan_fail_on_empty"](spark, folder).first().n_rows == n
+
+
+def test_folds_and_sets_are_fitted_side_by_side(spark, folder, monkeypatch):
+    both = threading.Barrier(2, timeout=60)
+
+    def fit(train, features, *args, **kwargs):
+        both.wait()
+        raise Asked
+
+    monkeypatch.setattr(models, "fit_models", fit)
+    games = Data(spark, folder)["games"].withColumn("kp_matched", F.lit(True)).filter("spread_a IS NOT NULL")
+    with pytest.raises(Asked):
+        backtest.cross_validation(games, ["spread_a"], 2)
+    with pytest.raises(Asked):
+        backtest.ablation_table(games, {"a": ["spread_a"], "b": ["spread_a", "total_line"]}, [1995], [1996], [1997])
