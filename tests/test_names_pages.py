@@ -189,6 +189,15 @@ def test_page_rows_with_spans(spark):
     assert got == [("Jan 5, 2024", "A", "Neutral", None, None, "O", 130.0), ("Jan 5, 2024", "B", "Home", "W", -2.0, "U", 131.0)]
 
 
+def test_a_long_table_is_read_in_one_pass(spark):
+    n = 30_000
+    rows = "".join(f"<tr>{'<td rowspan=3>d</td>' if i % 3 == 0 else ''}<td>{i}</td></tr>" for i in range(n))
+    df = spark.createDataFrame([(f"<table>{rows}</table>",)], "html string").select(pages.table_rows("html").alias("r"))
+    # Array expressions copy what they have built with each row.
+    assert "ArrowEvalPython" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.first().r == [["d", str(i)] for i in range(n)]
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_suffix_index_matches_brute_force(spark, seed):
     rng = random.Random(seed)
