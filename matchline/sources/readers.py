@@ -42,11 +42,14 @@ def scan_csv(spark: SparkSession, path: str | Sequence[str], **from_file: Column
     names = F.transform(heads, lambda n, i: F.coalesce(F.nullif(F.trim(n), F.lit("")), F.concat(F.lit("_c"), i.cast("string"))))
     first = first.select("_file", "_head_at", names.alias("_names"))
     known = first.select(F.posexplode("_names").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at")).orderBy("at", "name").collect()
+    # Names are looked up once per file; a line meets their places.
+    places = [F.array_position("_names", r.name).cast("int") for r in known]
+    first = first.select("_file", "_head_at", F.size("_names").alias("_size"), F.array(*places).alias("_places"))
     rows = lookup_join(lines, first, ["_file"]).filter(F.col("_place") != F.col("_head_at"))
-    rows = rows.withColumn("_s", cells(F.col("value"))).select(*from_file, "_names", listed("_s").alias("_c"))
-    at, size = F.array_position("_c", _END), F.size("_names")
-    place = lambda name: F.array_position("_names", name).cast("int")
-    values = [F.when((at == 0) | (place(r.name) < at), F.get("_c", place(r.name) - 1)).alias(r.name) for r in known]
+    rows = rows.withColumn("_s", cells(F.col("value"))).select(*from_file, "_size", "_places", listed("_s").alias("_c"))
+    at, size = F.array_position("_c", _END), F.col("_size")
+    place = lambda i: F.get("_places", F.lit(i))
+    values = [F.when((at == 0) | (place(i) < at), F.get("_c", place(i) - 1)).alias(r.name) for i, r in enumerate(known)]
     reason = F.when((at == 0) | (at - 1 > size), "too many cells").when(at - 1 < size, "too few cells")
     return rows.select(*values, *from_file, reason.alias("reject_reason"))
 

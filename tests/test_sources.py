@@ -103,3 +103,13 @@ def test_csv_is_read_once(spark, tmp_path):
     (tmp_path / "a.csv").write_text("k,v\n1,2\n")
     plan = readers.scan_csv(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert "FileScan text" not in plan and "FileScan csv" not in plan and "FileScan parquet" in plan
+
+
+def test_names_are_looked_up_once_per_file(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x,y\n1,2\n3,4\n")
+    (tmp_path / "b.csv").write_text("y,z,x\n5,6,7\n8\n")
+    rows = readers.scan_csv(spark, str(tmp_path / "*.csv"))
+    top = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()[0]
+    assert "Project" in top and "_places" in top and "_names" not in top
+    got = {(r.x, r.y, r.z, r.reject_reason) for r in rows.collect()}
+    assert got == {("1", "2", None, None), ("3", "4", None, None), ("7", "5", "6", None), (None, "8", None, "too few cells")}
