@@ -9,13 +9,14 @@ from ..functions import exprs as X
 from ..functions import fixed
 from ..operators import asof, dims, evaluation, joins, models, names, odds, picks
 from ..operators.calibration import Calibration, calibrated_bet_mask
+from ..sources.scratch import materialise
 from .features import RATING_VALUES
 
 
 def resolve_sides(games: DataFrame, canonical: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Add home_kp and away_kp; the distinct names of both sides are resolved once."""
+    """Add home_kp and away_kp; the distinct names of both sides are resolved once, and both lookups read the written table."""
     both = games.select(F.explode(F.array("home_team", "away_team")).alias("raw_name")).distinct()
-    table = names.resolve_by_overlap(both, canonical, mapping).select("raw_name", "canonical_name")
+    table = materialise(names.resolve_by_overlap(both, canonical, mapping).select("raw_name", "canonical_name"), "sides")
     for side in ("home", "away"):
         right = table.select(F.col("raw_name").alias(f"{side}_team"), F.col("canonical_name").alias(f"{side}_kp"))
         games = joins.lookup_join(games, right, [f"{side}_team"])
@@ -43,7 +44,8 @@ def day_features(
     sides = {"a": "home_kp", "b": "away_kp"}
     values = {c: RATING_VALUES[c] for c in X.present(ratings, fixed.RATING_COLUMNS)}
     current = _newest(ratings, entity, list(values), rating_date)
-    current = current.withColumn("_known", F.lit(True))
+    # Both sides read one written row per entity.
+    current = materialise(current.withColumn("_known", F.lit(True)), "current")
     df = joins.join_both_sides(games, current, [], entity, {**values, "_known": "_known"}, sides)
     neutral = F.coalesce(F.col("is_neutral").cast("boolean"), F.lit(False)) if "is_neutral" in df.columns else F.lit(False)
     df = df.withColumns({"is_home_a": (~neutral).cast("int"), "is_neutral": neutral.cast("int")})

@@ -169,3 +169,17 @@ def test_unbounded_snapshots_with_a_hot_entity(uncoalesced, monkeypatch):
         snap = max((d for d in days if day and d < day), default=None)
         assert (r.kp_snapshot_date, r.em_a, r.em_b) == (snap, by.get((a, snap)), by.get((b, snap)))
     assert got.count() == 1500
+
+
+def test_names_of_the_day_are_resolved_once(spark, folder, monkeypatch):
+    written, write = [], joins.materialise
+
+    def record(df, name):
+        written.append(df.columns)
+        return write(df, name)
+
+    monkeypatch.setattr(joins, "materialise", record)
+    monkeypatch.setattr(daily, "materialise", record)
+    catalog.REG.queries["score_day"](spark, folder)
+    assert written.count(["raw_name", "canonical_name"]) == 1
+    assert not [c for c in written if "home_kp" in c or "away_kp" in c]
