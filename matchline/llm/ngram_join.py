@@ -263,6 +263,13 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     return postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
+def _open(labelled: DataFrame) -> DataFrame:
+    """The postings that still hold two components; in the others nothing is left to join."""
+    of_sig = Window.partitionBy("sig")
+    ends = {"_least": F.min("component").over(of_sig), "_greatest": F.max("component").over(of_sig)}
+    return labelled.withColumns(ends).where("_least < _greatest").drop(*ends)
+
+
 def _may_link(x: dict[str, str], y: dict[str, str], num: int, den: int):
     """Near enough in length, not in one component yet, the signature in the core of the shorter set, and enough tokens left on both sides."""
     nx, ny = F.col(x["n"]), F.col(y["n"])
@@ -298,8 +305,9 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 def _leader_pairs(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
     """For each set the nearest by sketch of the leaders that it meets. The leaders of a posting are the LEADERS sets with the most partners, in later
-    turns the first in an order that changes with the turn; so a posting of m sets gives at most LEADERS * m pairs."""
-    place = -F.col("partners") if turn == 0 else F.xxhash64("class", F.lit(turn))
+    turns the first in an order that changes with the turn and the signature; so a posting of m sets gives at most LEADERS * m pairs, yet the many
+    postings that a group of near copies shares offer a set different leaders."""
+    place = -F.col("partners") if turn == 0 else F.xxhash64("class", "sig", F.lit(turn))
     leaders = labelled.withColumn("_place", F.row_number().over(Window.partitionBy("sig").orderBy(place, "class"))).where(F.col("_place") <= LEADERS)
     nearest = _met(labelled, leaders, num, den).groupBy("x_class").agg(F.min(F.struct(_differing().alias("differing"), "y_class"))["y_class"].alias("y_class"))
     return nearest.select(*_ordered("x_class", "y_class")).distinct()
@@ -338,7 +346,8 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     texts = _kept(candidate_texts(docs, text, key, rows, postings, size), "texts")
     found, links = None, None
     for turn in range(leader_turns + 1):
-        labelled = _with_sketch(_labelled(postings, found), texts)
+        labelled = _labelled(postings, found)
+        labelled = _with_sketch(_open(labelled) if turn else labelled, texts)
         pairs = _leader_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, num, den)
         new = _kept(check(pairs, texts, size, num, den), "links")
         links = new if links is None else links.union(new)

@@ -1,5 +1,6 @@
 """N-gram join, components, decontamination and sharding against brute force."""
 
+import itertools
 import random
 import re
 
@@ -59,6 +60,23 @@ def test_groups_are_those_of_all_pairs(spark, seed, size, num, den):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(docs, size, num, den)
 
 
+def test_large_group_is_joined_before_all_pairs_are_met(spark, monkeypatch):
+    """4 of 14 words are left out: only texts that lack 3 of the same words link, so few leaders link to a text, and the first of them to a few."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(150)]
+    docs = [(i, " ".join(w for k, w in enumerate(base) if k not in gone)) for i, gone in enumerate(rng.sample(list(itertools.combinations(range(10, 150, 10), 4)), 300))]
+    met, check = [], ngram_join.check
+
+    def counted(pairs, *more):
+        met.append(pairs.count())
+        return check(pairs, *more)
+
+    monkeypatch.setattr(ngram_join, "check", counted)
+    got = ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), size=4, num=85, den=100)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(docs, 4, 85, 100)
+    assert max(met) <= len(docs) and met[-1] < len(docs) // 10, met
+
+
 def test_no_rows_and_no_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_groups(empty).count() == 0
