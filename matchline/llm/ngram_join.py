@@ -202,11 +202,11 @@ def shared_postings(index: DataFrame) -> DataFrame:
 def with_partners(postings: DataFrame) -> DataFrame:
     """Add `partners`, the meetings of a set over all its postings: the original of a group of copies has the most."""
     met = postings.groupBy("class").agg(F.sum(F.col("m") - 1).alias("partners"))
-    return postings.drop("m").join(met, "class")
+    return postings.join(met, "class")
 
 
-def candidate_texts(docs: DataFrame, text: str, key: str, described: DataFrame, postings: DataFrame, size: int) -> DataFrame:
-    """(class, text, sketch): one text for each set that shares a signature. A bit field of fixed size picks the texts, so the others are not shuffled."""
+def of_candidates(docs: DataFrame, text: str, key: str, described: DataFrame, postings: DataFrame, size: int, column: str) -> DataFrame:
+    """(class, `column`): the text or the sketch of each set of the postings. A bit field of fixed size picks the texts, so the others are not shuffled."""
     firsts = described.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
     wanted = postings.select("class").distinct().join(firsts, "class").select("key")
     bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
@@ -229,7 +229,13 @@ def candidate_texts(docs: DataFrame, text: str, key: str, described: DataFrame,
                 yield pa.RecordBatch.from_arrays(columns, names=["class", "text", "sketch"])
 
     rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).select(bit.alias("bit"), "text")
-    return rows.mapInArrow(run, "class long, text string, sketch array<long>").dropDuplicates(["class"])
+    return rows.mapInArrow(run, "class long, text string, sketch array<long>").select("class", column).dropDuplicates(["class"])
+
+
+def _of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The texts of a few pairs; the others need not be shuffled."""
+    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
+    return texts.join(wanted, "class", "left_semi")
 
 
 def check(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -263,6 +269,12 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     return postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
+def _undecided(postings: DataFrame, meetings: DataFrame) -> DataFrame:
+    """The postings with pairs that may link: in one of at most LEADERS + 1 sets, each pair has a leader, so the first meetings name them all."""
+    named = meetings.select("sig").distinct().withColumn("named", F.lit(True))
+    return postings.join(named, "sig", "left").where((F.col("m") > LEADERS + 1) | F.col("named")).drop("named")
+
+
 def _open(labelled: DataFrame) -> DataFrame:
     """The postings that still hold two components; in the others nothing is left to join."""
     of_sig = Window.partitionBy("sig")
@@ -278,8 +290,8 @@ def _may_link(x: dict[str, str], y: dict[str, str], num: int, den: int):
     return enough & (F.least(nx, ny) * den >= F.greatest(nx, ny) * num) & (F.col(x["component"]) != F.col(y["component"])) & core
 
 
-def _with_sketch(labelled: DataFrame, texts: DataFrame) -> DataFrame:
-    return labelled.join(texts.select("class", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]), "class")
+def _with_sketch(labelled: DataFrame, sketches: DataFrame) -> DataFrame:
+    return labelled.join(sketches.select("class", *[F.get("sketch", F.lit(i)).alias(f"s{i}") for i in range(SKETCH)]), "class")
 
 
 _SIDE = ("class", "n", "component", "core", "rest", *[f"s{i}" for i in range(SKETCH)])
@@ -303,13 +315,19 @@ def _ordered(x: str, y: str) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def _leader_pairs(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """For each set the nearest by sketch of the leaders that it meets. The leaders of a posting are the LEADERS sets with the most partners, in later
-    turns the first in an order that changes with the turn and the signature; so a posting of m sets gives at most LEADERS * m pairs, yet the many
+def _leader_meetings(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
+    """(sig, x_class, y_class, differing): the leaders that a set meets in its postings and may link with.
+
+    The leaders of a posting are the LEADERS sets with the most partners, in later turns the first in an order that changes with the turn and the signature; so a posting of m sets gives at most LEADERS * m pairs, yet the many
     postings that a group of near copies shares offer a set different leaders."""
     place = -F.col("partners") if turn == 0 else F.xxhash64("class", "sig", F.lit(turn))
     leaders = labelled.withColumn("_place", F.row_number().over(Window.partitionBy("sig").orderBy(place, "class"))).where(F.col("_place") <= LEADERS)
-    nearest = _met(labelled, leaders, num, den).groupBy("x_class").agg(F.min(F.struct(_differing().alias("differing"), "y_class"))["y_class"].alias("y_class"))
+    return _met(labelled, leaders, num, den).select("sig", "x_class", "y_class", _differing().alias("differing"))
+
+
+def _nearest(meetings: DataFrame) -> DataFrame:
+    """For each set the leader that is nearest by sketch."""
+    nearest = meetings.groupBy("x_class").agg(F.min(F.struct("differing", "y_class"))["y_class"].alias("y_class"))
     return nearest.select(*_ordered("x_class", "y_class")).distinct()
 
 
@@ -335,21 +353,32 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     lower-cased, words between ASCII white space). NULL, empty and wordless texts have n_shingles 0 and are linked with nothing. Equal
     sets are one class and are indexed once. Repeated keys are rows of their own; a NULL key counts after all others as a representative.
 
-    First each set is checked against the nearest leader of its postings, in a few turns, then every pair of a posting that is still in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only byte-sized rarities and a bit field,
-    both of fixed size, pass through the driver.
+    First each set is checked against the nearest leader of its postings, in a few turns, then every pair of a posting that is still in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only
+    postings with pairs that may link by their sketches go beyond the first turn, and only their texts are shuffled. Only byte-sized rarities and bit
+    fields, all of fixed size, pass through the driver.
     """
     described = _kept(describe(docs, key, text, size), "shingle-sets")
     levels = rarities(described)
     found_twice = _kept(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
     postings = _kept(with_partners(found_twice), "postings")
     rows = described.where("chunk IS NULL").select("key", "n_shingles", "class")
-    texts = _kept(candidate_texts(docs, text, key, rows, postings, size), "texts")
-    found, links = None, None
+    sketches = _kept(of_candidates(docs, text, key, rows, postings, size, "sketch"), "sketches")
+    texts, found, links = None, None, None
     for turn in range(leader_turns + 1):
         labelled = _labelled(postings, found)
-        labelled = _with_sketch(_open(labelled) if turn else labelled, texts)
-        pairs = _leader_pairs(labelled, num, den, turn) if turn < leader_turns else _cross_pairs(labelled, num, den)
-        new = _kept(check(pairs, texts, size, num, den), "links")
+        labelled = _with_sketch(_open(labelled) if turn else labelled, sketches)
+        if turn < leader_turns:
+            meetings = _leader_meetings(labelled, num, den, turn)
+            if turn == 0:
+                meetings = _kept(meetings, "meetings")
+                postings = _kept(_undecided(postings, meetings), "postings")
+            pairs = _nearest(meetings)
+        else:
+            pairs = _cross_pairs(labelled, num, den)
+        if texts is None:
+            texts = _kept(of_candidates(docs, text, key, rows, postings, size, "text"), "texts")
+        pairs = _kept(pairs, "pairs")
+        new = _kept(check(pairs, _of_pairs(texts, pairs) if turn else texts, size, num, den), "links")
         links = new if links is None else links.union(new)
         found = components(links)
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("class_id"))

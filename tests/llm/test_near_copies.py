@@ -77,6 +77,23 @@ def test_large_group_is_joined_before_all_pairs_are_met(spark, monkeypatch):
     assert max(met) <= len(docs) and met[-1] < len(docs) // 10, met
 
 
+def test_texts_that_only_share_a_passage_are_not_shuffled(spark, monkeypatch):
+    docs = [(i, " ".join([f"a{i}x{k}" for k in range(10)] + [f"p{i // 4}x{k}" for k in range(8)] + [f"z{i}x{k}" for k in range(40)])) for i in range(12)]
+    docs += [(12, docs[0][1].replace("a0x0 ", "")), (13, None)]
+    read, check = [], ngram_join.check
+
+    def counted(pairs, texts, *more):
+        read.append(texts.count())
+        return check(pairs, texts, *more)
+
+    monkeypatch.setattr(ngram_join, "check", counted)
+    for turns in (0, 1):
+        read.clear()
+        got = ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), size=4, num=85, den=100, leader_turns=turns)
+        assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(docs, 4, 85, 100)
+    assert read[0] <= 5 and read[1] == 0, read
+
+
 def test_no_rows_and_no_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_groups(empty).count() == 0
