@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from matchline.llm import decontamination, language, ngram_join, packing, quality, token_ids
 from matchline.plans.session import configure
-from matchline.sources.scratch import materialise, scratch_path
+from matchline.sources.scratch import scratch_path
 
 KEEP_QUALITY = 0.7
 
@@ -30,14 +30,18 @@ def one_of_a_kind(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are told apart by a number of their own, so texts under a repeated id or without one are judged each by itself. A repeated row stays
     once; wordless texts are near nothing, and stay once for each id and text, or all where the id is NULL.
     """
-    rows = materialise(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    rows = ngram_join.kept(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
     groups = ngram_join.similar_groups(rows, key="_row", size=5, num=80, den=100).select("_row", "n_shingles", "component_id")
     described = rows.select("_row", "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
     single = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
     group = F.when(single, F.concat_ws("/", "doc_id", "digest")).otherwise(F.col("component_id").cast("string"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "digest", "_row"))
     kept = groups.join(described, "_row").groupBy(group.alias("group")).agg(first.alias("first")).select(F.col("first._row").alias("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    dropped = ngram_join.kept(groups.select("_row").join(kept, "_row", "left_anti"), "dropped")
+    # Only rows that the marks name are shuffled: the dropped ones and a few others.
+    marked = ngram_join.with_marks(rows, dropped, "_row")
+    others = marked.where("_marked").join(dropped, "_row", "left_anti")
+    return marked.where("NOT _marked").unionByName(others).select(*docs.columns)
 
 
 def clean_of_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,6 +42,8 @@ FILTER_BITS = 1 << 23
 SKETCH = 8
 #: Leaders of a posting in one turn.
 LEADERS = 4
+#: A posting of at most so many sets names all its pairs at once; they are no more than leaders would give.
+SMALL = 2 * LEADERS
 _PAIR = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F], np.uint64)
 
 
@@ -87,7 +89,7 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("key"), *(pa.array(v, t) for v, t in zip((n, cls, empty, empty, empty), types[1:], strict=True))], names=names)
         counts = np.minimum(counts, MOST_OF_A_TASK).astype(np.uint8)
         chunks = [(c, counts[c * CHUNK : (c + 1) * CHUNK]) for c in range(BUCKETS // CHUNK)]
-        chunks = [(c, v.tobytes()) for c, v in chunks if v.any()]
+        chunks = [(c, pa.compress(v.tobytes(), "zstd", asbytes=True)) for c, v in chunks if v.any()]
         none = [None] * len(chunks)
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((none, none, none, [part_id] * len(chunks), [c for c, _ in chunks], [v for _, v in chunks]), types, strict=True)], names=names)
 
@@ -97,19 +99,20 @@ def describe(docs: DataFrame, key: str, text: str, size: int) -> DataFrame:
 
 def rarities(described: DataFrame) -> np.ndarray:
     """The rarity of each bucket, one byte each. Chunks are added in groups of at most 256 tasks, then over those."""
-    def add(kind: str):
-        def run(batch: pa.Table) -> pa.Table:
-            total = sum(np.frombuffer(v.as_py(), kind).astype("<i8") for v in batch.column("counts"))
-            return pa.table({"part": batch.column("part").slice(0, 1), "chunk": batch.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def total_of(batch: pa.Table, kind: str) -> np.ndarray:
+        size = CHUNK * np.dtype(kind).itemsize
+        return sum(np.frombuffer(pa.decompress(v.as_py(), size, "zstd"), kind).astype("<i8") for v in batch.column("counts"))
 
-        return run
+    def add(batch: pa.Table) -> pa.Table:
+        packed = pa.compress(total_of(batch, "u1").tobytes(), "zstd", asbytes=True)
+        return pa.table({"part": batch.column("part").slice(0, 1), "chunk": batch.column("chunk").slice(0, 1), "counts": pa.array([packed], pa.binary())})
 
     def level(batch: pa.Table) -> pa.Table:
-        total = np.frombuffer(add("<i8")(batch).column("counts")[0].as_py(), "<i8")
+        total = total_of(batch, "<i8")
         return pa.table({"chunk": batch.column("chunk").slice(0, 1), "levels": pa.array([np.minimum(255, np.rint(4 * np.log2(total + 1))).astype(np.uint8).tobytes()], pa.binary())})
 
     chunks = described.where("chunk IS NOT NULL").select((F.col("part") / 256).cast("int").alias("part"), "chunk", "counts")
-    summed = chunks.groupBy("part", "chunk").applyInArrow(add("u1"), "part int, chunk int, counts binary")
+    summed = chunks.groupBy("part", "chunk").applyInArrow(add, "part int, chunk int, counts binary")
     out = np.zeros(BUCKETS, np.uint8)
     for row in summed.groupBy("chunk").applyInArrow(level, "chunk int, levels binary").collect():  # one byte a bucket
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.levels, np.uint8)
@@ -200,42 +203,41 @@ def shared_postings(index: DataFrame) -> DataFrame:
 
 
 def with_partners(postings: DataFrame) -> DataFrame:
-    """Add `partners`, the meetings of a set over all its postings: the original of a group of copies has the most."""
+    """Add `partners`, the meetings of a set over all these postings: the original of a group of copies has the most."""
     met = postings.groupBy("class").agg(F.sum(F.col("m") - 1).alias("partners"))
     return postings.join(met, "class")
 
 
-def of_candidates(docs: DataFrame, text: str, key: str, described: DataFrame, postings: DataFrame, size: int, column: str) -> DataFrame:
-    """(class, `column`): the text or the sketch of each set of the postings. A bit field of fixed size picks the texts, so the others are not shuffled."""
+def with_marks(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """The rows with `_marked`: true where the key is one of `keys`, and for a few others by chance. Only a bit field of fixed size moves, none of the rows."""
+    bit = F.pmod(F.xxhash64(key), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    bucket, place = F.bitmap_bucket_number(bit), F.bitmap_bit_position(bit)
+    fields = keys.select(bucket.alias("_bucket"), place.alias("place")).groupBy("_bucket").agg(F.bitmap_construct_agg("place").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright(place.cast("int"), 3) + 1, F.lit(1))), 16, 10).cast("int")
+    met = rows.withColumn("_bucket", bucket).join(F.broadcast(fields), "_bucket", "left")  # FILTER_BITS bits at most
+    return met.withColumn("_marked", F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))).drop("_bucket", "_bits")
+
+
+def of_candidates(docs: DataFrame, text: str, key: str, described: DataFrame, classes: DataFrame, size: int, column: str) -> DataFrame:
+    """(class, `column`): the text or the sketch of each set of `classes`. Marks pick the texts, so the others are not shuffled; a few more sets may come along."""
     firsts = described.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("key"))
-    wanted = postings.select("class").distinct().join(firsts, "class").select("key")
-    bit = F.pmod(F.xxhash64("key"), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    fields = wanted.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    field = np.zeros(FILTER_BITS // 8, np.uint8)
-    for row in fields.collect():  # FILTER_BITS bits
-        at = (row.bucket - 1) * 4096
-        field[at : at + 4096] = np.frombuffer(row.bits, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    wanted = classes.select("class").distinct().join(firsts, "class").select("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        field = shared.value
         for batch in batches:
-            bit = batch.column("bit").to_numpy() - 1
-            keep = (field[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1
-            for part in words.byte_slices(batch.filter(pa.array(keep.astype(bool))), "text"):
+            for part in words.byte_slices(batch, "text"):
                 found = shingles.Shingled(part.column("text"), size)
                 sets = [found.of(i) for i in range(part.num_rows)]
                 columns = [pa.array([shingles.set_key(s) for s in sets], pa.int64()), part.column("text"), pa.array([sketch(s) for s in sets], pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["class", "text", "sketch"])
 
-    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text")).select(bit.alias("bit"), "text")
-    return rows.mapInArrow(run, "class long, text string, sketch array<long>").select("class", column).dropDuplicates(["class"])
+    rows = docs.select(F.col(key).cast("long").alias("key"), F.col(text).cast("string").alias("text"))
+    marked = with_marks(rows, wanted, "key").where("_marked").select("text")
+    return marked.mapInArrow(run, "class long, text string, sketch array<long>").select("class", column).dropDuplicates(["class"])
 
 
-def _of_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The texts of a few pairs; the others need not be shuffled."""
-    wanted = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
-    return texts.join(wanted, "class", "left_semi")
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class")))
 
 
 def check(pairs: DataFrame, texts: DataFrame, size: int, num: int, den: int) -> DataFrame:
@@ -269,12 +271,6 @@ def _labelled(postings: DataFrame, found: DataFrame | None) -> DataFrame:
     return postings.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
 
 
-def _undecided(postings: DataFrame, meetings: DataFrame) -> DataFrame:
-    """The postings with pairs that may link: in one of at most LEADERS + 1 sets, each pair has a leader, so the first meetings name them all."""
-    named = meetings.select("sig").distinct().withColumn("named", F.lit(True))
-    return postings.join(named, "sig", "left").where((F.col("m") > LEADERS + 1) | F.col("named")).drop("named")
-
-
 def _open(labelled: DataFrame) -> DataFrame:
     """The postings that still hold two components; in the others nothing is left to join."""
     of_sig = Window.partitionBy("sig")
@@ -305,10 +301,40 @@ def _differing() -> Column:
     return sum(F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(SKETCH))
 
 
+def _near(num: int, den: int) -> Column:
+    """The sketches do not differ in more bits than the sets may in tokens."""
+    return _differing() * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num)
+
+
+def _small_pairs(small: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, x_n, y_n): all pairs of small postings that may link, each once however many postings it shares. Sketches stay out of it: pairs are few, postings many."""
+    facts = ("class", "n", "component", "core", "rest")
+    x, y = (_labelled(small, None).select("sig", *[F.col(c).alias(f"{name}_{c}") for c in facts]) for name in "xy")
+    met = x.join(y, "sig").where(_may_link({c: f"x_{c}" for c in facts}, {c: f"y_{c}" for c in facts}, num, den) & (F.col("x_class") < F.col("y_class")))
+    return met.select(F.col("x_class").alias("a"), F.col("y_class").alias("b"), "x_n", "y_n").distinct()
+
+
+def _near_pairs(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """(a, b, differing): the pairs whose sketches are near enough."""
+    x, y = (sketches.select(F.col("class").alias(end), *[F.get("sketch", F.lit(i)).alias(f"{name}_s{i}") for i in range(SKETCH)]) for end, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").where(_near(num, den)).select("a", "b", _differing().alias("differing"))
+
+
+def _still_apart(pairs: DataFrame, found: DataFrame | None, checked: DataFrame | None) -> DataFrame:
+    """The pairs that are neither checked yet nor in one component."""
+    if checked is not None:
+        pairs = pairs.join(checked, ["a", "b"], "left_anti")
+    if found is None:
+        return pairs
+    for end in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+    return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).drop("of_a", "of_b")
+
+
 def _met(left: DataFrame, right: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs of a posting that may link, and whose sketches do not differ in more bits than their sets may."""
     near = _may_link({c: f"x_{c}" for c in _SIDE}, {c: f"y_{c}" for c in _SIDE}, num, den)
-    return _side(left, "x").join(_side(right, "y"), "sig").where(near & (_differing() * (num + den) <= (F.col("x_n") + F.col("y_n")) * (den - num)))
+    return _side(left, "x").join(_side(right, "y"), "sig").where(near & _near(num, den))
 
 
 def _ordered(x: str, y: str) -> list[Column]:
@@ -316,13 +342,13 @@ def _ordered(x: str, y: str) -> list[Column]:
 
 
 def _leader_meetings(labelled: DataFrame, num: int, den: int, turn: int) -> DataFrame:
-    """(sig, x_class, y_class, differing): the leaders that a set meets in its postings and may link with.
+    """(x_class, y_class, differing): the leaders that a set meets in its postings and may link with.
 
     The leaders of a posting are the LEADERS sets with the most partners, in later turns the first in an order that changes with the turn and the signature; so a posting of m sets gives at most LEADERS * m pairs, yet the many
     postings that a group of near copies shares offer a set different leaders."""
     place = -F.col("partners") if turn == 0 else F.xxhash64("class", "sig", F.lit(turn))
     leaders = labelled.withColumn("_place", F.row_number().over(Window.partitionBy("sig").orderBy(place, "class"))).where(F.col("_place") <= LEADERS)
-    return _met(labelled, leaders, num, den).select("sig", "x_class", "y_class", _differing().alias("differing"))
+    return _met(labelled, leaders, num, den).select("x_class", "y_class", _differing().alias("differing"))
 
 
 def _nearest(meetings: DataFrame) -> DataFrame:
@@ -339,7 +365,7 @@ def _cross_pairs(labelled: DataFrame, num: int, den: int) -> DataFrame:
     return _met(open_.where("component <> largest"), open_, num, den).select(*_ordered("x_class", "y_class")).distinct()
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder, well compressed, and read it back."""
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
@@ -353,34 +379,35 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", siz
     lower-cased, words between ASCII white space). NULL, empty and wordless texts have n_shingles 0 and are linked with nothing. Equal
     sets are one class and are indexed once. Repeated keys are rows of their own; a NULL key counts after all others as a representative.
 
-    First each set is checked against the nearest leader of its postings, in a few turns, then every pair of a posting that is still in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only
-    postings with pairs that may link by their sketches go beyond the first turn, and only their texts are shuffled. Only byte-sized rarities and bit
-    fields, all of fixed size, pass through the driver.
+    Small postings name all their pairs, each pair is held once however many postings it shares; in large ones each set meets a few leaders. In a few turns each set is checked against the nearest it
+    may link with, then every pair of sets that are still in two components: all links between different sets count, yet large groups of near copies are not expanded into pairs. Only texts of the pairs
+    of a turn are shuffled. Only byte-sized rarities and bit fields, all of fixed size, pass through the driver.
     """
-    described = _kept(describe(docs, key, text, size), "shingle-sets")
+    described = kept(describe(docs, key, text, size), "shingle-sets")
     levels = rarities(described)
-    found_twice = _kept(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
-    postings = _kept(with_partners(found_twice), "postings")
+    postings = kept(shared_postings(index_rows(docs, text, size, num, den, levels)), "postings")
     rows = described.where("chunk IS NULL").select("key", "n_shingles", "class")
-    sketches = _kept(of_candidates(docs, text, key, rows, postings, size, "sketch"), "sketches")
-    texts, found, links = None, None, None
+    large = kept(with_partners(postings.where(F.col("m") > SMALL)), "large-postings")
+    pairs = kept(_small_pairs(postings.where(F.col("m") <= SMALL), num, den), "small-pairs")
+    sketches = kept(of_candidates(docs, text, key, rows, _ends(pairs).union(large.select("class")), size, "sketch"), "sketches")
+    near = kept(_near_pairs(pairs, sketches, num, den), "near-pairs")
+    found, checked = None, None
     for turn in range(leader_turns + 1):
-        labelled = _labelled(postings, found)
+        labelled = _labelled(large, found)
         labelled = _with_sketch(_open(labelled) if turn else labelled, sketches)
+        apart = _still_apart(near, found, checked)
         if turn < leader_turns:
-            meetings = _leader_meetings(labelled, num, den, turn)
-            if turn == 0:
-                meetings = _kept(meetings, "meetings")
-                postings = _kept(_undecided(postings, meetings), "postings")
-            pairs = _nearest(meetings)
+            either = apart.select(F.col("a").alias("x_class"), F.col("b").alias("y_class"), "differing").union(apart.select("b", "a", "differing"))
+            pairs = _nearest(either.union(_leader_meetings(labelled, num, den, turn)))
         else:
-            pairs = _cross_pairs(labelled, num, den)
-        if texts is None:
-            texts = _kept(of_candidates(docs, text, key, rows, postings, size, "text"), "texts")
-        pairs = _kept(pairs, "pairs")
-        new = _kept(check(pairs, _of_pairs(texts, pairs) if turn else texts, size, num, den), "links")
-        links = new if links is None else links.union(new)
-        found = components(links)
+            pairs = apart.select("a", "b").union(_cross_pairs(labelled, num, den)).distinct()
+        pairs = kept(pairs, "pairs")
+        checked = pairs if checked is None else checked.union(pairs)
+        links = kept(check(pairs, of_candidates(docs, text, key, rows, _ends(pairs), size, "text"), size, num, den), "links")
+        if found is None:
+            found = components(links)
+        elif not links.isEmpty():
+            found = components(links.union(found.select(F.col("node").alias("a"), F.col("component").alias("b"))))
     classes = rows.where("class IS NOT NULL").groupBy("class").agg(F.min("key").alias("class_id"))
     named = classes.join(found.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
     groups = named.groupBy("component").agg(F.min("class_id").alias("component_id"))

@@ -94,6 +94,39 @@ def test_texts_that_only_share_a_passage_are_not_shuffled(spark, monkeypatch):
     assert read[0] <= 5 and read[1] == 0, read
 
 
+def test_only_texts_of_pairs_that_may_link_are_read(spark, monkeypatch):
+    """Four of five sets that share a passage hold nothing else in common; a posting with one pair that may link does not bring in the others' texts."""
+    docs = [(i, " ".join([f"a{i}x{k}" for k in range(10)] + [f"p{k}" for k in range(8)] + [f"z{i}x{k}" for k in range(40)])) for i in range(4)]
+    docs += [(4, docs[0][1].replace("a0x0 ", "")), (5, docs[1][1])]
+    read, check = [], ngram_join.check
+
+    def counted(pairs, texts, *more):
+        read.append(texts.count())
+        return check(pairs, texts, *more)
+
+    monkeypatch.setattr(ngram_join, "check", counted)
+    got = ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), size=4, num=85, den=100, leader_turns=1)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == brute_groups(docs, 4, 85, 100)
+    assert read == [2, 0], read
+
+
+def test_pairs_of_small_postings_are_held_once(spark):
+    """Both sets stand together in 50 postings, in the core of both; a pair that differs too much in length is none."""
+    rows = [(sig, c, n, True, n, 3) for sig in range(50) for c, n in ((1, 100), (2, 98), (3, 10))]
+    got = ngram_join._small_pairs(spark.createDataFrame(rows, "sig long, class long, n int, core boolean, rest int, m long"), 80, 100)
+    assert [(r.a, r.b, r.x_n, r.y_n) for r in got.collect()] == [(1, 2, 100, 98)]
+
+
+def test_marks_miss_no_key(spark):
+    rows = spark.range(5000).select(F.when(F.col("id") != 7, F.col("id") * 2**33).alias("k"), F.lit("t").alias("t"))
+    keys = rows.where(F.col("k").isNull() | (F.col("k") % (3 * 2**33) == 0)).select("k")
+    got = ngram_join.with_marks(rows, keys, "k")
+    wanted = {r.k for r in keys.collect()}
+    marked = {r.k for r in got.where("_marked").collect()}
+    assert got.columns == ["k", "t", "_marked"] and got.count() == 5000 and wanted <= marked and len(marked) <= len(wanted) + 20
+    assert ngram_join.with_marks(rows, keys.limit(0), "k").where("_marked").count() == 0
+
+
 def test_no_rows_and_no_words(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.similar_groups(empty).count() == 0

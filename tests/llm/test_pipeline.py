@@ -83,6 +83,15 @@ def test_repeated_and_missing_ids(spark, folder):
     assert corpus_pipeline.one_of_a_kind(spark, docs.limit(0), folder).count() == 0
 
 
+def test_kept_texts_are_not_shuffled(spark, folder, tmp_path):
+    """One branch of the stage's rows takes no part in a join by row; before, all rows passed one."""
+    rows = [(i, " ".join(f"w{i % 90}x{k}" for k in range(30))) for i in range(100)]
+    plan = corpus_pipeline.one_of_a_kind(spark, spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    plan.write.parquet(str(tmp_path / "rows"))
+    assert sorted(r.doc_id for r in spark.read.parquet(str(tmp_path / "rows")).collect()) == list(range(90))
+    assert "Union" in plan._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rows_under_one_id_or_none_are_judged_each_by_itself(spark):
     from corpus_pipeline import one_of_a_kind
 
