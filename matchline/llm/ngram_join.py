@@ -359,9 +359,9 @@ def _nearest(meetings: DataFrame) -> DataFrame:
 
 def _cross_pairs(labelled: DataFrame, num: int, den: int) -> DataFrame:
     """All pairs of a posting that are not in one component yet and may link; sets of the posting's largest component meet only the others."""
-    by = labelled.groupBy("sig", "component").agg(F.count(F.lit(1)).alias("k"))
-    most = by.groupBy("sig").agg(F.count(F.lit(1)).alias("kinds"), F.max(F.struct("k", "component"))["component"].alias("largest")).where("kinds > 1").drop("kinds")
-    open_ = labelled.join(most, "sig")
+    of_sig = Window.partitionBy("sig")
+    counted = labelled.repartition("sig").withColumn("k", F.count(F.lit(1)).over(Window.partitionBy("sig", "component")))
+    open_ = _open(counted.withColumn("largest", F.max(F.struct("k", "component")).over(of_sig)["component"]))
     return _met(open_.where("component <> largest"), open_, num, den).select(*_ordered("x_class", "y_class")).distinct()
 
 
