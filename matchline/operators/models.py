@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -14,6 +15,10 @@ from ..functions import fixed
 from ..sources.scratch import ensure_checkpoint_dir
 from . import cleaning
 
+#: Tree fits over fewer rows read them as they lie; above, partitions hold at most MOST_ROWS.
+EVEN_FROM = 200_000
+MOST_ROWS = 4_000_000
+
 
 def scaler_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column with mean and population standard deviation, unknown values read as 0."""
@@ -62,10 +67,27 @@ def ridge_fit(train: DataFrame, features: Sequence[str], label: str = "final_mar
     return Pipeline(stages=[_assembler(features), lr]).fit(train)
 
 
+def _evenly(rows: DataFrame) -> DataFrame:
+    """The same rows, one equal partition a core (or a multiple of that), where there are many and they lie otherwise.
+
+    A tree fit passes all rows once per tree and level, each pass waits for its largest partition, and Spark estimates the size of each cached
+    partition anew for every tree. Files are split by their row groups, so a core may hold twice the rows of another.
+    """
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    n, cores = sum(sizes), rows.sparkSession.sparkContext.defaultParallelism
+    if n < EVEN_FROM:
+        return rows
+    parts = cores * math.ceil(n / (cores * MOST_ROWS))
+    return rows if len(sizes) <= parts and max(sizes) <= 1.25 * n / parts else rows.repartition(parts)
+
+
 def gbt_fit(train: DataFrame, features: Sequence[str], label: str = "final_margin_a", params: dict | None = None) -> PipelineModel:
-    """Gradient-boosted trees on raw features; every tenth tree checkpoints the running residuals."""
+    """Gradient-boosted trees on raw features; every tenth tree checkpoints the running residuals.
+
+    The rows that a tree samples depend on the partition they lie in, as Spark draws them per partition.
+    """
     ensure_checkpoint_dir(train.sparkSession)
-    train = train.select(label, *features)
+    train = _evenly(train.select(label, *features))
     gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="pred_gbm", **{**fixed.GBT_PARAMS, **(params or {})})
     return Pipeline(stages=[_assembler(features), gbt]).fit(train)
 

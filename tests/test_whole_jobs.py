@@ -57,3 +57,26 @@ def test_folds_and_sets_are_fitted_side_by_side(spark, folder, monkeypatch):
         backtest.cross_validation(games, ["spread_a"], 2)
     with pytest.raises(Asked):
         backtest.ablation_table(games, {"a": ["spread_a"], "b": ["spread_a", "total_line"]}, [1995], [1996], [1997])
+
+
+def test_tree_fits_pass_even_partitions(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(models.Pipeline, "fit", lambda self, df: seen.append(df))
+    rows = spark.range(0, 6000, 1, 1).union(spark.range(6000, 6300, 1, 2)).select(F.col("id").cast("double").alias("x"), F.lit(1.0).alias("final_margin_a"))
+    sizes = lambda df: sorted(r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect())
+    models.gbt_fit(rows, ["x"])
+    assert sizes(seen[-1]) == [150, 150, 6000]  # few rows stay as they lie
+
+    monkeypatch.setattr(models, "EVEN_FROM", 5000)
+    cores = spark.sparkContext.defaultParallelism
+    models.gbt_fit(rows, ["x"])
+    dealt = sizes(seen[-1])
+    assert len(dealt) == cores and dealt[-1] - dealt[0] <= 3
+    assert sorted(r.x for r in seen[-1].collect()) == list(range(6300))
+
+    monkeypatch.setattr(models, "MOST_ROWS", 500)
+    models.gbt_fit(rows, ["x"])
+    dealt = sizes(seen[-1])
+    assert len(dealt) % cores == 0 and dealt[-1] <= 503
+    models.gbt_fit(seen[-1], ["x"])
+    assert sizes(seen[-1]) == dealt  # even rows are not dealt again
