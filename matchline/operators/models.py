@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..sources.scratch import ensure_checkpoint_dir
-from . import cleaning
+from . import boosting, cleaning
 
 #: Tree fits over fewer rows read them as they lie; above, partitions hold at most MOST_ROWS.
 EVEN_FROM = 200_000
@@ -70,8 +70,8 @@ def ridge_fit(train: DataFrame, features: Sequence[str], label: str = "final_mar
 def _evenly(rows: DataFrame) -> DataFrame:
     """The same rows, one equal partition a core (or a multiple of that), where there are many and they lie otherwise.
 
-    A tree fit passes all rows once per tree and level, each pass waits for its largest partition, and Spark estimates the size of each cached
-    partition anew for every tree. Files are split by their row groups, so a core may hold twice the rows of another.
+    A tree fit passes all rows once per tree and level, and each pass waits for its largest partition. Files are split by their row groups, so a
+    core may hold twice the rows of another.
     """
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
     n, cores = sum(sizes), rows.sparkSession.sparkContext.defaultParallelism
@@ -84,12 +84,13 @@ def _evenly(rows: DataFrame) -> DataFrame:
 def gbt_fit(train: DataFrame, features: Sequence[str], label: str = "final_margin_a", params: dict | None = None) -> PipelineModel:
     """Gradient-boosted trees on raw features; every tenth tree checkpoints the running residuals.
 
-    The rows that a tree samples depend on the partition they lie in, as Spark draws them per partition.
+    The trees are those of Spark's GBTRegressor over the same partitions: the rows that a tree samples depend on the partition they lie in.
     """
     ensure_checkpoint_dir(train.sparkSession)
     train = _evenly(train.select(label, *features))
-    gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="pred_gbm", **{**fixed.GBT_PARAMS, **(params or {})})
-    return Pipeline(stages=[_assembler(features), gbt]).fit(train)
+    params = {**fixed.GBT_PARAMS, **(params or {})}
+    gbt = GBTRegressor(featuresCol="_features", labelCol=label, predictionCol="pred_gbm", **params)
+    return Pipeline(stages=[_assembler(features), boosting.BoostedTrees(gbt, list(features), params)]).fit(train)
 
 
 def fit_models(
